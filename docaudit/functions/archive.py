@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import percent_decode
+from docaudit.functions.text import let, percent_decode
 from docaudit.functions.urls import url_path
 
 
@@ -44,20 +44,30 @@ def archive_reason(url: Column, rules: ArchiveRules = DEFAULT_ARCHIVE_RULES) ->
     The URL is decoded before it is split, so an escaped ``?`` ends the path.
     Path rules come first, then file prefix, file suffix and keyword.
     """
-    lower = F.lower(percent_decode(url))
-    path = drop_params(url_path(lower))
-    name = file_name(path)
-    stem = F.regexp_replace(name, r"\.pdf$", "")
-    tests = (
-        [("path segment", s, F.contains(path, F.lit(s.lower()))) for s in rules.path_segments]
-        + [("filename prefix", s, name.startswith(s.lower())) for s in rules.filename_prefixes]
-        + [("filename suffix", s, stem.endswith(s.lower())) for s in rules.filename_suffixes]
-        + [("keyword", s, F.contains(lower, F.lit(s.lower()))) for s in rules.keywords]
-    )
-    return F.coalesce(
-        *[F.when(hit, F.lit(f"{kind} '{s.lower()}'")) for kind, s, hit in tests],
-        F.lit(None).cast("string"),
-    )
+
+
+    def first_hit(lower: Column, path: Column, name: Column, stem: Column) -> Column:
+        tests = (
+            [("path segment", s, F.contains(path, F.lit(s.lower()))) for s in rules.path_segments]
+            + [("filename prefix", s, name.startswith(s.lower())) for s in rules.filename_prefixes]
+            + [("filename suffix", s, stem.endswith(s.lower())) for s in rules.filename_suffixes]
+            + [("keyword", s, F.contains(lower, F.lit(s.lower()))) for s in rules.keywords]
+        )
+        return F.coalesce(
+            *[F.when(hit, F.lit(f"{kind} '{s.lower()}'")) for kind, s, hit in tests],
+            F.lit(None).cast("string"),
+        )
+
+    def explain(lower: Column) -> Column:
+        return let(drop_params(url_path(lower)), lambda path: in_path(lower, path))
+
+    def in_path(lower: Column, path: Column) -> Column:
+        return let(
+            file_name(path),
+            lambda name: first_hit(lower, path, name, F.regexp_replace(name, r"\.pdf$", "")),
+        )
+
+    return let(F.lower(percent_decode(url)), explain)
 
 
 def is_archived(url: Column, rules: ArchiveRules = DEFAULT_ARCHIVE_RULES) -> Column:

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SHARE = r"(?i)^https?://([a-zA-Z0-9.-]+)\.box\.com/s/([a-zA-Z0-9]+)"
+from docaudit.functions.text import let
+
+_SHARE = r"(?i)^https?://(?!\.box\.com/)([a-zA-Z0-9-]*)[a-zA-Z0-9.-]*\.box\.com/s/([a-zA-Z0-9]+)"
 _MARKER = "Box.postStreamData"
 _SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
 _ITEMS = r'(?s)"items":\s*(\[\{.*\}\])'
@@ -64,25 +66,33 @@ class BoxShares:
 
     def resolve(self, url: Column, html: Column) -> Column:
         """Struct of pdf_url, filename and error; exactly one of URL and error is set."""
-        tenant = F.regexp_extract(F.regexp_extract(url, _SHARE, 1), r"^([^.]*)", 1)
-        token = F.regexp_extract(url, _SHARE, 2)
-        raw = share_items_json(html)
-        items = share_items(html)
-        item = first_pdf_item(items)
-        error = (
-            F.when(~self.matches(url), F.lit(NOT_SHARE))
-            .when(html.isNull(), F.lit(NOT_FETCHED))
-            .when(raw.isNotNull() & items.isNull(), F.lit(PARSE_ERROR))
-            .when(item.isNull(), F.lit(NO_ITEM))
-            .when(item["canDownload"] == "false", F.lit(LOCKED))
-        )
-        target = F.concat(
-            F.lit("https://"), tenant, F.lit(".app.box.com/public/static/"), token, F.lit(".pdf")
+        target = F.regexp_replace(
+            url, _SHARE + r"(?s).*$", r"https://$1.app.box.com/public/static/$2.pdf"
         )
-        return F.struct(
-            F.when(error.isNull(), target).alias("pdf_url"),
-            F.when(error.isNull(), item["name"]).alias("filename"),
-            error.alias("error"),
+
+        def outcome(raw: Column, items: Column) -> Column:
+            return let(first_pdf_item(items), lambda item: result(raw, items, item))
+
+        def result(raw: Column, items: Column, item: Column) -> Column:
+            error = (
+                F.when(~self.matches(url), F.lit(NOT_SHARE))
+                .when(html.isNull(), F.lit(NOT_FETCHED))
+                .when(raw.isNotNull() & items.isNull(), F.lit(PARSE_ERROR))
+                .when(item.isNull(), F.lit(NO_ITEM))
+                .when(item["canDownload"] == "false", F.lit(LOCKED))
+            )
+            return let(
+                error,
+                lambda e: F.struct(
+                    F.when(e.isNull(), target).alias("pdf_url"),
+                    F.when(e.isNull(), item["name"]).alias("filename"),
+                    e.alias("error"),
+                ),
+            )
+
+        return let(
+            share_items_json(html),
+            lambda raw: let(F.from_json(raw, _ITEM_SCHEMA), lambda items: outcome(raw, items)),
         )
 
 

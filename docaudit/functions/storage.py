@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docaudit.functions.archive import drop_params, file_name
-from docaudit.functions.text import percent_decode, strip
+from docaudit.functions.text import let, percent_decode, strip
 from docaudit.functions.urls import url_path
 
 # The default template and the characters no file system takes.
@@ -24,12 +24,14 @@ def sanitize(part: Column) -> Column:
 
 
 def storage_filename(url: Column, file_hash: Column) -> Column:
-    name = sanitize(file_name(drop_params(url_path(url))))
     fallback = F.when(
         F.coalesce(file_hash, F.lit("")) != "",
         F.concat(F.substring(file_hash, 1, 16), F.lit(".pdf")),
     ).otherwise(F.lit("document.pdf"))
-    return F.when(F.lower(name).endswith(".pdf"), name).otherwise(fallback)
+    return let(
+        sanitize(file_name(drop_params(url_path(url)))),
+        lambda name: F.when(F.lower(name).endswith(".pdf"), name).otherwise(fallback),
+    )
 
 
 def storage_folder(url: Column) -> Column:

@@ -8,13 +8,13 @@ and a missing part is the empty string.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docaudit.functions.text import strip
+from docaudit.functions.text import let, strip
 
 _URL = (
     r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)"
@@ -42,11 +42,20 @@ class UrlParts:
     fragment: Column
 
 
-def split_url(url: Column) -> UrlParts:
-    # Tabs and line ends inside a URL, and blanks before it, are dropped.
-    text = F.ltrim(F.translate(F.coalesce(url, F.lit("")), "\t\r\n", ""))
-    part = [F.regexp_extract(text, _URL, i) for i in range(1, 6)]
-    return UrlParts(F.lower(part[0]), part[1], part[2], part[3], part[4])
+_MARK = "\u0001"
+
+
+def _clean(url: Column) -> Column:
+    """Blanks before a URL and tabs and line ends inside it are dropped."""
+    return F.ltrim(F.translate(F.coalesce(url, F.lit("")), f"\t\r\n{_MARK}", ""))
+
+
+def with_parts(url: Column, body: Callable[[UrlParts], Column]) -> Column:
+    """``body`` of the five parts of a URL, found with a single match."""
+    split = F.split(
+        F.regexp_replace(_clean(url), _URL, _MARK.join(f"${i}" for i in range(1, 6))), _MARK
+    )
+    return let(split, lambda p: body(UrlParts(F.lower(p[0]), p[1], p[2], p[3], p[4])))
 
 
 def _join(scheme: Column, netloc: Column, path: Column, query: Column, fragment: Column) -> Column:
@@ -71,36 +80,40 @@ def _join(scheme: Column, netloc: Column, path: Column, query: Column, fragment:
 
 
 def ensure_scheme(url: Column, default_scheme: str = "https") -> Column:
-    text = strip(F.coalesce(url, F.lit("")))
-    return (
-        F.when((text == "") | text.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), text)
-        .when(text.startswith("//"), F.concat(F.lit(f"{default_scheme}:"), text))
-        .otherwise(F.concat(F.lit(f"{default_scheme}://"), text))
-    )
+    def qualify(text: Column) -> Column:
+        return (
+            F.when((text == "") | text.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), text)
+            .when(text.startswith("//"), F.concat(F.lit(f"{default_scheme}:"), text))
+            .otherwise(F.concat(F.lit(f"{default_scheme}://"), text))
+        )
+
+    return let(strip(F.coalesce(url, F.lit(""))), qualify)
 
 
 def normalize_url(url: Column) -> Column:
     """Lower-case scheme and authority, drop the fragment, keep path and query."""
-    p = split_url(url)
-    return _join(p.scheme, F.lower(p.netloc), p.path, p.query, F.lit(""))
+    return with_parts(
+        url, lambda p: let(F.lower(p.netloc), lambda n: _join(p.scheme, n, p.path, p.query, F.lit("")))
+    )
 
 
 def _host(netloc: Column) -> Column:
+    # User info first, then a bracketed address or everything up to the port.
     bare = F.regexp_replace(netloc, r"^.*@", "")
-    return F.lower(
-        F.when(bare.startswith("["), F.regexp_extract(bare, r"^\[([^\]]*)", 1)).otherwise(
-            F.regexp_extract(bare, r"^([^:]*)", 1)
-        )
-    )
+    return F.lower(F.regexp_replace(bare, r"^(?:\[([^\]]*).*|([^:]*).*)$", "$1$2"))
 
 
 def url_host(url: Column) -> Column:
     """Host in lower case without port or user info; empty when there is none."""
-    return _host(split_url(url).netloc)
+    return _host(url_netloc(url))
+
+
+def url_netloc(url: Column) -> Column:
+    return F.regexp_extract(_clean(url), _URL, 2)
 
 
 def url_path(url: Column) -> Column:
-    return split_url(url).path
+    return F.regexp_extract(_clean(url), _URL, 3)
 
 
 def is_pdf_url(url: Column) -> Column:
@@ -109,11 +122,13 @@ def is_pdf_url(url: Column) -> Column:
 
 def url_display(url: Column) -> Column:
     """Host, path and query without the scheme; the input when that is empty."""
-    p = split_url(url)
-    shown = F.concat(
-        p.netloc, p.path, F.when(p.query != "", F.concat(F.lit("?"), p.query)).otherwise("")
-    )
-    return F.when(shown == "", url).otherwise(shown)
+
+    def shown(p: UrlParts) -> Column:
+        return F.concat(
+            p.netloc, p.path, F.when(p.query != "", F.concat(F.lit("?"), p.query)).otherwise("")
+        )
+
+    return F.coalesce(F.nullif(with_parts(url, shown), F.lit("")), url)
 
 
 def suffix_pattern(suffixes: Sequence[str] = GENERIC_SUFFIXES) -> str:
@@ -132,15 +147,20 @@ def registrable_domain(
     One anchored pattern instead of a join with a suffix table: the search is
     leftmost, so the longest suffix wins.
     """
-    value = F.coalesce(url_or_host, F.lit(""))
-    host = F.when(F.contains(value, F.lit("://")), url_host(value)).otherwise(F.lower(value))
-    # Bare hosts may still carry user info, a port or a path.
-    host = F.regexp_extract(F.regexp_replace(host, r"^[^/?#]*@", ""), r"^([^/?#:]*)", 1)
-    host = F.rtrim(host, F.lit("."))
     suffix = suffix_pattern(suffixes)
-    return F.when(host.rlike(f"^{suffix}$"), F.lit("")).otherwise(
-        F.regexp_extract(host, rf"(?:^|\.)([^.]+\.{suffix})$", 1)
-    )
+
+    def host_part(value: Column) -> Column:
+        # Bare hosts may still carry user info, a port or a path.
+        bare = F.regexp_extract(F.regexp_replace(value, r"^[^/?#]*@", ""), r"^([^/?#:]*)", 1)
+        return F.when(F.contains(value, F.lit("://")), url_host(value)).otherwise(F.lower(bare))
+
+    def domain(host: Column) -> Column:
+        return F.when(host.rlike(f"^{suffix}$"), F.lit("")).otherwise(
+            F.regexp_extract(host, rf"(?:^|\.)([^.]+\.{suffix})$", 1)
+        )
+
+    host = let(F.coalesce(url_or_host, F.lit("")), host_part)
+    return let(F.rtrim(host, F.lit(".")), domain)
 
 
 def seed_hosts(allowed_hosts: Column, seeds: Column) -> Column:
@@ -161,14 +181,15 @@ def strip_www(host: Column) -> Column:
 
 def host_key(cell: Column) -> Column:
     """Comparable host of a roster cell."""
-    value = F.btrim(strip(F.coalesce(cell, F.lit(""))), F.lit('"'))
-    host = url_host(ensure_scheme(value))
-    return strip_www(F.when(host != "", host).otherwise(F.lower(value)))
 
+    def key(value: Column) -> Column:
+        host = F.nullif(url_host(ensure_scheme(value)), F.lit(""))
+        return strip_www(F.coalesce(host, F.lower(value)))
+
+    return let(F.btrim(strip(F.coalesce(cell, F.lit(""))), F.lit('"')), key)
 
-def _resolve_dots(path: Column) -> Column:
-    parts = F.split(path, "/")
 
+def _resolve_dots(path: Column) -> Column:
     def step(acc: Column, seg: Column) -> Column:
         return (
             F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
@@ -176,72 +197,91 @@ def _resolve_dots(path: Column) -> Column:
             .otherwise(F.concat(acc, F.array(seg)))
         )
 
-    resolved = F.aggregate(parts, F.array().cast("array<string>"), step)
-    closed = F.when(
-        path.rlike(r"(^|/)\.{1,2}$"), F.concat(resolved, F.array(F.lit("")))
-    ).otherwise(resolved)
-    joined = F.array_join(closed, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    closing = F.when(path.rlike(r"(^|/)\.{1,2}$"), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")
+    )
+    joined = F.array_join(F.concat(kept, closing), "/")
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("/"))
+
+
+def _without_dots(path: Column) -> Column:
+    return let(
+        path,
+        lambda p: F.when(p.rlike(r"(^|/)\.{1,2}(/|$)"), _resolve_dots(p)).otherwise(p),
+    )
 
 
 def url_join(base: Column, href: Column) -> Column:
     """Resolve ``href`` against ``base`` (RFC 3986 section 5)."""
-    text = F.ltrim(F.translate(F.coalesce(href, F.lit("")), "\t\r\n", ""))
-    b, r = split_url(base), split_url(text)
-    folder = F.regexp_extract(b.path, r"(?s)^(.*/)", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    merged = F.when(r.path.startswith("/"), r.path).otherwise(
-        F.regexp_replace(F.concat(folder, r.path), "/{2,}", "/")
-    )
-    path = F.when(merged.rlike(r"(^|/)\.{1,2}(/|$)"), _resolve_dots(merged)).otherwise(merged)
-    scheme = F.when(r.scheme != "", r.scheme).otherwise(b.scheme)
-    return (
-        F.when(text == "", base)
-        .when((scheme != b.scheme) | ~scheme.isin(*_HIERARCHICAL), text)
-        .when(r.netloc != "", _join(scheme, r.netloc, r.path, r.query, r.fragment))
-        .when(
-            r.path == "",
-            _join(
-                scheme,
-                b.netloc,
-                b.path,
-                F.when(r.query != "", r.query).otherwise(b.query),
-                r.fragment,
-            ),
+
+    def resolve(b: UrlParts, r: UrlParts, text: Column) -> Column:
+        folder = F.coalesce(
+            F.nullif(F.regexp_extract(b.path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/")
         )
-        .otherwise(_join(scheme, b.netloc, path, r.query, r.fragment))
-    )
+        merged = F.when(r.path.startswith("/"), r.path).otherwise(
+            F.regexp_replace(F.concat(folder, r.path), "/{2,}", "/")
+        )
+        same = (r.scheme == "") | (r.scheme == b.scheme)
+        here = r.netloc == ""
+        empty = r.path == ""
+        path = F.when(~here, r.path).when(empty, b.path).otherwise(_without_dots(merged))
+        query = F.when(here & empty & (r.query == ""), b.query).otherwise(r.query)
+        netloc = F.when(here, b.netloc).otherwise(r.netloc)
+        joined = let(
+            F.array(b.scheme, netloc, path, query, r.fragment),
+            lambda u: _join(u[0], u[1], u[2], u[3], u[4]),
+        )
+        return F.when(same & b.scheme.isin(*_HIERARCHICAL), joined).otherwise(text)
+
+    def join(text: Column) -> Column:
+        return F.when(text == "", base).otherwise(
+            with_parts(base, lambda b: with_parts(text, lambda r: resolve(b, r, text)))
+        )
+
+    return let(_clean(href), join)
 
 
 def absolute_http(base: Column, href: Column) -> Column:
     """Absolute URL of a link, or null when it is not http(s)."""
-    joined = url_join(base, href)
-    return F.when(F.lower(joined).rlike(r"^https?://"), joined)
+    return let(url_join(base, href), lambda u: F.when(F.lower(u).rlike(r"^https?://"), u))
 
 
 def in_scope(
     url: Column, scope: Column | str, hosts: Column, path_prefix: Column | None = None
 ) -> Column:
-    """Crawl scope test against an array of seed hosts. An unknown scope acts as ``host``."""
-    rule = F.lit(scope) if isinstance(scope, str) else F.coalesce(scope, F.lit("host"))
-    prefix = F.lit(None).cast("string") if path_prefix is None else path_prefix
-    host = url_host(url)
+    """Crawl scope test against an array of seed hosts. An unknown scope acts as ``host``.
+
+    A scope given as text picks its test while the plan is built; a column picks it per
+    row, and only the test of that row's scope runs.
+    """
     lowered = F.transform(hosts, F.lower)
-    same_host = F.array_contains(lowered, host)
-    target = registrable_domain(url)
-    return F.coalesce(
-        F.when(
-            rule == "subdomain",
-            F.exists(lowered, lambda s: (host == s) | host.endswith(F.concat(F.lit("."), s))),
-        )
-        .when(
-            rule == "domain",
-            (target != "") & F.exists(lowered, lambda s: registrable_domain(s) == target),
+    no = F.lit(False)
+
+    def host_test() -> Column:
+        return F.array_contains(lowered, url_host(url))
+
+    def subdomain_test() -> Column:
+        return let(
+            url_host(url),
+            lambda h: F.exists(lowered, lambda s: (h == s) | h.endswith(F.concat(F.lit("."), s))),
         )
-        .when(
-            rule == "path",
-            same_host & (prefix.isNull() | F.startswith(url_path(url), prefix)),
+
+    def domain_test() -> Column:
+        return let(
+            registrable_domain(url),
+            lambda d: (d != "") & F.exists(lowered, lambda s: registrable_domain(s) == d),
         )
-        .otherwise(same_host),
-        F.lit(False),
-    )
+
+    def path_test() -> Column:
+        if path_prefix is None:
+            return host_test()
+        return host_test() & (path_prefix.isNull() | F.startswith(url_path(url), path_prefix))
+
+    tests = {"subdomain": subdomain_test, "domain": domain_test, "path": path_test}
+    if isinstance(scope, str):
+        return F.coalesce(tests.get(scope, host_test)(), no)
+    chosen = F.when(scope == "subdomain", subdomain_test())
+    for name in ("domain", "path"):
+        chosen = chosen.when(scope == name, tests[name]())
+    return F.coalesce(chosen.otherwise(host_test()), no)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions.share_pages import resolver_name
-from docaudit.functions.text import strip
+from docaudit.functions.text import drop_nulls, let, strip
 from docaudit.functions.urls import absolute_http, in_scope, is_pdf_url, normalize_url
 from docaudit.shared import written
 
@@ -23,10 +23,14 @@ _ENTITIES = (
 
 
 def decode_entities(col: Column) -> Column:
-    decoded = col
-    for entity, char in _ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(F.contains(col, F.lit("&")), decoded).otherwise(col)
+
+    def decode(text: Column) -> Column:
+        decoded = text
+        for entity, char in _ENTITIES:
+            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+    return let(col, decode)
 
 
 def page_hrefs(html: Column) -> Column:
@@ -57,8 +61,14 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 def absolute_links(links: DataFrame) -> DataFrame:
     """Links with their normalised absolute URL; other schemes are dropped."""
-    absolute = absolute_http(F.col("parent_url"), F.col("href"))
-    return links.withColumn("url", normalize_url(absolute)).where(absolute.isNotNull())
+    # Exploding the compacted array drops the nulls without a filter, which Catalyst would
+    # push below the projection and so compute the URL twice.
+    absolute = normalize_url_or_null(absolute_http(F.col("parent_url"), F.col("href")))
+    return links.select("*", F.explode(drop_nulls(absolute)).alias("url"))
+
+
+def normalize_url_or_null(url: Column) -> Column:
+    return let(url, lambda u: F.when(u.isNotNull(), normalize_url(u)))
 
 
 def classify_links(links: DataFrame) -> DataFrame:

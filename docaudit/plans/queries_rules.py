@@ -265,7 +265,7 @@ def _(fx: Fixtures):
     "src_triage_profile",
     """SELECT clause,
               CASE WHEN clause LIKE '9.%' THEN 'manual' WHEN clause LIKE '7.21.4.%' THEN 'manual' END AS clause_class,
-              COUNT(*) AS n, MAX(90.0 - 4.0 * v - 0.5 * greatest(0, coalesce(pages, 0) - 100)) AS best_score
+              COUNT(*) AS n, CAST(MAX(90.0 - 4.0 * v - 0.5 * greatest(0, coalesce(pages, 0) - 100)) AS DOUBLE) AS best_score
        FROM (SELECT r.clause, t.violations AS v, t.page_count AS pages
              FROM v_report_rule r JOIN v_report t ON t.pdf_hash = r.pdf_hash) x
        GROUP BY clause""",
