@@ -227,7 +227,7 @@ def prepare_sites(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     seeds = F.transform(
         F.filter(F.coalesce("seeds", F.array()), lambda s: s.isNotNull() & (strip(s) != "")),
-        ensure_scheme,
+        lambda s: ensure_scheme(s),
     )
     scope = F.coalesce("scope", F.lit("host"))
     error = F.when(~scope.isin(*SCOPES), "scope must be host|subdomain|domain|path").when(

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from docaudit.plans import queries_links, queries_rules  # noqa: F401
+from docaudit.plans import (  # noqa: F401
+    queries_inventory,
+    queries_links,
+    queries_rules,
+)
 from docaudit.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
