@@ -5,7 +5,9 @@ from __future__ import annotations
 from docaudit.plans import (  # noqa: F401
     queries_inventory,
     queries_links,
+    queries_people,
     queries_rules,
+    queries_verify,
 )
 from docaudit.plans.registry import QUERIES
 
