@@ -20,7 +20,9 @@ from docaudit.functions.geometry import (
     within,
 )
 
-_GRID = 16
+# Cells per page side: finer spreads a crowded page over more tasks but copies an image
+# to more cells.
+_GRID = 8
 _EDGE = 1e-6
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docaudit.functions.share_pages import resolver_name
 from docaudit.functions.text import drop_nulls, let, strip
 from docaudit.functions.urls import absolute_http, in_scope, is_pdf_url, normalize_url
-from docaudit.shared import written
+from docaudit.shared import new_path, written
 
 # Markup whose text must not be read as links.
 _NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -119,30 +119,41 @@ def crawl_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int = 0) -> Da
 
     ``seeds`` has (site_id, url), ``edges`` the in-scope links (site_id, src, dst).
     ``max_depth`` 0 means no limit. Every level is one join of the frontier with the
-    edges; levels are written to the shared folder, so lineage stays flat and a lost
-    executor costs one level at most.
+    edges. Levels are written to the shared folder as partitions of one table, so the
+    plan does not grow with the depth and a lost executor costs one level at most.
     """
+    spark = seeds.sparkSession
     links = written(edges.select("site_id", "src", "dst").distinct(), "edges")
-    level = written(
-        seeds.select("site_id", "url").distinct().withColumn("depth", F.lit(0)), "level"
-    )
-    reached = level
+    path = new_path(spark, "reach")
+
+    def add_level(rows: DataFrame, depth: int) -> int:
+        """Write one level as its own partition and return its size."""
+        seen = Observation()
+        rows.select("site_id", "url").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(
+            f"{path}/depth={depth}"
+        )
+        return seen.get["n"]
+
+    schema = seeds.select("site_id", "url", F.lit(0).alias("depth")).schema
+
+    def reached() -> DataFrame:
+        """All levels so far: one scan however many levels there are."""
+        return spark.read.schema(schema).parquet(path)
+
+    found = add_level(seeds.select("site_id", "url").distinct(), 0)
     depth = 0
-    while max_depth == 0 or depth < max_depth:
-        depth += 1
+    while found and (max_depth == 0 or depth < max_depth):
+        known = reached()
+        frontier = known.where(F.col("depth") == depth).select("site_id", F.col("url").alias("src"))
         step = (
-            level.withColumnRenamed("url", "src")
-            .join(links, ["site_id", "src"])
+            frontier.join(links, ["site_id", "src"])
             .select("site_id", F.col("dst").alias("url"))
             .distinct()
-            .join(reached.select("site_id", "url"), ["site_id", "url"], "left_anti")
-            .withColumn("depth", F.lit(depth))
+            .join(known.select("site_id", "url"), ["site_id", "url"], "left_anti")
         )
-        level = written(step, "level")
-        if level.isEmpty():
-            break
-        reached = reached.unionByName(level)
-    return reached
+        depth += 1
+        found = add_level(step, depth)
+    return reached()
 
 
 def crawl_counts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.operators.rules import job_rules, summarize
+from docaudit.shared import written
 from docaudit.sources.policy import RulePolicy
 
 # The marker window and the byte cap.
@@ -112,14 +113,19 @@ def verify(
     known hash are ``reused``, and a failed URL or hash fails every row that shares it.
 
     Hash facts are joined to URLs and URL facts to files, so the file table is joined once.
+    The hashed URLs and the checked hashes are written to the shared folder: several results
+    start from them, and the bytes must be read only once.
     """
     urls = url_representatives(files)
-    fetched = urls.join(gate_downloads(downloads, max_bytes), "pdf_url", "left").withColumn(
-        "error",
-        F.when(
-            F.col("file_hash").isNull() & F.col("error").isNull(),
-            F.concat(F.lit("download "), F.col("pdf_url"), F.lit(": not fetched")),
-        ).otherwise(F.col("error")),
+    fetched = written(
+        urls.join(gate_downloads(downloads, max_bytes), "pdf_url", "left").withColumn(
+            "error",
+            F.when(
+                F.col("file_hash").isNull() & F.col("error").isNull(),
+                F.concat(F.lit("download "), F.col("pdf_url"), F.lit(": not fetched")),
+            ).otherwise(F.col("error")),
+        ),
+        "fetched",
     )
     by_hash = (
         fetched.where(F.col("error").isNull())
@@ -137,7 +143,7 @@ def verify(
         "validation_result",
         F.lit(True).alias("has_job"),
     )
-    checked = fresh.join(results, "file_hash", "left")
+    checked = written(fresh.join(results, "file_hash", "left"), "checked")
     ok = F.col("has_job").isNotNull()
 
     validated = checked.where(ok).select(F.col("file_hash").alias("pdf_hash"))

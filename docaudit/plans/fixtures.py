@@ -231,9 +231,11 @@ FROM part"""
 
 VIEWS["v_page_edge"] = """
 SELECT a.url AS src, b.url AS dst
-FROM (SELECT url, (page_id * 3 + 1) % (SELECT COUNT(*) FROM pages) AS next_id FROM pages
+FROM (SELECT url, (page_id * 7 + length(html)) % (SELECT COUNT(*) FROM pages) AS next_id FROM pages
       UNION ALL
-      SELECT url, (page_id * 5 + 2) % (SELECT COUNT(*) FROM pages) FROM pages) a
+      SELECT url, (page_id * 11 + length(html) * 3) % (SELECT COUNT(*) FROM pages) FROM pages
+      UNION ALL
+      SELECT url, (page_id * 13 + length(url)) % (SELECT COUNT(*) FROM pages) FROM pages) a
 JOIN pages b ON b.page_id = a.next_id"""
 
 VIEWS["v_crawl_site"] = """
