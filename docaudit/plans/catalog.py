@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docaudit.plans import (  # noqa: F401
     queries_inventory,
+    queries_jobs,
     queries_links,
     queries_people,
     queries_rules,
