@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.share_pages import resolver_name
 from docaudit.functions.text import drop_nulls, let, strip
-from docaudit.functions.urls import absolute_http, in_scope, is_pdf_url, normalize_url
+from docaudit.functions.urls import absolute_http, in_scope, is_pdf_url, normalize_url, registrable_domain
 from docaudit.shared import new_path, written
 
 # Markup whose text must not be read as links.
@@ -114,6 +114,16 @@ def discovered_files(classified: DataFrame, site_column: str = "site_id") -> Dat
     )
 
 
+def edges_in_domains(edges: DataFrame, scopes: DataFrame) -> DataFrame:
+    """In-scope links of every site at once: (site_id, src, dst).
+
+    ``scopes`` (site_id, domain) lists the registrable domains each site may enter, so
+    the scope test of many sites is one equi join on the domain of the target.
+    """
+    located = edges.withColumn("domain", registrable_domain(F.col("dst")))
+    return located.join(scopes, "domain").select("site_id", "src", "dst")
+
+
 def crawl_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int = 0) -> DataFrame:
     """Pages reachable from the seeds, with their depth; each page once per site.
 

@@ -17,6 +17,7 @@ from docaudit.operators.inventory import (
 )
 from docaudit.operators.merge import missing_keys, take, update
 from docaudit.operators.ordering import last_per_key
+from docaudit.shared import written
 from docaudit.sources.site_config import parse_site_config
 
 PERSON_COLUMNS = ["employee_id", "full_name", "email", "is_manager"]
@@ -224,12 +225,14 @@ def import_roster(
     a bad roster never ends up in one cell.
     """
     domains = roster_domains(site_rows)
-    matched = match_domains(domains, sites)
+    # Several results start from the matches, the last row per person and the membership
+    # pairs, so each is computed once and written.
+    matched = written(match_domains(domains, sites), "matched")
     employees = roster_employees(employee_rows)
     assigned = roster_assignments(assignment_rows)
 
     # Owners: an import resets the label to the key and the notes to null.
-    groups = domains.select("group").union(assigned.select("group")).distinct()
+    groups = matched.select("group").union(assigned.select("group")).distinct()
     owner_changes = groups.select(
         F.xxhash64("group").alias("owner_id"),
         F.col("group").alias("owner_key"),
@@ -248,8 +251,11 @@ def import_roster(
     latest = last_per_key(
         staged(employees, 1).unionByName(staged(assigned, 2)), ["employee_id"], F.col("order")
     )
-    person_changes = latest.select(
-        F.xxhash64("employee_id").alias("person_id"), "employee_id", "full_name", "email"
+    person_changes = written(
+        latest.select(
+            F.xxhash64("employee_id").alias("person_id"), "employee_id", "full_name", "email"
+        ),
+        "people",
     )
     new_people = missing_keys(people, person_changes, ["employee_id"])
     known_people = upsert_people(people, person_changes)
@@ -259,11 +265,13 @@ def import_roster(
     all_people = set_manager(known_people, marks)
     all_owners = upsert_owners(owners, owner_changes)
 
-    ids = (
+    # Every assigned person and group exists by now, under its old id or its new one.
+    ids = written(
         assigned.select("employee_id", F.col("group").alias("owner_key"))
         .distinct()
         .join(known_people.select("employee_id", "person_id"), "employee_id")
-        .join(all_owners.select("owner_key", "owner_id"), "owner_key")
+        .join(all_owners.select("owner_key", "owner_id"), "owner_key"),
+        "members",
     )
     added = new_memberships(memberships, ids)
     new_pairs = ids.join(added, ["person_id", "owner_id"], "left_semi").select(

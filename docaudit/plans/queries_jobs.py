@@ -11,7 +11,7 @@ from docaudit.plans.fixtures import Fixtures
 from docaudit.plans.jobs import ScanInputs, run_steps
 from docaudit.plans.queries_inventory import _FOUND
 from docaudit.plans.queries_links import _CLASSIFIED
-from docaudit.plans.queries_verify import verify_run
+from docaudit.plans.queries_verify import _OUTCOME, _OUTCOMES, verify_run
 from docaudit.plans.registry import query
 from docaudit.shared import new_path, written
 from docaudit.sources.policy import DEFAULT_RULE_POLICY, DEFAULT_TRIAGE_PROFILE
@@ -125,9 +125,17 @@ def _(fx: Fixtures):
     return run_steps(inputs, verify=False, check_404=True)[1]
 
 
-@query("run_steps_verify")
+@query(
+    "run_steps_verify",
+    f"""SELECT site_id, 'verify' AS step, x.counter, COUNT(CASE WHEN o = x.counter THEN 1 END) AS n
+        FROM (SELECT site_id, {_OUTCOME} AS o FROM {_OUTCOMES} q) y
+        CROSS JOIN (VALUES ('verified'), ('reused'), ('failed')) AS x(counter) GROUP BY site_id, x.counter
+        UNION ALL
+        SELECT site_id, 'archived', 'flagged', COUNT(CASE WHEN {_HIT} THEN 1 END) FROM v_pdf_files
+        WHERE NOT removed GROUP BY site_id
+        UNION ALL SELECT site_id, 'export_csv', 'rows', COUNT(*) FROM v_pdf_files GROUP BY site_id""",
+)
 def _(fx: Fixtures):
-    """The steps with verification and a CSV export; paths differ per run, so no SQL."""
     inputs = ScanInputs(
         fx.files,
         site_contacts(fx.sites, fx.owners, fx.people, fx.memberships),

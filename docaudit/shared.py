@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
 
+# Settings the jobs count on. Joins carry no broadcast hints: adaptive execution picks a
+# broadcast by the measured size of a side and splits skewed partitions of the others,
+# also where that costs one more shuffle.
+SESSION_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """Add the settings of this library to a session builder."""
+    for key, value in SESSION_CONF.items():
+        builder = builder.config(key, value)
+    return builder
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read, named by ``spark.checkpoint.dir``.
