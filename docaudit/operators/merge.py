@@ -41,7 +41,7 @@ def update(
 def missing_keys(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Changes whose key the target does not hold. Reads only the keys of the target."""
     known = target.select(*keys).join(changes.select(*keys), list(keys), "left_semi").distinct()
-    return changes.join(known, list(keys), "left_anti")
+    return changes.join(known, list(keys), "left_anti").select(*changes.columns)
 
 
 def merge(
@@ -81,7 +81,8 @@ def take(*columns: str) -> dict[str, Column]:
 
 
 def delete(target: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return target.join(doomed.select(*keys), list(keys), "left_anti")
+    kept = target.join(doomed.select(*keys), list(keys), "left_anti")
+    return kept.select(*target.columns)
 
 
 def set_null(target: DataFrame, doomed: DataFrame, column: str, key: str) -> DataFrame:
