@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from docaudit.functions.archive import DEFAULT_ARCHIVE_RULES, ArchiveRules, is_archived
 from docaudit.functions.text import strip
 from docaudit.functions.urls import SCOPES, ensure_scheme, url_host
-from docaudit.operators.merge import delete, merge, missing_keys, set_null, take, update
+from docaudit.operators.merge import (
+    delete,
+    lookup_hash,
+    merge,
+    missing_keys,
+    set_null,
+    take,
+    update,
+)
+from docaudit.operators.ordering import number_rows
 
 FILE_KEY = ["pdf_url", "parent_url"]
 
@@ -25,9 +34,8 @@ def unverified_files(files: DataFrame, reports: DataFrame) -> DataFrame:
 
     Known 404s are skipped. A null hash survives the anti join.
     """
-    known = reports.select(F.col("pdf_hash").alias("file_hash"))
     wanted = files.where(~F.col("removed") & ~F.col("pdf_404"))
-    return wanted.join(known, "file_hash", "left_anti").select(*files.columns)
+    return lookup_hash(wanted, reports.select("pdf_hash"), "left_anti", row="pdf_id")
 
 
 def verify_queue(files: DataFrame, reports: DataFrame, limit: int | None = None) -> DataFrame:
@@ -76,10 +84,7 @@ def export_rows(files: DataFrame, contacts: DataFrame, reports: DataFrame) -> Da
     Removed files are included. Sites are joined first: they are few, and files of
     unknown sites drop out before the join on content hash.
     """
-    return (
-        files.join(contacts, "site_id")
-        .join(reports.withColumnRenamed("pdf_hash", "file_hash"), "file_hash", "left")
-    )
+    return lookup_hash(files.join(contacts, "site_id"), reports)
 
 
 # -- discovery and upserts -----------------------------------------------------
@@ -92,21 +97,27 @@ def upsert_files(files: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """Merge discovered links into the inventory.
 
     A known pair gets a new time stamp, resolver and offsite flag and is no longer
-    removed; it keeps its hash, flags and the site that found it first. New rows get an
-    id from their key, so a rerun of the same discovery gives the same ids.
+    removed; it keeps its hash, flags and the site that found it first. New rows are
+    numbered after the highest id, in key order, so a rerun gives the same ids. (A hash
+    of the key would collide on an inventory of billions of rows.)
     """
     no = F.lit(False)
-    fresh_id = {} if "pdf_id" in found.columns else {"pdf_id": F.xxhash64(*FILE_KEY)}
-    return merge(
+    kept = update(
         files,
         found,
         FILE_KEY,
-        on_match={**take("via_resolver", "offsite"), "scanned_at": now, "removed": no},
-        on_insert={
-            **fresh_id,
-            "scanned_at": now, "pdf_404": no, "parent_404": no, "archived": no, "removed": no,
-        },
+        {**take("via_resolver", "offsite"), "scanned_at": now, "removed": no},
+    )
+    highest = files.agg(F.coalesce(F.max("pdf_id"), F.lit(0)).alias("id")).first()["id"]
+    new = number_rows(missing_keys(files, found, FILE_KEY), *[F.col(k) for k in FILE_KEY])
+    values = {
+        "pdf_id": F.col("row_no") + highest, "scanned_at": now, "pdf_404": no, "parent_404": no,
+        "archived": no, "removed": no, "file_hash": F.lit(None), "local_path": F.lit(None),
+    }
+    inserted = new.select(
+        *[values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in files.schema.fields]
     )
+    return kept.unionByName(inserted)
 
 
 def upsert_reports(reports: DataFrame, fresh: DataFrame, overwrite: bool = True) -> DataFrame:

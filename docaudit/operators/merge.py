@@ -21,6 +21,23 @@ def _on(left: str, right: str, keys: Sequence[str]) -> Column:
     return condition
 
 
+def spread_null(key: Column, row: Column) -> Column:
+    """The key, with nulls replaced by a value per row that matches nothing.
+
+    Rows without a content hash can be a large part of the inventory. A join would send
+    all of them to one task, because equal keys meet there even when null matches nothing.
+    """
+    return F.coalesce(key, F.concat(F.lit("\u0001"), row.cast("string")))
+
+
+def lookup_hash(
+    files: DataFrame, facts: DataFrame, how: str = "left", row: str = "pdf_url"
+) -> DataFrame:
+    """Join facts keyed by pdf_hash to files by file_hash; ``row`` spreads missing hashes."""
+    keyed = files.withColumn("_key", spread_null(F.col("file_hash"), F.col(row)))
+    return keyed.join(facts.withColumnRenamed("pdf_hash", "_key"), "_key", how).drop("_key")
+
+
 def update(
     target: DataFrame, changes: DataFrame, keys: Sequence[str], assign: Mapping[str, Column]
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.functions.share_pages import resolve_share
+from docaudit.functions.share_pages import resolve_share, resolver_name
 
 NO_URLS = "no pdf urls"
 
@@ -26,13 +26,17 @@ def resolve_links(
 ) -> tuple[DataFrame, DataFrame]:
     """Resolve (site_id, parent_url, share_url, via_resolver, offsite) rows.
 
-    Returns discovered files and failures. Each distinct share URL is resolved once and
-    the short result is joined back to its links.
+    Returns discovered files and failures. Share pages are resolved where they are read,
+    so the page text never reaches a shuffle; only the short result is joined to the links.
     """
-    resolved = join_share_pages(links, snapshots).select(
-        "share_url", resolve_share(F.col("share_url"), F.col("share_html")).alias("r")
+    url = F.col("url")
+    resolved = snapshots.where(resolver_name(url).isNotNull()).select(
+        url.alias("share_url"), resolve_share(url, F.col("html")).alias("r")
     )
-    joined = links.join(resolved, "share_url", "left")
+    fetched = links.join(resolved, "share_url", "left")
+    # A link without a snapshot resolves like a page that could not be fetched.
+    missing = resolve_share(F.col("share_url"), F.lit(None).cast("string"))
+    joined = fetched.withColumn("r", F.coalesce("r", missing))
     ok = F.col("r.error").isNull() & F.col("r.pdf_url").isNotNull()
     files = (
         joined.where(ok)

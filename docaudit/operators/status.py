@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions.triage import AUTO, GOOD, LABELS, MANUAL, PENDING, triage
+from docaudit.operators.merge import lookup_hash
 from docaudit.operators.rules import clause_profile
 from docaudit.sources.policy import RulePolicy, TriageProfile
 
@@ -53,10 +54,9 @@ def pending_if_missing(rows: DataFrame) -> DataFrame:
 def classify_files(files: DataFrame, triaged: DataFrame) -> DataFrame:
     """Classification per file row; files without a report are pending."""
     verdicts = triaged.select(
-        F.col("pdf_hash").alias("file_hash"),
-        "violations", "classification", "classification_reason", "confidence",
+        "pdf_hash", "violations", "classification", "classification_reason", "confidence"
     )
-    return pending_if_missing(files.join(verdicts, "file_hash", "left"))
+    return pending_if_missing(lookup_hash(files, verdicts))
 
 
 def _count(condition: Column) -> Column:
@@ -76,11 +76,8 @@ def site_counts_of_files(files: DataFrame, triaged: DataFrame) -> DataFrame:
         _count(F.coalesce(F.col("via_resolver"), F.lit("")) != "").alias("n_resolver"),
         _count(F.col("archived")).alias("n_archived"),
     )
-    verdicts = triaged.select(
-        F.col("pdf_hash").alias("file_hash"),
-        "violations", "tagged", "image_only", "classification",
-    )
-    joined = grouped.join(verdicts, "file_hash", "left")
+    verdicts = triaged.select("pdf_hash", "violations", "tagged", "image_only", "classification")
+    joined = lookup_hash(grouped, verdicts, row="site_id")
     verified = F.col("violations").isNotNull()
 
     def total(condition: Column) -> Column:
