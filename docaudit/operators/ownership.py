@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.text import strip
 from docaudit.functions.urls import host_key, seed_hosts, strip_www
-from docaudit.operators.inventory import (
-    new_memberships,
-    set_manager,
-    upsert_owners,
-    upsert_people,
-)
+from docaudit.operators.inventory import set_manager, upsert_owners, upsert_people
 from docaudit.operators.merge import missing_keys, take, update
 from docaudit.operators.ordering import last_per_key
 from docaudit.shared import written
@@ -225,8 +220,8 @@ def import_roster(
     a bad roster never ends up in one cell.
     """
     domains = roster_domains(site_rows)
-    # Several results start from the matches, the last row per person and the membership
-    # pairs, so each is computed once and written.
+    # Several results start from the matches and from the last row per person, so both are
+    # computed once and written.
     matched = written(match_domains(domains, sites), "matched")
     employees = roster_employees(employee_rows)
     assigned = roster_assignments(assignment_rows)
@@ -258,25 +253,28 @@ def import_roster(
         "people",
     )
     new_people = missing_keys(people, person_changes, ["employee_id"])
-    known_people = upsert_people(people, person_changes)
 
     managers = roster_managers(manager_rows)
     marks = managers.select("employee_id").distinct().withColumn("is_manager", F.lit(True))
-    all_people = set_manager(known_people, marks)
+    all_people = set_manager(upsert_people(people, person_changes), marks)
     all_owners = upsert_owners(owners, owner_changes)
 
-    # Every assigned person and group exists by now, under its old id or its new one.
-    ids = written(
+    # Every assigned person and group exists by now: under the old id or the one from the key.
+    pairs = (
         assigned.select("employee_id", F.col("group").alias("owner_key"))
         .distinct()
-        .join(known_people.select("employee_id", "person_id"), "employee_id")
-        .join(all_owners.select("owner_key", "owner_id"), "owner_key"),
-        "members",
-    )
-    added = new_memberships(memberships, ids)
-    new_pairs = ids.join(added, ["person_id", "owner_id"], "left_semi").select(
-        "employee_id", "owner_key"
+        .join(people.select("employee_id", "person_id"), "employee_id", "left")
+        .join(owners.select("owner_key", "owner_id"), "owner_key", "left")
+        .select(
+            "employee_id",
+            "owner_key",
+            F.coalesce("person_id", F.xxhash64("employee_id")).alias("person_id"),
+            F.coalesce("owner_id", F.xxhash64("owner_key")).alias("owner_id"),
+        )
     )
+    new_pairs = pairs.join(
+        memberships.select("person_id", "owner_id"), ["person_id", "owner_id"], "left_anti"
+    ).select("employee_id", "owner_key")
 
     linked = matched.where(F.col("outcome") == "linked")
     order = F.struct("position", "part")
@@ -284,8 +282,9 @@ def import_roster(
         F.max_by("group", order).alias("owner_key")
     )
 
-    found = managers.join(known_people.select("employee_id"), "employee_id", "left_semi")
-    lost = managers.join(known_people.select("employee_id"), "employee_id", "left_anti")
+    known_ids = people.select("employee_id").union(person_changes.select("employee_id"))
+    found = managers.join(known_ids, "employee_id", "left_semi")
+    lost = managers.join(known_ids, "employee_id", "left_anti")
 
     def count(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
@@ -294,7 +293,7 @@ def import_roster(
         count(new_owners, "owners_created")
         .unionByName(count(new_people, "people_created"))
         .unionByName(count(found, "managers_marked"))
-        .unionByName(count(added, "memberships_added"))
+        .unionByName(count(new_pairs, "memberships_added"))
         .unionByName(count(linked, "sites_linked"))
     )
     issues = (
