@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.shared import written
+
 
 def link_health(files: DataFrame, statuses: DataFrame) -> DataFrame:
     """404 flags of every active file. Only status 404 counts; others clear the flag.
 
     ``statuses`` (url, status) keeps only its dead links before the joins, so what
-    meets the inventory is the small set of URLs that answered 404.
+    meets the inventory is the small set of URLs that answered 404. It is written first:
+    Spark then knows its size, and where it is too large to broadcast, a page that links a
+    third of all files can still be split.
     """
-    dead = statuses.where(F.col("status") == 404).select("url").distinct()
+    dead = written(statuses.where(F.col("status") == 404).select("url").distinct(), "dead")
     gone_pdf = dead.select(F.col("url").alias("pdf_url"), F.lit(True).alias("_pdf"))
     gone_parent = dead.select(F.col("url").alias("parent_url"), F.lit(True).alias("_parent"))
     active = files.where(~F.col("removed")).drop("pdf_404", "parent_404")

@@ -33,7 +33,12 @@ def spread_null(key: Column, row: Column) -> Column:
 def lookup_hash(
     files: DataFrame, facts: DataFrame, how: str = "left", row: str = "pdf_url"
 ) -> DataFrame:
-    """Join facts keyed by pdf_hash to files by file_hash; ``row`` spreads missing hashes."""
+    """Join facts keyed by pdf_hash to files by file_hash; ``row`` spreads missing hashes.
+
+    The facts should come from a table (see ``shared.written``): an aggregate or join by
+    hash would lend its partitioning to this join, and adaptive execution can split a hot
+    hash only where both sides are shuffled for the join itself.
+    """
     keyed = files.withColumn("_key", spread_null(F.col("file_hash"), F.col(row)))
     return keyed.join(facts.withColumnRenamed("pdf_hash", "_key"), "_key", how).drop("_key")
 

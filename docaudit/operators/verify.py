@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.operators.merge import spread_null
 from docaudit.operators.rules import job_rules, summarize
 from docaudit.shared import written
 from docaudit.sources.policy import RulePolicy
@@ -163,7 +164,9 @@ def verify(
             F.concat(F.lit("verapdf "), F.col("first_url"), F.lit(f": {NO_RESULT}")),
         ).alias("hash_error"),
     )
-    url_facts = fetched.join(hash_facts, "file_hash", "left").select(
+    # Failed URLs have no hash; each gets a key of its own instead of sharing a null.
+    keyed = fetched.withColumn("_key", spread_null(F.col("file_hash"), F.col("pdf_url")))
+    url_facts = keyed.join(hash_facts.withColumnRenamed("file_hash", "_key"), "_key", "left").select(
         "pdf_url", "file_hash", "first_id", F.coalesce("error", "hash_error").alias("error")
     )
     outcomes = files.select("pdf_id", "site_id", "pdf_url").join(url_facts, "pdf_url").select(

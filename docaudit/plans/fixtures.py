@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docaudit.operators.rules import summarize
 from docaudit.operators.status import triage_reports
 from docaudit.operators.verify import assemble_reports
+from docaudit.shared import written
 from docaudit.sources.policy import (
     DEFAULT_RULE_POLICY,
     DEFAULT_TRIAGE_PROFILE,
@@ -430,9 +431,11 @@ class Fixtures:
 
     @cached_property
     def triaged(self) -> DataFrame:
-        return triage_reports(
+        """Triaged reports as a table, so that joins with files can split a hot hash."""
+        triaged = triage_reports(
             self.reports, self.rules, DEFAULT_RULE_POLICY, DEFAULT_TRIAGE_PROFILE
         )
+        return written(triaged, "triaged")
 
     def checker_reports(self) -> DataFrame:
         """Checker JSON per document: the result is an object or a one-element list."""

@@ -13,6 +13,7 @@ from docaudit.operators.inventory import archive_counts, upsert_files
 from docaudit.operators.links import crawl_counts
 from docaudit.operators.status import triage_reports
 from docaudit.operators.verify import VerifyResult
+from docaudit.shared import written
 from docaudit.sources.policy import (
     DEFAULT_RULE_POLICY,
     DEFAULT_TRIAGE_PROFILE,
@@ -78,12 +79,15 @@ def run_steps(
         results.append(_melt(archive_counts(files), "archived"))
     if check_404 and inputs.statuses is not None:
         results.append(_melt(health_counts(link_health(files, inputs.statuses)), "check_404"))
-    for fmt, path in (exports or {}).items():
-        triaged = triage_reports(inputs.reports, inputs.rules, inputs.policy, inputs.profile)
+    if exports:
+        triaged = written(
+            triage_reports(inputs.reports, inputs.rules, inputs.policy, inputs.profile), "triaged"
+        )
         rows = collect_rows(files, inputs.contacts, triaged)
-        _WRITERS[fmt](rows, path)
-        written = files.groupBy("site_id").agg(F.count("*").alias("rows"))
-        results.append(_melt(written, f"export_{fmt}"))
+        for fmt, path in exports.items():
+            _WRITERS[fmt](rows, path)
+            counts = files.groupBy("site_id").agg(F.count("*").alias("rows"))
+            results.append(_melt(counts, f"export_{fmt}"))
     report = results[0]
     for r in results[1:]:
         report = report.unionByName(r)
