@@ -50,7 +50,7 @@ def test_sinks(spark, tmp_path):
     back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"')
     assert back.columns == EXPORT_COLUMNS and back.collect()[0]["pdf_url"] == row["pdf_url"]
     write_json(rows, str(tmp_path / "json"))
-    text = next((tmp_path / "json").glob("part-*.json")).read_text(encoding="utf-8")
+    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "json").glob("part-*.json"))
     assert "é" in text and list(json.loads(text)) == EXPORT_COLUMNS
     failures = spark.createDataFrame([(1, 2, "m")], "site_id bigint, pdf_id bigint, error_message string")
     append_failures(failures, str(tmp_path / "f"))
