@@ -4,6 +4,26 @@ from __future__ import annotations
 
 _ASCII = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1 = rf"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex({_ASCII.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') w
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 2), ' ') g
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (
+  select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (
+  select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 90 * (nx.n + ny.n - c)),
+r(doc_id, m) as (
+  select doc_id, doc_id from documents
+  union
+  select y, m from r join l on x = r.doc_id)
+select d.doc_id, coalesce(n, 0) n_shingles, component_id
+from documents d left join n using (doc_id) join (select doc_id, min(m) component_id from r group by doc_id) using (doc_id)
+"""
+
 OP2 = rf"""
 with dw as (
   select doc_id, list_filter(string_split_regex({_ASCII.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
@@ -76,4 +96,4 @@ select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 from f left join s using (doc_id)
 """
 
-SQL: dict[str, str] = {"op2_decontaminate": OP2, "op3_line_dedup": OP3, "op9_quality_rules": OP9}
+SQL: dict[str, str] = {"op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op9_quality_rules": OP9}

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import oracles
+from docaudit.llm.hidden_markov import score_texts
 from docaudit.llm.line_runs import dedup_lines
+from docaudit.llm.ngram_join import similar_documents
+from docaudit.llm.packing import pack_documents
 from docaudit.llm.quality_rules import apply_quality_rules
 from docaudit.llm.winnowing import contamination
 from docaudit.shared import SESSION_CONF
@@ -18,9 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for key, value in SESSION_CONF.items():
         if key.startswith("spark.sql.adaptive"):
             spark.conf.set(key, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the document id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).drop("set_hash")
+
+
+def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), _remainder(5) == 1)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents")).drop("loss_tokens")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -39,6 +60,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op3_line_dedup, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_decontaminate, op3_line_dedup, op5_hidden_markov, op6_packing, op9_quality_rules,
+    )
 }
 ORACLE_SQL: dict[str, str] = oracles.SQL
