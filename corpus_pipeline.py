@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm.line_runs import dedup_lines
+from docaudit.llm.ngram_join import JoinSettings, similar_documents
+from docaudit.llm.packing import pack_documents
 from docaudit.llm.quality_rules import apply_quality_rules
 from docaudit.llm.queries import table
 from docaudit.llm.winnowing import contamination
@@ -28,10 +30,34 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of similar texts stays, and every text without words.
+
+    Five-word shingles and a similarity of 0.8.
+    """
+    found = similar_documents(docs, settings=JoinSettings(words=5, percent=80))
+    firsts = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
+    return docs.join(firsts, F.col("doc_id") == F.col("first_id"), "left_semi")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _semi(docs, found.where(~F.col("contaminated")))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
     ("line_dedup", line_dedup),
+    ("ngram_join", near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", packing),
 ]
+# Packing depends on a tokenizer, which SQL cannot express; the tests use a plain version of every stage.
 ORACLE_SQL = None
 
 

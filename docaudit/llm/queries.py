@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.llm import oracles
+from docaudit.llm.boosted_trees import score_quality
 from docaudit.llm.hidden_markov import score_texts
+from docaudit.llm.license_scan import default_templates, scan_licenses
 from docaudit.llm.line_runs import dedup_lines
 from docaudit.llm.ngram_join import similar_documents
 from docaudit.llm.packing import pack_documents
 from docaudit.llm.quality_rules import apply_quality_rules
+from docaudit.llm.training_order import training_order
+from docaudit.llm.warc import read_warc, write_warc
 from docaudit.llm.winnowing import contamination
-from docaudit.shared import SESSION_CONF
+from docaudit.shared import SESSION_CONF, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).drop("set_hash")
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(4) == 2
+    )
+
+
 def op5_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), _remainder(5) == 1)
 
@@ -55,6 +65,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(table(spark, sf_dir, "pages"), new_path(spark, "warc"))).drop("url")
+
+
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), default_templates(spark))
+    return found.select("doc_id", "n_licenses", F.array_join("licenses", ",").alias("licenses"), "best_share")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(table(spark, sf_dir, "documents")).drop("row_key", "left")
 
@@ -62,7 +85,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_ngram_join, op2_decontaminate, op3_line_dedup, op5_hidden_markov, op6_packing, op9_quality_rules,
+        op1_ngram_join, op2_decontaminate, op3_line_dedup, op4_quality_trees, op5_hidden_markov, op6_packing,
+        op7_warc, op8_training_order, op9_quality_rules, op10_license_scan,
     )
 }
 ORACLE_SQL: dict[str, str] = oracles.SQL

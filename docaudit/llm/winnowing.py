@@ -23,15 +23,19 @@ _POSITION_BITS = 24
 _POSITION = (1 << _POSITION_BITS) - 1
 
 
-def fingerprints(words: Column, window: int, k: int) -> Column:
-    """Smallest k-gram of every window of ``window`` words, as hash bits over position bits."""
-    grams = F.transform(
+def _positioned_grams(words: Column, k: int) -> Column:
+    """Hash bits over position bits of every run of ``k`` words."""
+    return F.transform(
         counting(F.size(words) - (k - 1)),
         lambda i: gram_hash(words, i, k).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("bigint")),
     )
+
+
+def fingerprints(words: Column, window: int, k: int) -> Column:
+    """Smallest k-gram of every window of ``window`` words, as hash bits over position bits."""
     span = window - k + 1
     return let(
-        grams,
+        _positioned_grams(words, k),
         lambda g: F.array_distinct(
             F.transform(
                 counting(F.size(g) - (span - 1)), lambda i: F.least(*[F.get(g, i + j) for j in range(span)])
@@ -93,13 +97,7 @@ def contamination(
 
     def doc_facts(w: Column) -> Column:
         # Items below the window size are looked up by grams of just their length.
-        short = {
-            f"short_{n}": F.transform(
-                counting(F.size(w) - (n - 1)),
-                lambda i, n=n: gram_hash(w, i, n).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(i.cast("bigint")),
-            )
-            for n in shorter
-        }
+        short = {f"short_{n}": _positioned_grams(w, n) for n in shorter}
         return F.struct(
             F.size(w).cast("bigint").alias("n_words"), fingerprints(w, window, k).alias("prints"),
             *[v.alias(n) for n, v in short.items()],
