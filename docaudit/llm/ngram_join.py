@@ -4,8 +4,8 @@ If two sets are similar enough, their prefixes share a token, whatever the order
 must pass under each of several orders; the filters are intersected before sets are compared.
 
 1. Shingles that are frequent in blocks of documents are counted over the whole table. They come last in
-   every order, so prefixes hold rare shingles. The list is cut at a share of the documents, which
-   bounds its length by the mean set size; the order is only a matter of speed, never of results.
+   every order, so prefixes hold rare shingles. The list has a fixed longest size, so it can be sent to
+   every task; what it holds is only a matter of speed, never of results.
 2. Each document gets its set's size and hash, and its prefix under every order. Equal sets are one node.
 3. Nodes that share a prefix token of the first order are a list. Each list's first member is compared with
    all others; what is linked becomes one component. Only lists with several components are looked at again,
@@ -33,16 +33,17 @@ from docaudit.shared import written
 class JoinSettings:
     """Two documents link when 100 * intersection >= percent * union of their ``words``-word shingles.
 
-    ``orders``: token orders, the first included. ``frequent_share``: shingles in more than this share of documents
-    (but in ``frequent_least`` at least) come last. ``frequent_most``: longest list of such shingles, most frequent first.
+    ``orders``: token orders, the first included. ``frequent_least``: shingles with at least this count come last;
+    ``frequent_most``: longest list of them, most frequent first. ``broadcast_keys``: longest list of keys that is sent
+    to all tasks instead of shuffling what they select from.
     """
 
     words: int = 3
     percent: int = 90
     orders: int = 3
-    frequent_share: float = 0.0005
-    frequent_least: int = 8
+    frequent_least: int = 6
     frequent_most: int = 1_000_000
+    broadcast_keys: int = 500_000
     block_bytes: int = 4 << 20
 
     def __post_init__(self):
@@ -86,7 +87,7 @@ def set_hashes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
-def frequent_shingles(docs: DataFrame, text_col: str, n_docs: int, s: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, text_col: str, s: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of frequent shingles, sorted, with a class that grows with their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +101,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, n_docs: int, s: JoinSettin
             yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(n[many])], ["t", "n"])
 
     counts = docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    least = max(s.frequent_least, int(n_docs * s.frequent_share))
-    # At most mean set size / frequent_share rows, whatever the size of the table.
+    least = s.frequent_least
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "t").limit(s.frequent_most).toArrow()
     token, n = top["t"].to_numpy(), top["n"].to_numpy()
     order = np.argsort(token.view(np.uint64))
@@ -181,12 +181,21 @@ class _Verifier:
         self.docs, self.id_col, self.text_col, self.s = docs, id_col, text_col, s
         self.told = signatures.where((F.col("n") > 0) & (F.size("o0") > 0))
 
+    def _of(self, rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+        """Rows whose key is among the wanted ones. A short list of keys goes to the rows, else both are shuffled."""
+        most = self.s.broadcast_keys
+        keys = wanted.toDF("wanted").distinct()
+        if keys.limit(most + 1).count() <= most:
+            keys = F.broadcast(keys)
+        return rows.join(keys, F.col(key) == F.col("wanted"), "left_semi")
+
     def _filtered(self, pairs: DataFrame) -> DataFrame:
         names = [f"o{i}" for i in range(1, self.s.orders)]
         if not names:
             return pairs
-        a = self.told.select(F.col("h").alias("a"), *[F.col(x).alias(f"a_{x}") for x in names])
-        b = self.told.select(F.col("h").alias("b"), *[F.col(x).alias(f"b_{x}") for x in names])
+        told = self._of(self.told, "h", pairs.select("a").union(pairs.select("b")))
+        a = told.select(F.col("h").alias("a"), *[F.col(x).alias(f"a_{x}") for x in names])
+        b = told.select(F.col("h").alias("b"), *[F.col(x).alias(f"b_{x}") for x in names])
         shared = F.lit(True)
         for x in names:
             shared = shared & F.arrays_overlap(f"a_{x}", f"b_{x}")
@@ -194,11 +203,9 @@ class _Verifier:
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
         """(h, members): whole sets of the nodes, from one of their texts each."""
-        ids = self.told.join(nodes, "h").groupBy("h").agg(F.min("_id").alias("wanted"))
-        ids = ids.select("wanted").distinct()
-        texts = self.docs.join(ids, F.col(self.id_col) == F.col("wanted"), "left_semi").select(
-            F.col(self.text_col).alias("_text")
-        )
+        ids = self._of(self.told.select("h", "_id"), "h", nodes).groupBy("h").agg(F.min("_id").alias("id"))
+        ids = written(ids.select("id"), "wanted")
+        texts = self._of(self.docs, self.id_col, ids).select(F.col(self.text_col).alias("_text"))
         words, size = self.s.words, self.s.block_bytes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +220,7 @@ class _Verifier:
         return texts.mapInArrow(run, "h bigint, members binary")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = written(self._filtered(pairs), "candidates")
+        pairs = written(self._filtered(written(pairs, "pairs")), "candidates")
         nodes = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
         sets = written(self._sets(nodes), "sets")
         a = sets.select(F.col("h").alias("a"), F.col("members").alias("x"))
@@ -281,7 +288,7 @@ def similar_documents(
     """
     s = settings
     docs = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
-    frequent = frequent_shingles(docs, text_col, docs.count(), s)
+    frequent = frequent_shingles(docs, text_col, s)
     signatures = written(_signatures(docs, id_col, text_col, frequent, s), "signatures")
     links = written(_node_links(docs, id_col, text_col, signatures, s), "links")
     labels = connected_components(links)

@@ -27,7 +27,7 @@ def _counted(df, *names):
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (1, 100)])
 @pytest.mark.parametrize("orders", [1, 3])
 def test_join_components(odd, odd_rows, n, percent, orders):
-    found = similar_documents(odd, settings=JoinSettings(words=n, percent=percent, orders=orders, frequent_share=0.01, frequent_least=3))
+    found = similar_documents(odd, settings=JoinSettings(words=n, percent=percent, orders=orders, frequent_least=3))
     want = plain.components(odd_rows, n, percent)
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in found.collect()}
     assert found.count() == sum(d is not None for d, _ in odd_rows)
