@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 FULL_PAGE_BAND = (0.9, 1.1)
 GRAPHIC_BAND = (0.05, 0.9)
 TEXT_OVERLAP = 0.5
-MAX_LAYOUT_PAGES = 25
 
 
 def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -18,7 +18,8 @@ _SHARE = r"(?i)^https?://(?!\.box\.com/)([a-zA-Z0-9-]*)[a-zA-Z0-9.-]*\.box\.com/
 _MARKER = "Box.postStreamData"
 _SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script\s*>"
 _ITEMS = r'(?s)"items":\s*(\[\{.*\}\])'
-_ITEM_SCHEMA = "array<struct<name:string,extension:string,canDownload:string,size:bigint>>"
+# A boolean only where the JSON has one: a quoted "false" is not a lock.
+_ITEM_SCHEMA = "array<struct<name:string,extension:string,canDownload:boolean,size:bigint>>"
 
 NOT_SHARE = "not a box share url"
 NOT_FETCHED = "could not fetch box page"
@@ -28,8 +29,8 @@ LOCKED = "box file is not downloadable"
 NO_RESOLVER = "no resolver"
 
 
-def share_items_json(html: Column) -> Column:
-    """JSON text of the item array, or null when no marked script has one.
+def share_item_texts(html: Column) -> Column:
+    """JSON texts of the item arrays of all marked scripts that have one, in page order.
 
     Single quotes are dropped before the search, so names lose their apostrophes.
     """
@@ -37,17 +38,22 @@ def share_items_json(html: Column) -> Column:
         F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)),
         lambda s: F.contains(s, F.lit(_MARKER)),
     )
-    found = F.filter(
+    return F.filter(
         F.transform(
             scripts, lambda s: F.regexp_extract(F.replace(s, F.lit("'"), F.lit("")), _ITEMS, 1)
         ),
         lambda s: s != "",
     )
-    return F.get(found, F.lit(0))
 
 
 def share_items(html: Column) -> Column:
-    return F.from_json(share_items_json(html), _ITEM_SCHEMA)
+    """Items of all marked scripts, null without any; a script whose items are no JSON has none."""
+
+    def items(texts: Column) -> Column:
+        parsed = F.transform(texts, lambda s: F.from_json(s, _ITEM_SCHEMA))
+        return F.when(F.size(texts) > 0, F.flatten(F.filter(parsed, lambda x: x.isNotNull())))
+
+    return let(share_item_texts(html), items)
 
 
 def first_pdf_item(items: Column) -> Column:
@@ -70,16 +76,19 @@ class BoxShares:
             url, _SHARE + r"(?s).*$", r"https://$1.app.box.com/public/static/$2.pdf"
         )
 
-        def outcome(raw: Column, items: Column) -> Column:
-            return let(first_pdf_item(items), lambda item: result(raw, items, item))
+        def outcome(parsed: Column) -> Column:
+            # Scripts are read in order up to the first with a PDF or with broken items.
+            holds = F.filter(parsed, lambda x: x.isNull() | first_pdf_item(x).isNotNull())
+            broken = (F.size(holds) > 0) & F.get(holds, F.lit(0)).isNull()
+            return let(first_pdf_item(F.get(holds, F.lit(0))), lambda item: result(broken, item))
 
-        def result(raw: Column, items: Column, item: Column) -> Column:
+        def result(broken: Column, item: Column) -> Column:
             error = (
                 F.when(~self.matches(url), F.lit(NOT_SHARE))
                 .when(html.isNull(), F.lit(NOT_FETCHED))
-                .when(raw.isNotNull() & items.isNull(), F.lit(PARSE_ERROR))
+                .when(broken, F.lit(PARSE_ERROR))
                 .when(item.isNull(), F.lit(NO_ITEM))
-                .when(item["canDownload"] == "false", F.lit(LOCKED))
+                .when(~item["canDownload"], F.lit(LOCKED))
             )
             return let(
                 error,
@@ -91,8 +100,7 @@ class BoxShares:
             )
 
         return let(
-            share_items_json(html),
-            lambda raw: let(F.from_json(raw, _ITEM_SCHEMA), lambda items: outcome(raw, items)),
+            F.transform(share_item_texts(html), lambda s: F.from_json(s, _ITEM_SCHEMA)), outcome
         )
 
 

@@ -7,13 +7,13 @@ and a missing part is the empty string.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docaudit.functions.suffixes import DEFAULT_SUFFIXES, SuffixRules
 from docaudit.functions.text import let, strip
 
 _URL = (
@@ -24,15 +24,6 @@ _HIERARCHICAL = ("http", "https", "ftp", "file")
 
 SCOPES = ("host", "subdomain", "domain", "path")
 
-# Public suffixes known without a suffix file. Every two-letter
-# country code is a suffix too, as are the listed labels in front of one.
-GENERIC_SUFFIXES = (
-    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name",
-    "io", "app", "dev", "online", "site", "xyz", "museum", "travel", "jobs",
-)
-SECOND_LEVEL_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org", "ne", "or", "sch")
-
-
 @dataclass(frozen=True)
 class UrlParts:
     scheme: Column
@@ -131,23 +122,8 @@ def url_display(url: Column) -> Column:
     return F.coalesce(F.nullif(with_parts(url, shown), F.lit("")), url)
 
 
-def suffix_pattern(suffixes: Sequence[str] = GENERIC_SUFFIXES) -> str:
-    """Alternation of the known public suffixes, longest kinds first."""
-    ordered = sorted((s.lower() for s in suffixes), key=lambda s: (-s.count("."), s))
-    named = "|".join(re.escape(s) for s in ordered)
-    second = "|".join(SECOND_LEVEL_LABELS)
-    return rf"(?:(?:{second})\.[a-z]{{2}}|{named}|[a-z]{{2}})"
-
-
-def registrable_domain(
-    url_or_host: Column, suffixes: Sequence[str] = GENERIC_SUFFIXES
-) -> Column:
-    """Public suffix plus one label of a URL or bare host; empty when unknown.
-
-    One anchored pattern instead of a join with a suffix table: the search is
-    leftmost, so the longest suffix wins.
-    """
-    suffix = suffix_pattern(suffixes)
+def registrable_domain(url_or_host: Column, suffixes: SuffixRules = DEFAULT_SUFFIXES) -> Column:
+    """Public suffix plus one label of a URL or bare host; empty for addresses and bare suffixes."""
 
     def host_part(value: Column) -> Column:
         # Bare hosts may still carry user info, a port or a path.
@@ -155,9 +131,16 @@ def registrable_domain(
         return F.when(F.contains(value, F.lit("://")), url_host(value)).otherwise(F.lower(bare))
 
     def domain(host: Column) -> Column:
-        return F.when(host.rlike(f"^{suffix}$"), F.lit("")).otherwise(
-            F.regexp_extract(host, rf"(?:^|\.)([^.]+\.{suffix})$", 1)
-        )
+        def cut(labels: Column) -> Column:
+            return let(
+                suffixes.suffix_start(labels),
+                lambda at: F.when(
+                    at > 0, F.array_join(F.slice(labels, at, F.size(labels) - at + 1), ".")
+                ).otherwise(F.lit("")),
+            )
+
+        address = host.rlike(r"^[0-9.]*$|:|\.\.|^\.")
+        return F.when(address, F.lit("")).otherwise(let(F.split(host, "\\."), cut))
 
     host = let(F.coalesce(url_or_host, F.lit("")), host_part)
     return let(F.rtrim(host, F.lit(".")), domain)
@@ -248,7 +231,11 @@ def absolute_http(base: Column, href: Column) -> Column:
 
 
 def in_scope(
-    url: Column, scope: Column | str, hosts: Column, path_prefix: Column | None = None
+    url: Column,
+    scope: Column | str,
+    hosts: Column,
+    path_prefix: Column | None = None,
+    suffixes: SuffixRules = DEFAULT_SUFFIXES,
 ) -> Column:
     """Crawl scope test against an array of seed hosts. An unknown scope acts as ``host``.
 
@@ -269,8 +256,8 @@ def in_scope(
 
     def domain_test() -> Column:
         return let(
-            registrable_domain(url),
-            lambda d: (d != "") & F.exists(lowered, lambda s: registrable_domain(s) == d),
+            registrable_domain(url, suffixes),
+            lambda d: (d != "") & F.exists(lowered, lambda s: registrable_domain(s, suffixes) == d),
         )
 
     def path_test() -> Column:

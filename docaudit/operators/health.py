@@ -29,10 +29,19 @@ def link_health(files: DataFrame, statuses: DataFrame) -> DataFrame:
     )
 
 
-def health_counts(checked: DataFrame) -> DataFrame:
-    """Checked files and dead links per site."""
-    return checked.groupBy("site_id").agg(
+def health_counts(checked: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """Checked files and dead links per site; ``sites`` adds a row of zeros for those without."""
+    counts = checked.groupBy("site_id").agg(
         F.count("*").alias("checked"),
         F.count_if("pdf_404").alias("pdf_404"),
         F.count_if("parent_404").alias("parent_404"),
     )
+    return counts if sites is None else with_zeros(counts, sites)
+
+
+def with_zeros(counts: DataFrame, sites: DataFrame) -> DataFrame:
+    """Counts per site_id for every site; what has no count is zero."""
+    numbers = [c for c in counts.columns if c != "site_id"]
+    return sites.select("site_id").join(counts, "site_id", "left").select(
+        "site_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers]
+    )

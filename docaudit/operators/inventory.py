@@ -10,6 +10,7 @@ from docaudit.functions.text import strip
 from docaudit.functions.urls import SCOPES, ensure_scheme, url_host
 from docaudit.operators.merge import (
     delete,
+    last_per_key,
     lookup_hash,
     merge,
     missing_keys,
@@ -102,6 +103,7 @@ def upsert_files(files: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     of the key would collide on an inventory of billions of rows.)
     """
     no = F.lit(False)
+    found = last_per_key(found, FILE_KEY)
     kept = update(
         files,
         found,
@@ -195,10 +197,9 @@ def apply_archive(files: DataFrame, rules: ArchiveRules = DEFAULT_ARCHIVE_RULES)
 
 
 def archive_counts(files: DataFrame, rules: ArchiveRules = DEFAULT_ARCHIVE_RULES) -> DataFrame:
-    """Files per site that a rule marks, newly or again."""
+    """Active files per site that a rule marks, newly or again. A site without active files has a zero."""
     hit = is_archived(F.col("pdf_url"), rules)
-    active = files.where(~F.col("removed"))
-    return active.groupBy("site_id").agg(F.count_if(hit).alias("flagged"))
+    return files.groupBy("site_id").agg(F.count_if(hit & ~F.col("removed")).alias("flagged"))
 
 
 def set_manager(people: DataFrame, marks: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from docaudit.functions.geometry import (
     FULL_PAGE_BAND,
     GRAPHIC_BAND,
-    MAX_LAYOUT_PAGES,
     TEXT_OVERLAP,
     area,
     area_ratio,
@@ -26,9 +25,9 @@ _GRID = 8
 _EDGE = 1e-6
 
 
-def sampled(boxes: DataFrame, max_pages: int = MAX_LAYOUT_PAGES) -> DataFrame:
-    """Boxes of the first pages only."""
-    return boxes.where(F.col("page_no") < max_pages)
+def sampled(boxes: DataFrame, max_pages: int | None) -> DataFrame:
+    """Boxes of the first pages only; None keeps all pages."""
+    return boxes if max_pages is None else boxes.where(F.col("page_no") < max_pages)
 
 
 def _page_area() -> Column:
@@ -48,25 +47,16 @@ def page_kinds(boxes: DataFrame) -> DataFrame:
     )
 
 
-def text_type(boxes: DataFrame) -> DataFrame:
-    """Hybrid, Text, Image Only or null per document.
+def text_type(boxes: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Hybrid, Text, Image Only or null per document, over all pages or the first ``max_pages``.
 
-    The sampled pages fit into one long, so pages are collected as bit sets: a single
-    aggregate per document instead of one per page and one per document.
+    Pages are combined first, then documents, so a document of any number of pages is a
+    few counters. Every document of ``boxes`` has a row.
     """
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("page_no").cast("int"))
-    full = (F.col("kind") == "figure_image") & within(_ratio(), FULL_PAGE_BAND)
-    pages = (
-        sampled(boxes)
-        .groupBy("pdf_hash")
-        .agg(
-            F.bit_count(F.coalesce(F.bit_or(F.when(F.col("kind") == "text", bit)), F.lit(0))).cast(
-                "bigint"
-            ).alias("text_pages"),
-            F.bit_count(F.coalesce(F.bit_or(F.when(full, bit)), F.lit(0))).cast("bigint").alias(
-                "image_pages"
-            ),
-        )
+    some = F.lit(True) if max_pages is None else F.col("page_no") < max_pages
+    pages = page_kinds(boxes).groupBy("pdf_hash").agg(
+        F.count_if(F.col("has_text") & some).alias("text_pages"),
+        F.count_if(F.col("has_page_image") & some).alias("image_pages"),
     )
     text, image = F.col("text_pages") > 0, F.col("image_pages") > 0
     return pages.withColumn(
@@ -81,8 +71,8 @@ def _cell(value: Column, low: Column, high: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(_GRID - 1), F.floor(share * _GRID))).cast("int")
 
 
-def overlapping_texts(boxes: DataFrame) -> DataFrame:
-    """Text boxes that lie on a substantial image of their page.
+def overlapping_texts(boxes: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Text boxes that lie on a substantial image of their page, on all pages or the first ``max_pages``.
 
     An overlap of at least half the text box always covers the centre of that box. So a
     text goes to the one grid cell of its centre, an image to the cells it touches, and
@@ -90,7 +80,7 @@ def overlapping_texts(boxes: DataFrame) -> DataFrame:
     join stops at the first hit and never emits pairs.
     """
     px = [F.col(f"page_{c}") for c in ("x0", "y0", "x1", "y1")]
-    page_boxes = sampled(boxes).where(_page_area() > 0)
+    page_boxes = sampled(boxes, max_pages).where(_page_area() > 0)
     texts = page_boxes.where(
         (F.col("kind") == "text") & (area(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]) > 0)
     ).select(
@@ -132,11 +122,11 @@ def overlapping_texts(boxes: DataFrame) -> DataFrame:
     return t.join(i, condition, "left_semi").drop("cx", "cy")
 
 
-def complex_graphic(boxes: DataFrame) -> DataFrame:
-    """Documents with their complex-graphic flag, sampled pages only."""
-    hits = overlapping_texts(boxes).select("pdf_hash").distinct()
+def complex_graphic(boxes: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """All documents with their complex-graphic flag, by all pages or the first ``max_pages``."""
+    hits = overlapping_texts(boxes, max_pages).select("pdf_hash").distinct()
     flagged = hits.withColumn("complex_graphic", F.lit(True))
-    documents = sampled(boxes).select("pdf_hash").distinct()
+    documents = boxes.select("pdf_hash").distinct()
     return documents.join(flagged, "pdf_hash", "left").withColumn(
         "complex_graphic", F.coalesce("complex_graphic", F.lit(False))
     )

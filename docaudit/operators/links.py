@@ -2,33 +2,56 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docaudit.functions.share_pages import resolver_name
+from docaudit.functions.suffixes import DEFAULT_SUFFIXES, SuffixRules
 from docaudit.functions.text import drop_nulls, let, strip
-from docaudit.functions.urls import absolute_http, in_scope, is_pdf_url, normalize_url, registrable_domain
+from docaudit.functions.urls import absolute_http, in_scope, is_pdf_url, normalize_url
 from docaudit.shared import new_path, written
 
 # Markup whose text must not be read as links.
 _NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# Attributes before ``href`` are stepped over whole, with their quoted values.
+_ATTRIBUTE = r"""\s+(?!href\s*=)[^\s=>]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+_HREF = rf"""(?is)<a(?:{_ATTRIBUTE})*+\s+href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _BASE = r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*["']?([^\s"'>]+)"""
 
-# Entities that occur in attribute values; the ampersand comes last.
-_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&#38;", "&"), ("&amp;", "&"),
-)
+# The names that HTML 4 defines, from the standard library, and the one XML adds.
+ENTITY_NAMES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+_REFERENCE = r"(?s)^(?:#0*([0-9]{1,7});?|#[xX]0*([0-9a-fA-F]{1,6});?|([A-Za-z][A-Za-z0-9]*);)(.*)$"
 
 
 def decode_entities(col: Column) -> Column:
+    """Decode numeric and named references, each once; what is no reference stays as it is."""
+    known = F.map_from_arrays(F.lit(list(ENTITY_NAMES)), F.lit(list(ENTITY_NAMES.values())))
+
+    def character(code: Column) -> Column:
+        # ``char`` knows 256 characters only.
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+    def reference(part: Column) -> Column:
+        def group(n: int) -> Column:
+            return F.regexp_extract(part, _REFERENCE, n)
+
+        decimal, base16, name = group(1), group(2), group(3)
+        found = (
+            F.when(decimal != "", character(decimal.cast("bigint")))
+            .when(base16 != "", character(F.conv(base16, 16, 10).cast("bigint")))
+            .when(name != "", F.try_element_at(known, name))
+        )
+        return F.coalesce(F.concat(found, group(4)), F.concat(F.lit("&"), part))
 
     def decode(text: Column) -> Column:
-        decoded = text
-        for entity, char in _ENTITIES:
-            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-        return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+        parts = F.split(text, "&")
+        decoded = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), reference)
+        return F.when(
+            F.contains(text, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(decoded, ""))
+        ).otherwise(text)
 
     return let(col, decode)
 
@@ -53,17 +76,24 @@ def html_only(pages: DataFrame, column: str = "content_type") -> DataFrame:
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """One row per anchor: page_id, parent_url, href."""
+    """One row per anchor: page_id, parent_url, href, base_url (where relative links start)."""
     return pages.select(
-        "page_id", F.col("url").alias("parent_url"), F.explode(page_hrefs(F.col("html"))).alias("href")
-    )
+        "page_id",
+        F.col("url").alias("parent_url"),
+        page_base(F.col("url"), F.col("html")).alias("base_url"),
+        F.explode(page_hrefs(F.col("html"))).alias("href"),
+    ).select("page_id", "parent_url", "href", "base_url")
 
 
 def absolute_links(links: DataFrame) -> DataFrame:
-    """Links with their normalised absolute URL; other schemes are dropped."""
+    """Links with their normalised absolute URL; other schemes are dropped.
+
+    Relative links start at ``base_url`` where the links have one, else at the page.
+    """
     # Exploding the compacted array drops the nulls without a filter, which Catalyst would
     # push below the projection and so compute the URL twice.
-    absolute = normalize_url_or_null(absolute_http(F.col("parent_url"), F.col("href")))
+    start = F.coalesce("base_url", "parent_url") if "base_url" in links.columns else F.col("parent_url")
+    absolute = normalize_url_or_null(absolute_http(start, F.col("href")))
     return links.select("*", F.explode(drop_nulls(absolute)).alias("url"))
 
 
@@ -71,7 +101,7 @@ def normalize_url_or_null(url: Column) -> Column:
     return let(url, lambda u: F.when(u.isNotNull(), normalize_url(u)))
 
 
-def classify_links(links: DataFrame) -> DataFrame:
+def classify_links(links: DataFrame, suffixes: SuffixRules = DEFAULT_SUFFIXES) -> DataFrame:
     """What a crawl does with each link: ``pdf``, ``share``, ``follow`` or null (dropped).
 
     Rows carry url and the crawl settings scope, hosts, path_prefix, include_external_pdfs
@@ -79,7 +109,7 @@ def classify_links(links: DataFrame) -> DataFrame:
     asking the resolvers.
     """
     url = F.col("url")
-    inside = in_scope(url, F.col("scope"), F.col("hosts"), F.col("path_prefix"))
+    inside = in_scope(url, F.col("scope"), F.col("hosts"), F.col("path_prefix"), suffixes)
     resolver = resolver_name(url, enabled=F.col("resolvers"))
     tested = links.select(
         "*", is_pdf_url(url).alias("_pdf"), inside.alias("_in"), resolver.alias("_resolver")
@@ -114,26 +144,25 @@ def discovered_files(classified: DataFrame, site_column: str = "site_id") -> Dat
     )
 
 
-def edges_in_domains(edges: DataFrame, scopes: DataFrame) -> DataFrame:
-    """In-scope links of every site at once: (site_id, src, dst).
-
-    ``scopes`` (site_id, domain) lists the registrable domains each site may enter, so
-    the scope test of many sites is one equi join on the domain of the target.
-    """
-    located = edges.withColumn("domain", registrable_domain(F.col("dst")))
-    return located.join(scopes, "domain").select("site_id", "src", "dst")
-
-
-def crawl_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int = 0) -> DataFrame:
+def crawl_frontier(
+    seeds: DataFrame,
+    edges: DataFrame,
+    sites: DataFrame,
+    max_depth: int = 0,
+    suffixes: SuffixRules = DEFAULT_SUFFIXES,
+) -> DataFrame:
     """Pages reachable from the seeds, with their depth; each page once per site.
 
-    ``seeds`` has (site_id, url), ``edges`` the in-scope links (site_id, src, dst).
-    ``max_depth`` 0 means no limit. Every level is one join of the frontier with the
-    edges. Levels are written to the shared folder as partitions of one table, so the
+    ``seeds`` has (site_id, url), ``edges`` all links (src, dst), ``sites`` the crawl settings site_id, scope, hosts
+    and path_prefix, each of them with any of the four scopes. ``max_depth`` 0 means no limit.
+
+    Only the links that leave the frontier are tested against their site's scope, so no table of edges per
+    site is made. Levels are written to the shared folder as partitions of one table, so the
     plan does not grow with the depth and a lost executor costs one level at most.
     """
     spark = seeds.sparkSession
-    links = written(edges.select("site_id", "src", "dst").distinct(), "edges")
+    links = written(edges.select("src", "dst").distinct(), "edges")
+    rules = written(sites.select("site_id", "scope", "hosts", "path_prefix"), "scopes")
     path = new_path(spark, "reach")
 
     def add_level(rows: DataFrame, depth: int) -> int:
@@ -155,22 +184,23 @@ def crawl_frontier(seeds: DataFrame, edges: DataFrame, max_depth: int = 0) -> Da
     while found and (max_depth == 0 or depth < max_depth):
         known = reached()
         frontier = known.where(F.col("depth") == depth).select("site_id", F.col("url").alias("src"))
-        step = (
-            frontier.join(links, ["site_id", "src"])
-            .select("site_id", F.col("dst").alias("url"))
-            .distinct()
-            .join(known.select("site_id", "url"), ["site_id", "url"], "left_anti")
-        )
+        leaving = frontier.join(links, "src").select("site_id", F.col("dst").alias("url")).distinct()
+        new = leaving.join(known.select("site_id", "url"), ["site_id", "url"], "left_anti")
+        inside = in_scope(F.col("url"), F.col("scope"), F.col("hosts"), F.col("path_prefix"), suffixes)
+        step = new.join(rules, "site_id").where(inside)
         depth += 1
         found = add_level(step, depth)
     return reached()
 
 
 def crawl_counts(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Active files per site after a crawl and how many are new (never negative)."""
+    """Active files per site after a crawl and how many are new (never negative).
+
+    Every site with a file has a row, also where all its files are removed.
+    """
 
     def active(files: DataFrame, name: str) -> DataFrame:
-        return files.where(~F.col("removed")).groupBy("site_id").agg(F.count("*").alias(name))
+        return files.groupBy("site_id").agg(F.count_if(~F.col("removed")).alias(name))
 
     return (
         active(after, "total")

@@ -43,11 +43,24 @@ def lookup_hash(
     return keyed.join(facts.withColumnRenamed("pdf_hash", "_key"), "_key", how).drop("_key")
 
 
+def last_per_key(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One change per key: the last in the order they are read in. Without that, a target row would double."""
+    rest = [c for c in changes.columns if c not in keys]
+    if not rest:
+        return changes.distinct()
+    placed = changes.withColumn("_place", F.monotonically_increasing_id())
+    last = placed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_place").alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in changes.columns])
+
+
 def update(
     target: DataFrame, changes: DataFrame, keys: Sequence[str], assign: Mapping[str, Column]
 ) -> DataFrame:
-    """Set columns of the matched rows. Expressions name ``t`` (old) and ``u`` (change)."""
-    marked = changes.withColumn("_hit", F.lit(True))
+    """Set columns of the matched rows. Expressions name ``t`` (old) and ``u`` (change).
+
+    Of several changes of one key the last counts.
+    """
+    marked = last_per_key(changes, keys).withColumn("_hit", F.lit(True))
     joined = target.alias("t").join(marked.alias("u"), _on("t", "u", keys), "left")
     hit = F.col("u._hit").isNotNull()
     return joined.select(
@@ -74,12 +87,13 @@ def merge(
     on_match: Mapping[str, Column] | None = None,
     on_insert: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Insert new keys, update known ones. ``changes`` holds one row per key.
+    """Insert new keys, update known ones. Of several changes of one key the last counts.
 
     ``on_match`` gives the updated columns (none: insert only). ``on_insert`` gives the
     columns the changes lack; others are taken from the changes, else null.
     """
     on_insert = on_insert or {}
+    changes = last_per_key(changes, keys)
     kept = update(target, changes, keys, on_match) if on_match else target
     new = missing_keys(target, changes, keys)
     inserted = new.select(

@@ -67,22 +67,27 @@ def whois(
 def show_owner(
     owners: DataFrame, sites: DataFrame, people: DataFrame, memberships: DataFrame
 ) -> DataFrame:
-    """Sites and members of every owner as (owner_key, kind, item, detail) rows.
+    """Every owner with its sites and members as (owner_key, kind, item, employee_id, detail) rows.
 
+    Kind ``owner`` has the label and the notes, also of an owner without sites and members.
     Rows instead of nested lists: an owner of any size stays spread over tasks.
     """
     none = F.lit(None).cast("string")
+    own_rows = owners.select(
+        "owner_key", F.lit("owner").alias("kind"), F.col("label").alias("item"), none.alias("employee_id"), F.col("notes").alias("detail")
+    )
     named = owners.select("owner_id", "owner_key")
     site_rows = named.join(sites.select("owner_id", "name"), "owner_id").select(
-        "owner_key", F.lit("site").alias("kind"), F.col("name").alias("item"), none.alias("detail")
+        "owner_key", F.lit("site").alias("kind"), F.col("name").alias("item"), none.alias("employee_id"), none.alias("detail")
     )
     people_rows = members(owners, people, memberships).select(
         "owner_key",
         F.when(F.col("is_manager"), "manager").otherwise("member").alias("kind"),
         F.col("full_name").alias("item"),
+        "employee_id",
         F.col("email").alias("detail"),
     )
-    return site_rows.unionByName(people_rows)
+    return own_rows.unionByName(site_rows).unionByName(people_rows)
 
 
 def owner_counts(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.functions.archive import file_name
 from docaudit.sources.policy import RulePolicy
 
 _RULE = (
@@ -37,7 +36,9 @@ def job_rules(validation_result: Column) -> Column:
             r["clause"].alias("clause"),
             r["testNumber"].alias("test_number"),
             F.coalesce(F.nullif(r["ruleStatus"], F.lit("")), r["status"]).alias("status"),
-            F.coalesce(r["failedChecks"].try_cast("bigint"), F.lit(0)).alias("failed_checks"),
+            F.coalesce(
+                r["failedChecks"].try_cast("bigint"), r["failedChecks"].try_cast("double").try_cast("bigint"), F.lit(0)
+            ).alias("failed_checks"),
             r["specification"].alias("specification"),
             r["description"].alias("description"),
         ),
@@ -54,15 +55,26 @@ def extract_rules(
     )
 
 
-def batch_jobs(batches: DataFrame, json_column: str = "report_json") -> DataFrame:
-    """One row per named job of a batch report, with the base name of the reported path.
+def base_name(path: Column) -> Column:
+    """What follows the last slash; nothing for a path that ends with one."""
+    return F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*)$", 1)
 
-    Two jobs of one name keep the later one.
+
+def batch_jobs(
+    batches: DataFrame, json_column: str = "report_json", order: Column | None = None
+) -> DataFrame:
+    """One row per named job of the batch reports, with the base name of the reported path.
+
+    Two jobs of one name keep the one of the later report, then the later one in it. ``order`` tells
+    reports apart by time; without it they count in the order they are read in.
     """
-    jobs = batches.select(F.posexplode(report_jobs(F.col(json_column))).alias("pos", "job"))
+    placed = batches.select(
+        (F.monotonically_increasing_id() if order is None else order).alias("_report"), F.col(json_column).alias("_json")
+    )
+    jobs = placed.select("_report", F.posexplode(report_jobs(F.col("_json"))).alias("at", "job"))
     named = jobs.select(
-        file_name(F.coalesce(F.col("job.itemDetails.name"), F.lit(""))).alias("job_name"),
-        "pos",
+        base_name(F.col("job.itemDetails.name")).alias("job_name"),
+        F.struct("_report", "at").alias("pos"),
         F.col("job.validationResult").alias("validation_result"),
     ).where(F.col("job_name") != "")
     return named.groupBy("job_name").agg(
@@ -74,14 +86,14 @@ def extract_job_rules(batches: DataFrame, json_column: str = "report_json") -> D
     """All rules of every job of the batch reports, with the job's base name."""
     jobs = batches.select(F.explode(report_jobs(F.col(json_column))).alias("job"))
     return jobs.select(
-        file_name(F.coalesce(F.col("job.itemDetails.name"), F.lit(""))).alias("job_name"),
+        base_name(F.col("job.itemDetails.name")).alias("job_name"),
         F.explode(job_rules(F.col("job.validationResult"))).alias("r"),
     ).select("job_name", "r.*")
 
 
 def match_jobs(files: DataFrame, jobs: DataFrame, path_column: str = "path") -> DataFrame:
     """Files with their job by base name; ``has_result`` is false when none was returned."""
-    keyed = files.withColumn("job_name", file_name(F.col(path_column)))
+    keyed = files.withColumn("job_name", base_name(F.col(path_column)))
     flagged = jobs.withColumn("has_result", F.lit(True))
     return keyed.join(flagged, "job_name", "left").withColumn(
         "has_result", F.coalesce("has_result", F.lit(False))
@@ -140,9 +152,10 @@ def summarize(
 
 def rescore(reports: DataFrame, rules: DataFrame, policy: RulePolicy) -> DataFrame:
     """Reports with the rule figures of another policy; nothing is validated again."""
-    fresh = summarize(rules, policy, reports)
-    kept = reports.drop("violations", "failed_checks", "tagged", "image_only")
-    return kept.join(fresh, "pdf_hash").select(*reports.columns)
+    defaults = {"violations": 0, "failed_checks": 0, "tagged": True, "image_only": False}
+    fresh = summarize(rules, policy).withColumnsRenamed({c: f"_{c}" for c in defaults})
+    renewed = {c: F.coalesce(F.col(f"_{c}"), F.lit(v)) for c, v in defaults.items()}
+    return reports.join(fresh, "pdf_hash", "left").withColumns(renewed).select(*reports.columns)
 
 
 def clause_profile(rules: DataFrame, policy: RulePolicy, profile) -> DataFrame:

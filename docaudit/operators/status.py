@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.triage import AUTO, GOOD, LABELS, MANUAL, PENDING, triage
 from docaudit.operators.merge import lookup_hash
+from docaudit.operators.ordering import number_rows
 from docaudit.operators.rules import clause_profile
 from docaudit.sources.policy import RulePolicy, TriageProfile
 
@@ -97,6 +98,20 @@ def site_counts_of_files(files: DataFrame, triaged: DataFrame) -> DataFrame:
     )
 
 
+def failure_list(failures: DataFrame, site_id: int | None = None) -> DataFrame:
+    """Failures by id with their time stamp, of one site or of all."""
+    rows = failures if site_id is None else failures.where(F.col("site_id") == site_id)
+    return rows.select("failure_id", "site_id", "pdf_id", "error_message", "created_at").orderBy("failure_id")
+
+
+def number_failures(failures: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
+    """New failures with ids after the highest stored one and a time stamp."""
+    highest = stored.agg(F.coalesce(F.max("failure_id"), F.lit(0)).alias("id")).first()["id"]
+    order = ["site_id", "pdf_id", "error_message"]
+    rows = number_rows(failures.select(*order), *[F.col(c) for c in order])
+    return rows.select((F.col("row_no") + highest).alias("failure_id"), *order, now.alias("created_at"))
+
+
 def failure_counts(failures: DataFrame) -> DataFrame:
     return failures.groupBy("site_id").agg(F.count("*").alias("failures"))
 

@@ -7,14 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.operators.merge import spread_null
+from docaudit.operators.merge import last_per_key, spread_null
 from docaudit.operators.rules import job_rules, summarize
 from docaudit.shared import written
 from docaudit.sources.policy import RulePolicy
 
-# The marker window and the byte cap.
+# Fixed value: the window in which the marker counts.
 HEAD_BYTES = 1024
-MAX_BYTES = 524_288_000
 NO_RESULT = "veraPDF returned no result for this file"
 
 
@@ -28,16 +27,16 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def gate_downloads(downloads: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Downloads (pdf_url, content, error) to (pdf_url, file_hash, error).
+def gate_downloads(downloads: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Downloads (pdf_url, content, error) to (pdf_url, file_hash, error). ``max_bytes`` None: any size.
 
     The bytes end here: they are tested and hashed where they are read, and no shuffle
     ever carries them.
     """
     content, url = F.col("content"), F.col("pdf_url")
-    reason = F.when(F.col("error").isNotNull(), F.col("error")).when(
-        F.octet_length(content) > max_bytes, F.lit(f"PDF exceeds max_bytes ({max_bytes})")
-    )
+    reason = F.when(F.col("error").isNotNull(), F.col("error"))
+    if max_bytes is not None:
+        reason = reason.when(F.octet_length(content) > max_bytes, F.lit(f"PDF exceeds max_bytes ({max_bytes})"))
     error = F.when(
         reason.isNotNull(), F.concat(F.lit("download "), url, F.lit(": "), reason)
     ).when(~looks_like_pdf(content), F.concat(F.lit("not a PDF (content): "), url))
@@ -103,7 +102,7 @@ def verify(
     known: DataFrame,
     policy: RulePolicy,
     *,
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = None,
 ) -> VerifyResult:
     """Verify the given files.
 
@@ -111,15 +110,17 @@ def verify(
     ``analysis`` holds one row per readable document; its ``encrypted`` flag marks those
     that could not be analysed. Every URL is fetched once, every new hash validated once;
     the first row (lowest id) of a new hash is ``verified``, all other rows with that or a
-    known hash are ``reused``, and a failed URL or hash fails every row that shares it.
+    known hash are ``reused``, and a failed URL or hash fails every row that shares it. Of two
+    downloads of one URL, or jobs of one name, the last counts.
 
     Hash facts are joined to URLs and URL facts to files, so the file table is joined once.
     The hashed URLs and the checked hashes are written to the shared folder: several results
     start from them, and the bytes must be read only once.
     """
     urls = url_representatives(files)
+    gated = last_per_key(gate_downloads(downloads, max_bytes), ["pdf_url"])
     fetched = written(
-        urls.join(gate_downloads(downloads, max_bytes), "pdf_url", "left").withColumn(
+        urls.join(gated, "pdf_url", "left").withColumn(
             "error",
             F.when(
                 F.col("file_hash").isNull() & F.col("error").isNull(),
@@ -139,10 +140,14 @@ def verify(
     )
     stored = known.select(F.col("pdf_hash").alias("file_hash"))
     fresh = by_hash.join(stored, "file_hash", "left_anti")
-    results = jobs.select(
-        F.regexp_replace("job_name", r"\.pdf$", "").alias("file_hash"),
-        "validation_result",
-        F.lit(True).alias("has_job"),
+    # The checker's JSON is parsed where it is read; only rule rows are shuffled.
+    results = last_per_key(
+        jobs.select(
+            F.regexp_replace("job_name", r"\.pdf$", "").alias("file_hash"),
+            job_rules(F.col("validation_result")).alias("job_rules"),
+            F.lit(True).alias("has_job"),
+        ),
+        ["file_hash"],
     )
     checked = written(fresh.join(results, "file_hash", "left"), "checked")
     ok = F.col("has_job").isNotNull()
@@ -150,7 +155,7 @@ def verify(
     validated = checked.where(ok).select(F.col("file_hash").alias("pdf_hash"))
     rules = checked.where(ok).select(
         F.col("file_hash").alias("pdf_hash"),
-        F.explode(job_rules(F.col("validation_result"))).alias("r"),
+        F.explode("job_rules").alias("r"),
     ).select("pdf_hash", "r.*")
     reports = assemble_reports(
         summarize(rules, policy, validated), analysis.where(~F.col("encrypted"))

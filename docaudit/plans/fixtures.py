@@ -208,7 +208,7 @@ SELECT f.site_id, f.pdf_id, 'download ' || f.pdf_url || ': 404 Client Error' AS
 FROM v_pdf_files f WHERE f.pdf_404"""
 
 VIEWS["v_layout_box"] = """
-SELECT 'h' || CAST(l_partkey AS STRING) AS pdf_hash, CAST(l_orderkey % 30 AS INT) AS page_no,
+SELECT 'h' || CAST(l_partkey AS STRING) AS pdf_hash, CAST(l_orderkey % 90 AS INT) AS page_no,
        CASE WHEN l_linenumber <= 2 THEN 'figure_image' WHEN l_linenumber = 3 THEN 'image'
             WHEN l_linenumber = 4 THEN 'other' ELSE 'text' END AS kind,
        CAST(0 AS DOUBLE) AS page_x0, CAST(0 AS DOUBLE) AS page_y0,

@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 from docaudit.operators.export import collect_rows, write_csv, write_json
 from docaudit.operators.health import health_counts, link_health
-from docaudit.operators.inventory import archive_counts, upsert_files
+from docaudit.operators.inventory import (
+    apply_archive,
+    archive_counts,
+    replace_rules,
+    set_404,
+    upsert_files,
+    upsert_reports,
+)
 from docaudit.operators.links import crawl_counts
+from docaudit.operators.merge import take, update
 from docaudit.operators.status import triage_reports
 from docaudit.operators.verify import VerifyResult
 from docaudit.shared import written
@@ -20,6 +28,7 @@ from docaudit.sources.policy import (
     RulePolicy,
     TriageProfile,
 )
+from docaudit.sources.schemas import align_schema
 
 _WRITERS = {"csv": write_csv, "json": write_json}
 
@@ -47,6 +56,17 @@ def _melt(counts: DataFrame, step: str) -> DataFrame:
     ).select("site_id", "step", "x.counter", F.col("x.n").cast("bigint").alias("n"))
 
 
+@dataclass(frozen=True)
+class ScanResult:
+    """The tables after the run, and its (site_id, step, counter, n) rows."""
+
+    files: DataFrame
+    reports: DataFrame
+    rules: DataFrame
+    failures: DataFrame | None  # of this run's verification
+    counts: DataFrame
+
+
 def run_steps(
     inputs: ScanInputs,
     *,
@@ -55,40 +75,48 @@ def run_steps(
     archive: bool = True,
     check_404: bool = False,
     exports: dict[str, str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Run the steps; returns the inventory and (site_id, step, counter, n) rows.
+) -> ScanResult:
+    """Run the steps in order, each on the tables that the steps before it left.
 
     A verify step without checker results is reported as ``skipped``. ``exports`` maps
-    a format to its output path.
+    a format to its output path; exported rows show the state after the run.
     """
-    files, results = inputs.files, []
+    files, reports, rules, failures, results = inputs.files, inputs.reports, inputs.rules, None, []
     if crawl and inputs.found is not None:
-        after = upsert_files(files, inputs.found, F.current_timestamp())
+        after = written(upsert_files(files, inputs.found, F.current_timestamp()), "files")
         results.append(_melt(crawl_counts(files, after), "crawl"))
         files = after
     if verify and inputs.verification is None:
         skipped = files.select("site_id").distinct().withColumn("skipped", F.lit(1))
         results.append(_melt(skipped, "verify"))
     elif verify:
+        done = inputs.verification
         o = F.col("outcome")
-        counts = inputs.verification.outcomes.groupBy("site_id").agg(
+        counts = done.outcomes.groupBy("site_id").agg(
             *[F.count_if(o == name).alias(name) for name in ("verified", "reused", "failed")]
         )
         results.append(_melt(counts, "verify"))
+        hashed = done.outcomes.where(F.col("file_hash").isNotNull()).select("pdf_id", "file_hash")
+        files = update(files, hashed, ["pdf_id"], take("file_hash"))
+        rules = written(replace_rules(rules, done.rules, done.reports), "rules")
+        reports = written(upsert_reports(reports, align_schema(done.reports, reports.schema)), "reports")
+        failures = done.failures
     if archive:
         results.append(_melt(archive_counts(files), "archived"))
+        files = apply_archive(files)
     if check_404 and inputs.statuses is not None:
-        results.append(_melt(health_counts(link_health(files, inputs.statuses)), "check_404"))
+        health = written(link_health(files, inputs.statuses).select("pdf_id", "site_id", "pdf_404", "parent_404"), "health")
+        results.append(_melt(health_counts(health), "check_404"))
+        files = set_404(files, health)
+    files = written(files, "files")
     if exports:
-        triaged = written(
-            triage_reports(inputs.reports, inputs.rules, inputs.policy, inputs.profile), "triaged"
-        )
+        triaged = written(triage_reports(reports, rules, inputs.policy, inputs.profile), "triaged")
         rows = collect_rows(files, inputs.contacts, triaged)
         for fmt, path in exports.items():
             _WRITERS[fmt](rows, path)
             counts = files.groupBy("site_id").agg(F.count("*").alias("rows"))
             results.append(_melt(counts, f"export_{fmt}"))
-    report = results[0]
+    counts = results[0]
     for r in results[1:]:
-        report = report.unionByName(r)
-    return files, report
+        counts = counts.unionByName(r)
+    return ScanResult(files, reports, rules, failures, counts)

@@ -22,6 +22,8 @@ from docaudit.operators.status import (
     STATUS_FILTERS,
     active_counts,
     failure_counts,
+    failure_list,
+    number_failures,
     filter_rows,
     pending_if_missing,
     site_status,
@@ -360,6 +362,17 @@ def _(fx: Fixtures):
     return failure_counts(fx.failures)
 
 
+@query(
+    "failure_list",
+    """SELECT CAST(1000 + row_number() OVER (ORDER BY site_id, pdf_id, error_message) AS BIGINT) AS failure_id, site_id, pdf_id,
+              error_message, TIMESTAMP '2026-01-31 12:00:00' AS created_at
+       FROM v_failure ORDER BY 1""",
+)
+def _(fx: Fixtures):
+    stored = fx.sql("SELECT CAST(1000 AS BIGINT) AS failure_id")
+    return failure_list(number_failures(fx.failures, stored, _now()))
+
+
 _FILTER_SQL = {
     "all": "TRUE",
     "verified": "violations IS NOT NULL",
@@ -637,9 +650,9 @@ def _(fx: Fixtures):
 
 @query(
     "archive_counts",
-    """SELECT site_id, COUNT(CASE WHEN lower(pdf_url) LIKE '%/archive/%' OR lower(pdf_url) LIKE '%/old/%'
-              OR lower(pdf_url) LIKE '%legacy%' OR lower(pdf_url) LIKE '%!_old.pdf%' ESCAPE '!' THEN 1 END) AS flagged
-       FROM v_pdf_files WHERE NOT removed GROUP BY site_id""",
+    """SELECT site_id, COUNT(CASE WHEN NOT removed AND (lower(pdf_url) LIKE '%/archive/%' OR lower(pdf_url) LIKE '%/old/%'
+              OR lower(pdf_url) LIKE '%legacy%' OR lower(pdf_url) LIKE '%!_old.pdf%' ESCAPE '!') THEN 1 END) AS flagged
+       FROM v_pdf_files GROUP BY site_id""",
 )
 def _(fx: Fixtures):
     return I.archive_counts(fx.files)
@@ -730,16 +743,18 @@ def _(fx: Fixtures):
 @query(
     "link_404_stats",
     f"""SELECT f.site_id, COUNT(*) AS checked, COUNT(CASE WHEN a.status = 404 THEN 1 END) AS pdf_404,
-               COUNT(CASE WHEN b.status = 404 THEN 1 END) AS parent_404 FROM {_HEALTH} GROUP BY f.site_id""",
+               COUNT(CASE WHEN b.status = 404 THEN 1 END) AS parent_404 FROM {_HEALTH} GROUP BY f.site_id
+        UNION ALL SELECT site_id, 0, 0, 0 FROM v_site
+        WHERE site_id NOT IN (SELECT site_id FROM v_pdf_files WHERE NOT removed)""",
 )
 def _(fx: Fixtures):
-    return health_counts(link_health(fx.files, fx.view("v_http_status")))
+    return health_counts(link_health(fx.files, fx.view("v_http_status")), fx.sites)
 
 
 @query(
     "crawl_stats",
     """SELECT a.site_id, a.total, greatest(0, a.total - COALESCE(b.n, 0)) AS new FROM
-         (SELECT site_id, COUNT(*) AS total FROM v_pdf_files WHERE NOT removed GROUP BY site_id) a
+         (SELECT site_id, COUNT(CASE WHEN NOT removed THEN 1 END) AS total FROM v_pdf_files GROUP BY site_id) a
        LEFT JOIN (SELECT site_id, COUNT(*) AS n FROM v_pdf_files WHERE NOT removed AND NOT archived
                   GROUP BY site_id) b ON b.site_id = a.site_id""",
 )

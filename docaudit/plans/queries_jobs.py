@@ -10,9 +10,9 @@ from docaudit.operators.status import triage_reports
 from docaudit.plans.fixtures import Fixtures
 from docaudit.plans.jobs import ScanInputs, run_steps
 from docaudit.plans.queries_inventory import _FOUND
-from docaudit.plans.queries_links import _CLASSIFIED
-from docaudit.plans.queries_verify import _OUTCOME, _OUTCOMES, verify_run
-from docaudit.plans.registry import query
+from docaudit.plans.queries_links import _CLASSIFIED, _ERROR, _SHARES
+from docaudit.plans.queries_verify import _DOC_SUMMARY, _OUTCOME, _OUTCOMES, _VALIDATED, verify_run
+from docaudit.plans.registry import QUERIES, query
 from docaudit.shared import new_path, written
 from docaudit.sources.policy import DEFAULT_RULE_POLICY, DEFAULT_TRIAGE_PROFILE
 from docaudit.streaming import jobs as J
@@ -21,7 +21,8 @@ from docaudit.streaming.sinks import read_log
 
 @query(
     "stream_discovery",
-    f"""SELECT DISTINCT u AS pdf_url, parent_url, site_id, offsite FROM {_CLASSIFIED} WHERE action = 'pdf'""",
+    f"""SELECT DISTINCT u AS pdf_url, parent_url, site_id, offsite, action, CASE WHEN action = 'share' THEN 'box' END AS via_resolver
+        FROM {_CLASSIFIED} WHERE action IN ('pdf', 'share')""",
 )
 def _(fx: Fixtures):
     """Links arrive as files; the result equals the batch discovery."""
@@ -43,7 +44,7 @@ def _(fx: Fixtures):
     log, state = new_path(fx.spark, "found"), new_path(fx.spark, "state")
     found = J.discovery(stream, settings, url_host)
     J.run_discovery(found, log, state)
-    return read_log(fx.spark, log, found.schema).select("pdf_url", "parent_url", "site_id", "offsite")
+    return read_log(fx.spark, log, found.schema).drop("run", "batch")
 
 
 @query("stream_verify_chunks", "SELECT * FROM v_summary")
@@ -122,7 +123,7 @@ def _(fx: Fixtures):
         verification=None,
         statuses=fx.view("v_http_status"),
     )
-    return run_steps(inputs, verify=False, check_404=True)[1]
+    return run_steps(inputs, verify=False, check_404=True).counts
 
 
 @query(
@@ -131,8 +132,8 @@ def _(fx: Fixtures):
         FROM (SELECT site_id, {_OUTCOME} AS o FROM {_OUTCOMES} q) y
         CROSS JOIN (VALUES ('verified'), ('reused'), ('failed')) AS x(counter) GROUP BY site_id, x.counter
         UNION ALL
-        SELECT site_id, 'archived', 'flagged', COUNT(CASE WHEN {_HIT} THEN 1 END) FROM v_pdf_files
-        WHERE NOT removed GROUP BY site_id
+        SELECT site_id, 'archived', 'flagged', COUNT(CASE WHEN NOT removed AND {_HIT} THEN 1 END) FROM v_pdf_files
+        GROUP BY site_id
         UNION ALL SELECT site_id, 'export_csv', 'rows', COUNT(*) FROM v_pdf_files GROUP BY site_id""",
 )
 def _(fx: Fixtures):
@@ -143,4 +144,85 @@ def _(fx: Fixtures):
         fx.rules,
         verification=verify_run(fx),
     )
-    return run_steps(inputs, crawl=False, exports={"csv": new_path(fx.spark, "export")})[1]
+    return run_steps(inputs, crawl=False, exports={"csv": new_path(fx.spark, "export")}).counts
+
+
+def _verified_run(fx: Fixtures):
+    """A run over files whose content was checked, without stored reports."""
+    inputs = ScanInputs(
+        fx.view("v_doc_file").select(
+            "*", F.lit(False).alias("removed"), F.lit(False).alias("archived"), F.lit(False).alias("pdf_404"), F.lit(False).alias("parent_404"),
+            F.lit(None).cast("string").alias("file_hash"),
+        ),
+        site_contacts(fx.sites, fx.owners, fx.people, fx.memberships),
+        fx.reports.limit(0),
+        fx.rules.limit(0),
+        verification=verify_run(fx),
+        statuses=fx.sql("SELECT parent_url AS url, 404 AS status FROM v_doc_file WHERE pdf_id % 7 = 0"),
+    )
+    return run_steps(inputs, crawl=False, check_404=True)
+
+
+@query(
+    "run_steps_files",
+    f"""SELECT f.pdf_id, CASE WHEN q.error IS NULL THEN q.h END AS file_hash, FALSE AS archived, FALSE AS pdf_404,
+               f.parent_url IN (SELECT parent_url FROM v_doc_file WHERE pdf_id % 7 = 0) AS parent_404
+        FROM v_doc_file f LEFT JOIN {_OUTCOMES} q ON q.pdf_id = f.pdf_id""",
+)
+def _(fx: Fixtures):
+    """The inventory that a run leaves: hashes of this run, and the flags of later steps."""
+    return _verified_run(fx).files.select("pdf_id", "file_hash", "archived", "pdf_404", "parent_404")
+
+
+@query(
+    "run_steps_reports",
+    f"""SELECT s.pdf_hash, s.violations, s.failed_checks, (SELECT COUNT(*) FROM v_doc_rule r WHERE r.pdf_hash = s.pdf_hash) AS rules
+        FROM {_VALIDATED} f JOIN {_DOC_SUMMARY} s ON s.pdf_hash = f.h""",
+)
+def _(fx: Fixtures):
+    """The reports and rules that a run leaves."""
+    done = _verified_run(fx)
+    rules = done.rules.groupBy("pdf_hash").agg(F.count("*").alias("rules"))
+    return done.reports.select("pdf_hash", "violations", "failed_checks").join(rules, "pdf_hash")
+
+
+@query(
+    "run_steps_archive",
+    f"""SELECT f.pdf_id, f.archived OR (NOT f.removed AND {_HIT}) AS archived FROM v_pdf_files f""",
+)
+def _(fx: Fixtures):
+    inputs = ScanInputs(fx.files, site_contacts(fx.sites, fx.owners, fx.people, fx.memberships), fx.reports, fx.rules)
+    return run_steps(inputs, crawl=False, verify=False).files.select("pdf_id", "archived")
+
+
+@query(
+    "stream_merge",
+    f"""SELECT DISTINCT u AS pdf_url, parent_url, CAST(NULL AS STRING) AS via_resolver FROM {_CLASSIFIED} WHERE action = 'pdf'
+        UNION
+        SELECT replace(p.url, '.box.com/s/', '.app.box.com/public/static/') || '.pdf', s.parent_url, 'box'
+        FROM {_SHARES} JOIN v_share_page p ON p.url = s.u WHERE {_ERROR} IS NULL""",
+)
+def _(fx: Fixtures):
+    """Discovery as a stream, its log merged into an empty inventory with the share links resolved."""
+    log = QUERIES["stream_discovery"].build(fx)
+    # Sites are told apart by host here, so their keys are text.
+    empty = fx.files.limit(0).withColumn("site_id", F.lit(None).cast("string"))
+    files, _ = J.merge_discovery(empty, log, fx.view("v_share_page").select("url", "html"), F.current_timestamp())
+    return files.select("pdf_url", "parent_url", "via_resolver")
+
+
+@query("stream_verify_rules", "SELECT pdf_hash, clause, test_number, failed_checks FROM v_report_rule WHERE pdf_hash NOT LIKE '%7'")
+def _(fx: Fixtures):
+    """Reports come twice, those of some documents a second time without rules: the last validation counts."""
+    first = fx.checker_reports()
+    empty = F.lit('{"report": {"jobs": [{"validationResult": {"details": {"ruleSummaries": []}}}]}}')
+    again = first.withColumn("report_json", F.when(F.col("pdf_hash").endswith("7"), empty).otherwise(F.col("report_json")))
+    root, state = new_path(fx.spark, "verified"), new_path(fx.spark, "state")
+    schema = "pdf_hash string, clause string, test_number string, failed_checks bigint"
+    for run, reports in enumerate((first.unionByName(first), again)):
+        folder = new_path(fx.spark, "reports")
+        reports.write.parquet(folder)
+        stream = J.stream_folder(fx.spark, folder, reports.schema, files_per_trigger=4)
+        J.run_verification(stream, DEFAULT_RULE_POLICY, root, f"{state}-{run}", run)
+    rules, summaries = (read_log(fx.spark, f"{root}/{t}", s) for t, s in (("rules", schema), ("summaries", "pdf_hash string")))
+    return J.latest_by_hash(rules, summaries)

@@ -335,7 +335,7 @@ def _(fx: Fixtures):
                 unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href FROM pages) x""",
 )
 def _(fx: Fixtures):
-    return L.extract_links(fx.table("pages"))
+    return L.extract_links(fx.table("pages")).drop("base_url")
 
 
 def _crawl_links(fx: Fixtures) -> DataFrame:
@@ -506,15 +506,16 @@ _DST = "lower(regexp_extract(e.dst, '^https?://([^/?#]*)', 1))"
 _IN_SCOPE = f"{_DOMAIN.format(h=_DST)} IN (r.site_id, 'example.com', 'example.net', 'example.org')"
 
 
-def _crawl_inputs(fx: Fixtures) -> tuple[DataFrame, DataFrame]:
+def _crawl_inputs(fx: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One crawl per registrable domain; each may enter its own and three shared ones."""
     pages = fx.table("pages").withColumn("site_id", U.registrable_domain(F.col("url")))
     seeds = pages.groupBy("site_id").agg(F.min_by("url", "page_id").alias("url"))
     shared = [F.lit(f"example.{t}") for t in ("com", "net", "org")]
-    scopes = seeds.select(
-        "site_id", F.explode(F.array_distinct(F.array("site_id", *shared))).alias("domain")
+    sites = seeds.select(
+        "site_id", F.lit("domain").alias("scope"), F.array_distinct(F.array("site_id", *shared)).alias("hosts"),
+        F.lit(None).cast("string").alias("path_prefix"),
     )
-    return seeds, L.edges_in_domains(fx.view("v_page_edge"), scopes)
+    return seeds, fx.view("v_page_edge"), sites
 
 
 @query(
@@ -541,3 +542,47 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     return L.crawl_frontier(*_crawl_inputs(fx)).select("site_id", "url")
+
+
+_SCOPE_TEST = f"""CASE c.scope WHEN 'subdomain' THEN {_DST} = c.host OR {_DST} LIKE '%.' || c.host
+  WHEN 'domain' THEN {_DOMAIN.format(h=_DST)} = {_DOMAIN.format(h="c.host")}
+  WHEN 'path' THEN {_DST} = c.host AND regexp_extract(e.dst, '^https?://[^/?#]*([^?#]*)', 1) LIKE '/en/%'
+  ELSE {_DST} = c.host END"""
+
+
+@query(
+    "crawl_scopes",
+    f"""WITH RECURSIVE reach(site_id, url, depth) AS (
+          SELECT {_PAGE_HOST}, min_by(url, page_id), 0 FROM pages GROUP BY {_PAGE_HOST}
+          UNION
+          SELECT r.site_id, e.dst, r.depth + 1 FROM reach r JOIN v_page_edge e ON e.src = r.url
+          JOIN v_crawl_site c ON c.site_id = r.site_id
+          WHERE r.depth < 3 AND ({_SCOPE_TEST}))
+        SELECT site_id, url, MIN(depth) AS depth FROM reach GROUP BY site_id, url""",
+)
+def _(fx: Fixtures):
+    """One crawl per host; sites have each of the four scopes."""
+    pages = fx.table("pages").withColumn("site_id", U.url_host(F.col("url")))
+    seeds = pages.groupBy("site_id").agg(F.min_by("url", "page_id").alias("url"))
+    sites = fx.view("v_crawl_site").select(
+        "site_id", "scope", F.array("host").alias("hosts"), F.lit("/en/").alias("path_prefix")
+    )
+    return L.crawl_frontier(seeds, fx.view("v_page_edge"), sites, max_depth=3)
+
+
+_ODD_HOST = """CASE page_id % 9 WHEN 0 THEN 'a.b' || CAST(page_id AS STRING) || '.co.uk' WHEN 1 THEN 'w.c' || CAST(page_id AS STRING) || '.nhs.uk'
+  WHEN 2 THEN 'x.d' || CAST(page_id AS STRING) || '.cloud' WHEN 3 THEN 'e' || CAST(page_id AS STRING) || '.any.ck' WHEN 4 THEN 'f' || CAST(page_id AS STRING) || '.www.ck'
+  WHEN 5 THEN 'g' || CAST(page_id AS STRING) || '.h.lg.jp' WHEN 6 THEN 'co.uk' WHEN 7 THEN 'i' || CAST(page_id AS STRING) || '.co.de' ELSE '10.0.0.1' END"""
+
+
+@query(
+    "suffix_rules",
+    f"""SELECT page_id, h AS host, CASE page_id % 9 WHEN 6 THEN '' WHEN 8 THEN '' WHEN 4 THEN 'www.ck' WHEN 7 THEN 'co.de'
+               WHEN 3 THEN h WHEN 2 THEN split_part(h, '.', -2) || '.' || split_part(h, '.', -1)
+               ELSE split_part(h, '.', -3) || '.' || split_part(h, '.', -2) || '.' || split_part(h, '.', -1) END AS domain
+        FROM (SELECT page_id, {_ODD_HOST} AS h FROM pages) x""",
+)
+def _(fx: Fixtures):
+    """Hosts under long, wildcard, exception and unlisted suffixes."""
+    hosts = fx.sql(f"SELECT page_id, {_ODD_HOST} AS host FROM pages")
+    return hosts.select("page_id", "host", U.registrable_domain(F.col("host")).alias("domain"))

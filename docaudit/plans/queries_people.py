@@ -44,10 +44,12 @@ def _(fx: Fixtures):
 
 @query(
     "show_owner",
-    """SELECT o.owner_key, 'site' AS kind, s.name AS item, CAST(NULL AS STRING) AS detail
+    """SELECT owner_key, 'owner' AS kind, label AS item, CAST(NULL AS STRING) AS employee_id, notes AS detail FROM v_site_owner
+       UNION ALL
+       SELECT o.owner_key, 'site', s.name, NULL, NULL
        FROM v_site_owner o JOIN v_site s ON s.owner_id = o.owner_id
        UNION ALL
-       SELECT o.owner_key, CASE WHEN p.is_manager THEN 'manager' ELSE 'member' END, p.full_name, p.email
+       SELECT o.owner_key, CASE WHEN p.is_manager THEN 'manager' ELSE 'member' END, p.full_name, p.employee_id, p.email
        FROM v_site_owner o JOIN v_person_owner m ON m.owner_id = o.owner_id JOIN v_person p ON p.person_id = m.person_id""",
 )
 def _(fx: Fixtures):

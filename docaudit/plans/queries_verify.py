@@ -161,7 +161,7 @@ def _(fx: Fixtures):
 _AREA = "((x1 - x0) * (y1 - y0))"
 _PAGE = "((page_x1 - page_x0) * (page_y1 - page_y0))"
 _FULL = f"kind = 'figure_image' AND {_AREA} / {_PAGE} > 0.9 AND {_AREA} / {_PAGE} < 1.1"
-_IMAGES = f"""(SELECT * FROM v_layout_box WHERE page_no < 25 AND kind IN ('image', 'figure_image')
+_IMAGES = f"""(SELECT * FROM v_layout_box WHERE kind IN ('image', 'figure_image')
   AND {_AREA} / {_PAGE} > 0.05 AND {_AREA} / {_PAGE} < 0.9)"""
 _HIT = """greatest(0.0, least(t.x1, i.x1) - greatest(t.x0, i.x0)) * greatest(0.0, least(t.y1, i.y1) - greatest(t.y0, i.y0))
   / ((t.x1 - t.x0) * (t.y1 - t.y0)) >= 0.5"""
@@ -170,7 +170,7 @@ _HIT = """greatest(0.0, least(t.x1, i.x1) - greatest(t.x0, i.x0)) * greatest(0.0
 @query("page_cap", "SELECT pdf_hash, page_no, COUNT(*) AS boxes FROM v_layout_box WHERE page_no < 25 GROUP BY pdf_hash, page_no")
 def _(fx: Fixtures):
     return (
-        L.sampled(fx.view("v_layout_box"))
+        L.sampled(fx.view("v_layout_box"), 25)
         .groupBy("pdf_hash", "page_no")
         .agg(F.count("*").alias("boxes"))
     )
@@ -212,7 +212,7 @@ def _(fx: Fixtures):
                CASE WHEN t > 0 AND i > 0 THEN 'Hybrid' WHEN t > 0 THEN 'Text' WHEN i > 0 THEN 'Image Only' END AS text_type
         FROM (SELECT pdf_hash, COUNT(DISTINCT CASE WHEN kind = 'text' THEN page_no END) AS t,
                      COUNT(DISTINCT CASE WHEN {_FULL} THEN page_no END) AS i
-              FROM v_layout_box WHERE page_no < 25 GROUP BY pdf_hash) x""",
+              FROM v_layout_box GROUP BY pdf_hash) x""",
 )
 def _(fx: Fixtures):
     return L.text_type(fx.view("v_layout_box"))
@@ -221,7 +221,7 @@ def _(fx: Fixtures):
 @query(
     "image_text_overlap",
     f"""SELECT pdf_hash, page_no, x0, y0, x1, y1 FROM v_layout_box t
-        WHERE page_no < 25 AND kind = 'text' AND EXISTS (
+        WHERE kind = 'text' AND EXISTS (
           SELECT 1 FROM {_IMAGES} i WHERE i.pdf_hash = t.pdf_hash AND i.page_no = t.page_no AND {_HIT})""",
 )
 def _(fx: Fixtures):
@@ -231,10 +231,10 @@ def _(fx: Fixtures):
 @query(
     "complex_graphic",
     f"""SELECT d.pdf_hash, h.pdf_hash IS NOT NULL AS complex_graphic
-        FROM (SELECT DISTINCT pdf_hash FROM v_layout_box WHERE page_no < 25) d LEFT JOIN (
+        FROM (SELECT DISTINCT pdf_hash FROM v_layout_box) d LEFT JOIN (
           SELECT DISTINCT t.pdf_hash FROM v_layout_box t JOIN {_IMAGES} i
             ON i.pdf_hash = t.pdf_hash AND i.page_no = t.page_no AND {_HIT}
-          WHERE t.page_no < 25 AND t.kind = 'text') h ON h.pdf_hash = d.pdf_hash""",
+          WHERE t.kind = 'text') h ON h.pdf_hash = d.pdf_hash""",
 )
 def _(fx: Fixtures):
     return L.complex_graphic(fx.view("v_layout_box"))

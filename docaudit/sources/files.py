@@ -8,9 +8,10 @@ from pyspark.sql.utils import AnalysisException
 
 from docaudit.functions.text import strip
 from docaudit.operators.evaluate import labelled
-from docaudit.operators.verify import MAX_BYTES
 
-_CELL = r'(?:^|,)("[^"]*(?:""[^"]*)*"|[^,]*)'
+# Every cell has a comma before it; the line gets one for its first cell.
+_CELL = r'(?s),("[^"]*(?:""[^"]*)*"|[^,]*)'
+_ROW = r'((?:[^"\n]++|"[^"]*+"|")*+)(?:\n|$)'
 _BOM = "\ufeff"
 
 
@@ -26,9 +27,9 @@ def read_checker_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pdf_bytes(
-    spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, glob: str = "*.pdf"
+    spark: SparkSession, path: str, max_bytes: int | None = None, glob: str = "*.pdf"
 ) -> tuple[DataFrame, DataFrame]:
-    """Files within the size cap with their bytes, and the oversized ones as failures.
+    """Files within an optional size cap with their bytes, and the oversized ones as failures.
 
     The length filter reaches the source, so bytes beyond the cap are never read.
     """
@@ -41,10 +42,11 @@ def read_pdf_bytes(
     return split_by_size(files, max_bytes)
 
 
-def split_by_size(files: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Split (path, length, content) rows at the cap."""
-    fitting = files.where(F.col("length") <= max_bytes).select("path", "length", "content")
-    oversized = files.where(F.col("length") > max_bytes).select(
+def split_by_size(files: DataFrame, max_bytes: int | None) -> tuple[DataFrame, DataFrame]:
+    """Split (path, length, content) rows at the cap; None lets all pass."""
+    over = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    fitting = files.where(~over).select("path", "length", "content")
+    oversized = files.where(over).select(
         "path",
         F.concat(
             F.lit("download "), F.col("path"), F.lit(f": PDF exceeds max_bytes ({max_bytes})")
@@ -79,7 +81,7 @@ def read_labelled_set(spark: SparkSession, root: str) -> DataFrame:
 def split_cells(line: Column) -> Column:
     """Cells of one CSV line; quoted cells may hold commas and doubled quotes."""
     clean = F.regexp_replace(line, f"^{_BOM}", "")
-    raw = F.regexp_extract_all(clean, F.lit(_CELL), F.lit(1))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), clean), F.lit(_CELL), F.lit(1))
 
     def unquote(cell: Column) -> Column:
         inner = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
@@ -95,11 +97,17 @@ def roster_rows(lines: DataFrame, line: str = "line", position: str = "position"
     )
 
 
-def read_roster_csv(spark: SparkSession, path: str | None) -> DataFrame:
+def whole_rows(text: Column) -> Column:
+    """Rows of a CSV text as an array: a line end within quotes does not end a row."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_ROW), F.lit(1)), lambda r: F.regexp_replace(r, "\r$", ""))
+
+
+def read_roster_csv(spark: SparkSession, path: str | None, multiline: bool = False) -> DataFrame:
     """Roster cells with a position that orders rows as in the file.
 
     Read as text so that large files split; the position is the file, the offset of
-    the split and the row within it. A missing path gives no rows.
+    the split and the row within it. A missing path gives no rows. ``multiline``: quoted cells may
+    hold line ends; each file is then read whole by one task.
     """
     empty = spark.createDataFrame(
         [], "position struct<file:string,block:bigint,row:bigint>, cells array<string>"
@@ -107,11 +115,18 @@ def read_roster_csv(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return empty
     try:
-        lines = spark.read.text(path)
+        lines = spark.read.text(path, wholetext=multiline)
     except AnalysisException as exc:
         if _missing_path(exc):
             return empty
         raise
+    if multiline:
+        rows = lines.select(
+            F.col("_metadata.file_path").alias("file"), F.posexplode(whole_rows(F.col("value"))).alias("row", "line")
+        )
+        return roster_rows(
+            rows.select(F.struct("file", F.lit(0).cast("bigint").alias("block"), F.col("row").cast("bigint").alias("row")).alias("position"), "line")
+        )
     placed = lines.select(
         F.struct(
             F.col("_metadata.file_path").alias("file"),

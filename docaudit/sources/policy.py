@@ -1,8 +1,9 @@
 """Rule and triage policy.
 
-A policy is data: a table of a few hundred rows that users edit. It is read once,
-its size is checked, and its rows become literals of column expressions, so that
-no operator has to join with it and a changed policy needs no new validation.
+A policy is data: a table that users edit. It is read once, and its rows become hashed sets of
+literals in column expressions, so that no operator has to join with it and a changed policy needs
+no new validation. The expressions grow with the number of flags, classes and clause levels, not with the
+rows. A policy too large for the driver stays a table and is joined: :func:`join_actions`, :func:`join_classes`.
 """
 
 from __future__ import annotations
@@ -14,20 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-# A policy beyond this many rows is refused, not broadcast.
-MAX_POLICY_ROWS = 10_000
 _SEP = "\u0001"
 
 
-class PolicyTooLarge(ValueError):
-    """The policy table has more rows than literals should carry."""
-
-
-def _bounded_rows(df: DataFrame) -> list:
-    rows = df.limit(MAX_POLICY_ROWS + 1).collect()
-    if len(rows) > MAX_POLICY_ROWS:
-        raise PolicyTooLarge(f"policy tables are limited to {MAX_POLICY_ROWS} rows")
-    return rows
+def _pick(key: Column, values: Mapping[str, str]) -> Column:
+    """The value of a key, or null: one set of keys per distinct value."""
+    groups: dict[str, list[str]] = {}
+    for k, v in values.items():
+        groups.setdefault(v, []).append(k)
+    result = F.lit(None).cast("string")
+    for v, keys in sorted(groups.items()):
+        result = F.when(key.isin(sorted(keys)), F.lit(v)).otherwise(result)
+    return result
 
 
 @dataclass(frozen=True)
@@ -46,10 +45,8 @@ class RulePolicy:
 
     def flag(self, clause: Column, test: Column) -> Column:
         """Flag name of the pair, or null."""
-        result = F.lit(None).cast("string")
-        for (c, t), name in sorted(self.flags.items(), reverse=True):
-            result = F.when((clause == c) & (test == t), F.lit(name)).otherwise(result)
-        return result
+        names = {f"{c}{_SEP}{t}": name for (c, t), name in self.flags.items()}
+        return _pick(F.concat(clause, F.lit(_SEP), test), names)
 
     def action(self, clause: Column, test: Column) -> Column:
         """What the policy does with a rule: ``ignored``, a flag name or ``counts``."""
@@ -65,27 +62,29 @@ class RulePolicy:
 
 # The shipped ignore list and the two flags.
 _IGNORED_TESTS = {
-    "5": "1 2",
-    "7.1": "4 6 7",
-    "7.2": "3 10 15 16 19 26 27 28 36 37 38 39 40 41 42 43",
-    "7.9": "1",
-    "7.10": "2",
-    "7.15": "1",
-    "7.18.1": "1",
-    "7.18.2": "1",
-    "7.18.3": "1",
-    "7.18.4": "2",
-    "7.18.6.2": "1",
-    "7.18.8": "1",
-    "7.20": "1",
-    "7.21.3.1": "1",
-    "7.21.3.2": "1",
-    "7.21.3.3": "1",
-    "7.21.4.1": "2",
-    "7.21.4.2": "1 2",
+    "5": ["1", "2"],
+    "7.1": ["4", "6", "7"],
+    "7.2": [
+        "3", "10", "15", "16", "19", "26", "27", "28", "36", "37", "38", "39", "40", "41", "42", "43",
+    ],
+    "7.9": ["1"],
+    "7.10": ["2"],
+    "7.15": ["1"],
+    "7.18.1": ["1"],
+    "7.18.2": ["1"],
+    "7.18.3": ["1"],
+    "7.18.4": ["2"],
+    "7.18.6.2": ["1"],
+    "7.18.8": ["1"],
+    "7.20": ["1"],
+    "7.21.3.1": ["1"],
+    "7.21.3.2": ["1"],
+    "7.21.3.3": ["1"],
+    "7.21.4.1": ["2"],
+    "7.21.4.2": ["1", "2"],
 }
 DEFAULT_RULE_POLICY = RulePolicy(
-    ignore=frozenset((c, t) for c, tests in _IGNORED_TESTS.items() for t in tests.split()),
+    ignore=frozenset((c, t) for c, tests in _IGNORED_TESTS.items() for t in tests),
     flags={("7.1", "11"): "tagged", ("7.1", "3"): "image_only"},
 )
 
@@ -111,7 +110,7 @@ def read_rule_policy(spark: SparkSession, path: str, fmt: str = "parquet") -> Ru
         if "PATH_NOT_FOUND" in str(exc):
             return RulePolicy()
         raise
-    return rule_policy(_bounded_rows(df.select("clause", "test_number", "action")))
+    return rule_policy(df.select("clause", "test_number", "action").collect())
 
 
 @dataclass(frozen=True)
@@ -139,12 +138,12 @@ class TriageProfile:
 
     def class_for(self, clause: Column) -> Column:
         """Class of the longest dotted prefix of the clause, or null (neutral)."""
-        result = F.lit(None).cast("string")
-        # Shorter prefixes first, so that a longer one ends up outermost.
-        for prefix in sorted(self.clause_class, key=lambda p: (p.count("."), p)):
-            hit = (clause == prefix) | clause.startswith(prefix + ".")
-            result = F.when(hit, F.lit(self.clause_class[prefix])).otherwise(result)
-        return result
+        by_depth: dict[int, dict[str, str]] = {}
+        for prefix, name in self.clause_class.items():
+            by_depth.setdefault(prefix.count(".") + 1, {})[prefix] = name
+        longest_first = sorted(by_depth.items(), reverse=True)
+        found = [_pick(F.substring_index(clause, ".", d), classes) for d, classes in longest_first]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
 
     def routes_manual(self, signal: str) -> bool:
         return self.structural.get(signal) == "manual"
@@ -194,4 +193,23 @@ def read_triage_profile(spark: SparkSession, path: str, fmt: str = "parquet") ->
         if "PATH_NOT_FOUND" in str(exc):
             return DEFAULT_TRIAGE_PROFILE
         raise
-    return triage_profile(_bounded_rows(df.select("kind", "key", "value")))
+    return triage_profile(df.select("kind", "key", "value").collect())
+
+
+def join_actions(rules: DataFrame, policy: DataFrame) -> DataFrame:
+    """``rules`` with ``action`` from a policy table (clause, test_number, action) of any size."""
+    listed = policy.groupBy("clause", "test_number").agg(
+        F.when(F.bool_or(F.col("action") == "ignore"), F.lit("ignored")).otherwise(F.max("action")).alias("action")
+    )
+    return rules.join(listed, ["clause", "test_number"], "left").withColumn(
+        "action", F.coalesce("action", F.lit("counts"))
+    )
+
+
+def join_classes(clauses: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct ``clause`` rows with the class of their longest dotted prefix in (key, value) rows of any size."""
+    parts = F.split("clause", "\\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    rows = clauses.select("clause").distinct().where("clause is not null").select("clause", F.posexplode(prefixes).alias("depth", "key"))
+    found = rows.join(classes.select("key", "value"), "key").groupBy("clause").agg(F.max_by("value", "depth").alias("class"))
+    return clauses.join(found, "clause", "left")

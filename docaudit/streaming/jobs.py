@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docaudit.operators.inventory import FILE_KEY
+from docaudit.functions.suffixes import DEFAULT_SUFFIXES, SuffixRules
+from docaudit.operators.inventory import FILE_KEY, upsert_files
 from docaudit.operators.links import absolute_links, classify_links
+from docaudit.operators.merge import last_per_key
+from docaudit.operators.resolve import resolve_links
 from docaudit.operators.rules import extract_rules, summarize
+from docaudit.shared import written
 from docaudit.sources.policy import RulePolicy
 from docaudit.streaming.sinks import start, tables_writer, write_batch
 
@@ -30,49 +34,79 @@ def stream_folder(
     return reader.parquet(folder)
 
 
-def discovery(links: DataFrame, settings: DataFrame, site_of) -> DataFrame:
-    """Stream of discovered PDFs, each (pdf_url, parent_url) once.
+def discovery(
+    links: DataFrame, settings: DataFrame, site_of, suffixes: SuffixRules = DEFAULT_SUFFIXES
+) -> DataFrame:
+    """Stream of discovered PDFs and share links, each (url, parent_url) once.
 
+    A share link has ``action`` share and the resolver's name; its page is resolved when the log is merged.
     ``settings`` is the static crawl settings table, ``site_of`` the site key of a page
     URL. The dedup state holds every pair seen, as the feature asks; a caller that has
     event times can bound it with ``dropDuplicatesWithinWatermark`` instead.
     """
     located = absolute_links(links).withColumn("site_id", site_of(F.col("parent_url")))
-    found = classify_links(located.join(settings, "site_id")).where(F.col("action") == "pdf")
+    found = classify_links(located.join(settings, "site_id"), suffixes).where(F.col("action").isin("pdf", "share"))
     return found.select(
         F.col("url").alias("pdf_url"),
         "parent_url",
         "site_id",
-        F.lit(None).cast("string").alias("via_resolver"),
+        F.when(F.col("action") == "share", F.col("via_resolver")).alias("via_resolver"),
         "offsite",
+        "action",
     ).dropDuplicates(FILE_KEY)
 
 
-def run_discovery(found: DataFrame, log: str, checkpoint: str) -> None:
+def run_discovery(found: DataFrame, log: str, checkpoint: str, run: int = 0) -> None:
     """Append discovered rows to a log, one partition per batch.
 
-    The log is merged into the inventory by the batch upsert, so that no batch has to
+    The log is merged into the inventory by :func:`merge_discovery`, so that no batch has to
     rewrite the inventory.
     """
-    start(found, lambda rows, i: write_batch(rows, log, i), checkpoint).awaitTermination()
+    start(found, lambda rows, i: write_batch(rows, log, i, run), checkpoint).awaitTermination()
+
+
+def merge_discovery(
+    files: DataFrame, log: DataFrame, snapshots: DataFrame, now: Column
+) -> tuple[DataFrame, DataFrame]:
+    """Inventory after a discovery log, and the share links that led to no document.
+
+    ``snapshots`` (url, html) has the fetched share pages.
+    """
+    direct = log.where(F.col("action") == "pdf")
+    shares = log.where(F.col("action") == "share").withColumnRenamed("pdf_url", "share_url")
+    resolved, failures = resolve_links(shares, snapshots)
+    columns = ["pdf_url", "parent_url", "site_id", "via_resolver", "offsite"]
+    return upsert_files(files, direct.select(*columns).unionByName(resolved.select(*columns)), now), failures
 
 
 def run_verification(
-    reports: DataFrame, policy: RulePolicy, root: str, checkpoint: str
+    reports: DataFrame, policy: RulePolicy, root: str, checkpoint: str, run: int = 0
 ) -> None:
-    """Checker reports in chunks to rule and summary logs; resumable per batch."""
+    """Checker reports in chunks to rule and summary logs; resumable per batch.
+
+    A document that comes several times in a batch counts with its last report. Every validation has a summary
+    row, also one without rules, so the summaries say which batch of a document is valid.
+    """
 
     def split(batch: DataFrame) -> dict[str, DataFrame]:
-        rules = extract_rules(batch)
-        return {"rules": rules, "summaries": summarize(rules, policy, batch)}
+        # Read twice from a table rather than kept in the executors' memory.
+        reports = written(last_per_key(batch.select("pdf_hash", "report_json"), ["pdf_hash"]), "reports")
+        rules = extract_rules(reports)
+        return {"rules": rules, "summaries": summarize(rules, policy, reports)}
 
-    start(reports, tables_writer(split, root), checkpoint).awaitTermination()
+    start(reports, tables_writer(split, root, run), checkpoint).awaitTermination()
 
 
-def latest_by_hash(log: DataFrame) -> DataFrame:
-    """Rows of the last batch that validated each document."""
-    last = log.groupBy("pdf_hash").agg(F.max("batch").alias("batch"))
-    return log.join(last, ["pdf_hash", "batch"]).drop("batch")
+def latest_by_hash(log: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Rows of the last run and batch that validated each document.
+
+    ``summaries`` is the log with a row for every validation; a log of rules alone does not
+    show that a document was found to have none.
+    """
+    number = F.struct("run", "batch")
+    last = (log if summaries is None else summaries).groupBy("pdf_hash").agg(F.max(number).alias("_last"))
+    last = last.select("pdf_hash", "_last.run", "_last.batch")
+    return log.join(last, ["pdf_hash", "run", "batch"]).drop("run", "batch")
 
 
 def run_triage(triaged: DataFrame, path: str, checkpoint: str) -> None:

@@ -25,10 +25,12 @@ def test_text_types(spark):
     boxes = _boxes(
         spark,
         [("hy", 0, "figure_image", full), ("hy", 3, "text", small), ("tx", 1, "text", small), ("im", 0, "figure_image", full),
-         ("no", 0, "figure_image", small), ("bare", 0, "image", full), ("late", 25, "text", small), ("late", 2, "other", small)],
+         ("no", 0, "figure_image", small), ("bare", 0, "image", full), ("late", 70, "text", small), ("late", 2, "other", small), ("late", 134, "figure_image", full)],
     )
     got = {r["pdf_hash"]: r["text_type"] for r in L.text_type(boxes).collect()}
-    assert got == {"hy": "Hybrid", "tx": "Text", "im": "Image Only", "no": None, "bare": None, "late": None}
+    assert got == {"hy": "Hybrid", "tx": "Text", "im": "Image Only", "no": None, "bare": None, "late": "Hybrid"}
+    got = {r["pdf_hash"]: r["text_type"] for r in L.text_type(boxes, max_pages=25).collect()}
+    assert got["late"] is None and got["hy"] == "Hybrid"
 
 
 def test_overlap_matches_brute_force(spark):
@@ -39,7 +41,7 @@ def test_overlap_matches_brute_force(spark):
             kind = rng.choice(["text", "text", "image", "figure_image", "other"])
             x0, y0 = rng.uniform(-20, 100), rng.uniform(-20, 100)
             w, h = (rng.uniform(-2, 25), rng.uniform(1, 20)) if kind == "text" else (rng.uniform(5, 110), rng.uniform(5, 60))
-            rows.append((f"d{doc}", rng.choice([0, 1, 24, 25]), kind, (x0, y0, x0 + w, y0 + h)))
+            rows.append((f"d{doc}", rng.choice([0, 1, 24, 90]), kind, (x0, y0, x0 + w, y0 + h)))
     # Exactly half of the text box, on the edge of a grid cell.
     rows += [("edge", 0, "image", (50, 50, 90, 90)), ("edge", 0, "text", (40, 50, 60, 60))]
 
@@ -53,11 +55,11 @@ def test_overlap_matches_brute_force(spark):
 
     images = [
         (h, p, b) for h, p, k, b in rows
-        if k in ("image", "figure_image") and p < 25 and 0.05 < (b[2] - b[0]) * (b[3] - b[1]) / 10000 < 0.9
+        if k in ("image", "figure_image") and 0.05 < (b[2] - b[0]) * (b[3] - b[1]) / 10000 < 0.9
     ]
     want = sorted(
         (h, p, *map(float, b)) for h, p, k, b in rows
-        if k == "text" and p < 25 and any(h == ih and p == ip and hit(b, ib) for ih, ip, ib in images)
+        if k == "text" and any(h == ih and p == ip and hit(b, ib) for ih, ip, ib in images)
     )
     got = sorted(tuple(r) for r in L.overlapping_texts(_boxes(spark, rows)).select("pdf_hash", "page_no", "x0", "y0", "x1", "y1").collect())
     assert got == want and ("edge", 0, 40.0, 50.0, 60.0, 60.0) in got and len(want) > 5
