@@ -53,7 +53,7 @@ def find_by_url(files: DataFrame, text: str, limit: int | None = None) -> DataFr
 
 def lookup(table: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``table`` whose key is wanted."""
-    return table.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    return table.join(wanted.select(*keys), keys, "left_semi")
 
 
 # -- joins ---------------------------------------------------------------------
@@ -82,10 +82,11 @@ def site_contacts(
 def export_rows(files: DataFrame, contacts: DataFrame, reports: DataFrame) -> DataFrame:
     """One row per file with its site, owner, emails and report.
 
-    Removed files are included. Sites are joined first: they are few, and files of
-    unknown sites drop out before the join on content hash.
+    Removed files are included. Files of unknown sites drop out first, by the narrow site ids; the contacts, with
+    an owner's emails in one cell, come last and so are never shuffled by content hash.
     """
-    return lookup_hash(files.join(contacts, "site_id"), reports)
+    known = files.join(contacts.select("site_id"), "site_id", "left_semi")
+    return lookup_hash(known, reports).join(contacts, "site_id")
 
 
 # -- discovery and upserts -----------------------------------------------------

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.shared import written
+
 
 def _on(left: str, right: str, keys: Sequence[str]) -> Column:
     condition = F.col(f"{left}.{keys[0]}") == F.col(f"{right}.{keys[0]}")
@@ -123,7 +125,8 @@ def delete(target: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFra
 
 def set_null(target: DataFrame, doomed: DataFrame, column: str, key: str) -> DataFrame:
     """Clear references to deleted rows."""
-    gone = doomed.select(F.col(key).alias("_gone")).distinct()
+    # Written, so that a reference which very many rows share can be split.
+    gone = written(doomed.select(F.col(key).alias("_gone")).distinct(), "gone")
     joined = target.join(gone, F.col(column) == F.col("_gone"), "left")
     kept = F.when(F.col("_gone").isNull(), F.col(column))
     return joined.select(*[(kept.alias(c) if c == column else F.col(c)) for c in target.columns])

@@ -178,11 +178,12 @@ def site_hosts(sites: DataFrame) -> DataFrame:
 def match_domains(domains: DataFrame, sites: DataFrame) -> DataFrame:
     """Roster domains with the number of sites that have their host.
 
-    Hosts are counted before the join, so a host shared by very many sites is one row.
+    Hosts are counted before the join, so a host shared by very many sites is one row. The counts are
+    written, so that a host of very many roster rows can be split.
     ``outcome`` is linked (one site), unmatched (none) or ambiguous (several).
     """
-    per_host = site_hosts(sites).groupBy("host").agg(
-        F.count("*").alias("n_sites"), F.min("name").alias("site")
+    per_host = written(
+        site_hosts(sites).groupBy("host").agg(F.count("*").alias("n_sites"), F.min("name").alias("site")), "hosts"
     )
     n = F.coalesce("n_sites", F.lit(0))
     return (

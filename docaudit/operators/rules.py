@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.shared import written
 from docaudit.sources.policy import RulePolicy
 
 _RULE = (
@@ -94,7 +95,7 @@ def extract_job_rules(batches: DataFrame, json_column: str = "report_json") -> D
 def match_jobs(files: DataFrame, jobs: DataFrame, path_column: str = "path") -> DataFrame:
     """Files with their job by base name; ``has_result`` is false when none was returned."""
     keyed = files.withColumn("job_name", base_name(F.col(path_column)))
-    flagged = jobs.withColumn("has_result", F.lit(True))
+    flagged = written(jobs.withColumn("has_result", F.lit(True)), "jobs")
     return keyed.join(flagged, "job_name", "left").withColumn(
         "has_result", F.coalesce("has_result", F.lit(False))
     )

@@ -426,8 +426,10 @@ class Fixtures:
 
     @cached_property
     def reports(self) -> DataFrame:
-        """Reports built by the library from rules and analysis."""
-        return assemble_reports(summarize(self.rules, DEFAULT_RULE_POLICY), self.view("v_analysis"))
+        """Reports built by the library from rules and analysis, stored as a table like an inventory's."""
+        return written(
+            assemble_reports(summarize(self.rules, DEFAULT_RULE_POLICY), self.view("v_analysis")), "reports"
+        )
 
     @cached_property
     def triaged(self) -> DataFrame:

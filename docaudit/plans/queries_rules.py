@@ -17,8 +17,10 @@ from docaudit.operators.evaluate import (
 )
 from docaudit.operators.status import classify_files, triage_reports
 from docaudit.operators.verify import assemble_reports
+from docaudit.operators.merge import lookup_hash
 from docaudit.plans.fixtures import Fixtures
 from docaudit.plans.registry import query
+from docaudit.shared import written
 from docaudit.sources.policy import (
     DEFAULT_RULE_POLICY,
     DEFAULT_TRIAGE_PROFILE,
@@ -214,8 +216,8 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     found = fx.files.where(~F.col("removed") & F.contains(F.lower("pdf_url"), F.lit("legacy")))
-    totals = R.policy_totals(fx.rules, POLICY).withColumnRenamed("pdf_hash", "file_hash")
-    return found.join(totals, "file_hash", "left").select(
+    totals = written(R.policy_totals(fx.rules, POLICY), "totals")
+    return lookup_hash(found, totals, row="pdf_id").select(
         "pdf_id",
         "pdf_url",
         F.col("file_hash").isNotNull().alias("verified"),
@@ -234,8 +236,9 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     counted = R.counted_rules(fx.rules, POLICY).join(fx.reports.select("pdf_hash"), "pdf_hash", "left_semi")
-    return fx.files.select("pdf_id", F.col("file_hash").alias("pdf_hash")).join(
-        counted, "pdf_hash"
+    hashed = fx.files.where(F.col("file_hash").isNotNull())
+    return hashed.select("pdf_id", F.col("file_hash").alias("pdf_hash")).join(
+        written(counted, "counted"), "pdf_hash"
     ).select("pdf_id", "clause", "test_number", "failed_checks")
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from docaudit.plans.fixtures import Fixtures, with_views
+from docaudit.shared import prepare
 
 
 @dataclass(frozen=True)
@@ -17,7 +18,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(Fixtures(spark, sf_dir))
+        return self.build(Fixtures(prepare(spark), sf_dir))
 
 
 QUERIES: dict[str, Query] = {}

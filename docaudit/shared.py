@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +27,18 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set the same on a session that somebody else built; the registered queries start with it."""
+    for key, value in SESSION_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read, named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own; on a cluster
-    a machine-local folder would lose data with the executor.
+    A session without the setting may have set its checkpoint folder in code. Without either, a session on one
+    machine gets a folder below its warehouse; on a cluster a machine-local folder would lose data with the executor.
     """
     configured = spark.conf.get(SHARED_DIR_CONF, None)
     if configured:
@@ -42,20 +48,32 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SHARED_DIR_CONF} to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables, below the shared one."""
+    return f"{shared_dir(spark)}/docaudit-{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has written yet."""
-    return f"{shared_dir(spark)}/docaudit/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them are void."""
+    jvm, path = spark._jvm, run_dir(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage of iterative jobs, survives lost executors and stays columnar.
+    Cuts the lineage of iterative jobs, survives lost executors and stays columnar. The tables stay until
+    :func:`clean_up`.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)

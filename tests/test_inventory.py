@@ -130,3 +130,17 @@ def test_first_and_last_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, None)], "k string, o int, v string")
     assert sorted(first_per_key(df, ["k"], F.col("o")).collect()) == [("a", 1, "y"), ("b", 3, None)]
     assert sorted(last_per_key(df, ["k"], F.col("o")).collect()) == [("a", 2, "x"), ("b", 3, None)]
+
+
+def test_last_change_of_a_key_counts(spark):
+    sites = spark.createDataFrame([(1, "a", None), (2, "b", 9)], "site_id bigint, name string, owner_id bigint")
+    owners = spark.createDataFrame([(5, "x"), (6, "y")], "owner_id bigint, owner_key string")
+    wanted = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "name string, owner_key string")
+    after, _ = I.set_site_owner(sites, owners, wanted)
+    assert sorted((r["name"], r["owner_id"]) for r in after.collect()) == [("a", 5), ("b", 6)]
+    people = spark.createDataFrame([(1, "e1", "N", None, False)], "person_id bigint, employee_id string, full_name string, email string, is_manager boolean")
+    changes = spark.createDataFrame(
+        [("e1", "Old", None), ("e1", "New", "m"), ("e2", "First", None), ("e2", "Second", None)], "employee_id string, full_name string, email string"
+    ).coalesce(1)
+    got = sorted((r["employee_id"], r["full_name"]) for r in I.upsert_people(people, changes).collect())
+    assert got == [("e1", "New"), ("e2", "Second")]

@@ -18,6 +18,31 @@ def test_hrefs(spark):
     assert [r["href"] for r in L.extract_links(pages).collect()] == ["/a.pdf", "/b?x=1&y=2", "c.html"]
 
 
+def test_attributes_and_references(spark):
+    html = (
+        '<a title="x > y" href="/a.pdf">1</a><a data-href=q class=b href=\'/c&#46;pdf&eacute;&#38;amp;\'>2</a>'
+        '<a href=d?x=1&copy=2&#x1F600;>3</a><a name=z><a\nid=1\nHREF = "e&unknown;&amp;lt;&#0;&#xD800;">4</a>'
+    )
+    pages = spark.createDataFrame([(1, "http://h/p", html)], "page_id bigint, url string, html string")
+    got = [r["href"] for r in L.extract_links(pages).collect()]
+    assert got == ["/a.pdf", "/c.pdfé&amp;", "d?x=1&copy=2😀", "e&unknown;&lt;&#0;&#xD800;"]
+
+
+def test_links_start_at_the_base(spark):
+    html = '<head><base href="/root/"></head><a href="a.pdf">'
+    pages = spark.createDataFrame([(1, "http://h/x/y", html), (2, "http://h/x/y", '<a href="a.pdf">')], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["url"] for r in L.absolute_links(L.extract_links(pages)).collect()}
+    assert got == {1: "http://h/root/a.pdf", 2: "http://h/x/a.pdf"}
+
+
+def test_all_scripts_of_a_share_page(each):
+    url, item = "https://u.box.com/s/abc", '<script>Box.postStreamData={"items": [{"name":"%s","extension":"%s","canDownload":%s}]}</script>'
+    other, quoted, locked = item % ("a.doc", "doc", "true"), item % ("b.pdf", "pdf", '"false"'), item % ("b.pdf", "pdf", "false")
+    broken = '<script>Box.postStreamData={"items": [{"name":oops}]}</script>'
+    got = each([other + quoted, other + locked, broken + quoted, quoted + broken, other], S.BoxShares().resolve(F.lit(url), F.col("x")))
+    assert [(r["filename"], r["error"]) for r in got] == [("b.pdf", None), (None, S.LOCKED), (None, S.PARSE_ERROR), ("b.pdf", None), (None, S.NO_ITEM)]
+
+
 def test_base_tag(each):
     assert each(['<base href="/root/">', "<p>"], L.page_base(F.lit("http://h/x/y"), F.col("x"))) == ["http://h/root/", "http://h/x/y"]
 
@@ -63,11 +88,19 @@ def test_resolve_links(spark):
 
 def test_crawl_depths_and_cycles(spark):
     edges = spark.createDataFrame(
-        [(1, a, b) for a, b in [("s", "a"), ("a", "b"), ("b", "s"), ("s", "b"), ("b", "c"), ("c", "d"), ("x", "y")]] + [(2, "s", "z")],
-        "site_id bigint, src string, dst string",
+        [(f"http://h.test/{a}", f"http://{'o' if b == 'z' else 'h'}.test/{b}") for a, b in
+         [("s", "a"), ("a", "b"), ("b", "s"), ("s", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("s", "z"), ("s", "s")]],
+        "src string, dst string",
+    )
+    sites = spark.createDataFrame(
+        [(1, "host", ["h.test"], None), (2, "host", ["o.test"], None), (3, "path", ["h.test"], "/b"), (4, "domain", ["x.o.test"], None)],
+        "site_id bigint, scope string, hosts array<string>, path_prefix string",
     )
-    seeds = spark.createDataFrame([(1, "s"), (1, "s"), (2, "s")], "site_id bigint, url string")
-    full = {(r["site_id"], r["url"]): r["depth"] for r in L.crawl_frontier(seeds, edges).collect()}
-    assert full == {(1, "s"): 0, (1, "a"): 1, (1, "b"): 1, (1, "c"): 2, (1, "d"): 3, (2, "s"): 0, (2, "z"): 1}
-    near = L.crawl_frontier(seeds, edges, max_depth=1).collect()
-    assert {r["url"] for r in near} == {"s", "a", "b", "z"}
+    seeds = spark.createDataFrame([(i, "http://h.test/s") for i in (1, 1, 2, 3, 4)], "site_id bigint, url string")
+    full = {(r["site_id"], r["url"][7] + r["url"][-1]): r["depth"] for r in L.crawl_frontier(seeds, edges, sites).collect()}
+    assert full == {
+        (1, "hs"): 0, (1, "ha"): 1, (1, "hb"): 1, (1, "hc"): 2, (1, "hd"): 3, (2, "hs"): 0, (2, "oz"): 1, (3, "hs"): 0, (3, "hb"): 1,
+        (4, "hs"): 0, (4, "oz"): 1,
+    }
+    near = L.crawl_frontier(seeds, edges, sites, max_depth=1).where("site_id = 1").collect()
+    assert {r["url"][-1] for r in near} == {"s", "a", "b"}

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import json
 
 from docaudit.operators.export import append_failures, write_csv, write_json
@@ -56,3 +57,13 @@ def test_sinks(spark, tmp_path):
     append_failures(failures, str(tmp_path / "f"))
     append_failures(failures, str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == 2
+
+
+def test_cells_with_empty_first_cell_and_line_ends(spark, tmp_path, each):
+    from docaudit.sources.files import read_roster_csv, split_cells
+
+    lines = [",x.edu,grp", '"a,""b",,c', ",,", "a", '\ufeff"q",r']
+    assert each(lines, split_cells(F.col("x"))) == [["", "x.edu", "grp"], ['a,"b', "", "c"], ["", "", ""], ["a"], ["q", "r"]]
+    (tmp_path / "r.csv").write_text('h,i\r\n"two\nlines",c\r\n\n,d,"e ""x\ny"" f"\nlast,row')
+    rows = read_roster_csv(spark, str(tmp_path / "r.csv"), multiline=True).orderBy("position").collect()
+    assert [r["cells"] for r in rows] == [["h", "i"], ["two\nlines", "c"], ["", "d", 'e "x\ny" f'], ["last", "row"]]

@@ -8,6 +8,7 @@ from docaudit.sources.policy import DEFAULT_RULE_POLICY
 from docaudit.streaming import jobs as J
 from docaudit.streaming.sinks import read_log, write_batch
 
+RULE = "pdf_hash string, clause string, test_number string, failed_checks bigint"
 SUMMARY = "pdf_hash string, violations bigint, failed_checks bigint, tagged boolean, image_only boolean"
 
 
@@ -28,12 +29,21 @@ def test_verification_resumes_and_keeps_the_latest(spark, tmp_path):
         stream = J.stream_folder(spark, folder, struct, files_per_trigger=1)
         J.run_verification(stream, DEFAULT_RULE_POLICY, root, state)
         log = read_log(spark, f"{root}/summaries", SUMMARY)
-        return {r["pdf_hash"]: r["failed_checks"] for r in J.latest_by_hash(log).collect()}
+        rules = J.latest_by_hash(read_log(spark, f"{root}/rules", RULE), log)
+        found = {r["pdf_hash"]: r["failed_checks"] for r in J.latest_by_hash(log).collect()}
+        held = {r["pdf_hash"]: r["failed_checks"] for r in rules.collect()}
+        assert held == {h: n for h, n in found.items() if n}
+        return found
 
     assert run() == {"h": 1, "k": 2}
     assert run() == {"h": 1, "k": 2}  # nothing new
     spark.createDataFrame([("h", _report("7.5", 7))], schema).coalesce(1).write.mode("append").parquet(folder)
     assert run() == {"h": 7, "k": 2}
+    # Twice in a batch counts once, and a validation without rules takes the old rules away.
+    empty = '{"report": {"jobs": [{"validationResult": {"details": {"ruleSummaries": []}}}]}}'
+    again = [("h", _report("7.5", 3)), ("h", _report("7.5", 3)), ("k", empty)]
+    spark.createDataFrame(again, schema).coalesce(1).write.mode("append").parquet(folder)
+    assert run() == {"h": 3, "k": 0}
 
 
 def test_replayed_batch_replaces_itself(spark, tmp_path):

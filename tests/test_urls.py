@@ -47,6 +47,22 @@ def test_registrable_domain(each):
     ]
 
 
+def test_suffix_rules(each):
+    from docaudit.functions.suffixes import suffix_rules
+
+    hosts = {
+        "foo.cloud": "foo.cloud", "a.foo.health": "foo.health", "x.city.nhs.uk": "city.nhs.uk", "nhs.uk": "", "b.me.uk": "b.me.uk",
+        "w.foo.lg.jp": "foo.lg.jp", "x.foo.co.de": "co.de", "a.b.any.ck": "b.any.ck", "any.ck": "", "x.www.ck": "www.ck", "www.ck": "www.ck",
+        "y.xn--p1ai": "y.xn--p1ai", "a..b": "", "[::1]": "",
+    }
+    assert each(list(hosts), U.registrable_domain(x())) == list(hosts.values())
+    rules = suffix_rules(["// comment", "", "com", "github.test // note", "*.wild", "!free.wild"])
+    own = {"a.b.github.test": "b.github.test", "b.com": "b.com", "c.d.e.wild": "d.e.wild", "q.free.wild": "free.wild", "b.co.uk": "co.uk"}
+    assert each(list(own), U.registrable_domain(x(), rules)) == list(own.values())
+    inside = U.in_scope(F.concat(F.lit("http://"), x(), F.lit("/p")), "domain", F.array(F.lit("z.b.github.test")), suffixes=rules)
+    assert each(list(own), inside) == [True, False, False, False, False]
+
+
 def test_normalize_keeps_path_case(each):
     assert each(
         ["HTTPS://Ab.Example.edu/Docs/A.pdf?q=1#frag", "http://h/p?", "mailto:A@b"], U.normalize_url(x())
