@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SF = "/root/testdata/sf0.001"
+from plain import SF
 
 
 def prose(rng, n, words=400):

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import plain
 import pytest
-from conftest import SF
+from plain import SF
 from pyspark.sql import functions as F
 
 from docaudit.llm.boosted_trees import TreeSettings, fit, score_quality

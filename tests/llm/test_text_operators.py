@@ -5,7 +5,7 @@ from collections import Counter
 
 import plain
 import pytest
-from conftest import SF
+from plain import SF
 from pyspark.sql import functions as F
 
 from docaudit.llm.license_scan import scan_licenses
