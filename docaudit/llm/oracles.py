@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from docaudit.llm.license_templates import TEMPLATES
+
 _ASCII = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1 = rf"""
@@ -96,4 +98,50 @@ select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 from f left join s using (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op9_quality_rules": OP9}
+OP7 = """
+with p as (
+  select page_id, coalesce(html, '') h, min(page_id) over (partition by coalesce(html, '')) first from pages),
+b as (
+  select *, array_to_string(list_transform(range(1, 41), lambda j: substr(
+      '0000000100100011010001010110011110001001101010111100110111101111',
+      1 + 4 * (strpos('0123456789abcdef', substr(sha1(h), j, 1)) - 1), 4)), '') bits
+  from p)
+select page_id, cast(strlen(h) as bigint) payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + 16 * cast(substr(bits, 5 * i + 1, 1) as int) + 8 * cast(substr(bits, 5 * i + 2, 1) as int)
+             + 4 * cast(substr(bits, 5 * i + 3, 1) as int) + 2 * cast(substr(bits, 5 * i + 4, 1) as int)
+             + cast(substr(bits, 5 * i + 5, 1) as int), 1)), '') payload_digest,
+       case when page_id = first then 'response' else 'revisit' end record_type,
+       case when page_id <> first then first end refers_to
+from b
+"""
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
+_ALNUM = r"list_filter(string_split_regex({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP10 = f"""
+with t(name, text) as (values {_TEMPLATE_ROWS}),
+tw as (select name, {_ALNUM.format(_ASCII.format("text"))} w from t),
+ts as (
+  select distinct name, array_to_string(list_slice(w, i, i + 4), ' ') g
+  from (select name, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) i from tw)),
+tn as (select name, count(*) n from ts group by name),
+dw as (select doc_id, {_ALNUM.format(_ASCII.format("coalesce(text, '')"))} w from documents),
+ds as (
+  select doc_id, i, array_to_string(list_slice(w, i, i + 4), ' ') g
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) i from dw where len(w) > 0)),
+m as (select doc_id, name, n, i, g from ds join ts using (g) join tn using (name)),
+c as (
+  select a.doc_id, a.name, a.i, count(distinct b.g) / a.n share
+  from m a join m b on b.doc_id = a.doc_id and b.name = a.name and b.i between a.i and a.i + 2 * a.n - 1
+  group by a.doc_id, a.name, a.i, a.n),
+f as (select doc_id, name, max(share) share from c where share >= 0.8 group by doc_id, name),
+r as (select doc_id, count(*) n, string_agg(name, ',' order by name) s, max(share) b from f group by doc_id)
+select doc_id, coalesce(n, 0) n_licenses, coalesce(s, '') licenses, cast(coalesce(b, 0) as double) best_share
+from documents left join r using (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op1_ngram_join": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op7_warc": OP7, "op9_quality_rules": OP9,
+    "op10_license_scan": OP10,
+}
