@@ -50,7 +50,3 @@ def crawl_flags(
         " ",
     )
     return F.when(badges == "", NOTHING).otherwise(badges)
-
-
-def yes_no(flag: Column) -> Column:
-    return F.when(F.coalesce(flag, F.lit(False)), "Y").otherwise("N")

@@ -17,10 +17,13 @@ ILLEGAL_CHARACTERS = r'[<>:"/\\|?*\x00-\x1f]'
 MAX_PART_LENGTH = 150
 
 
-def sanitize(part: Column) -> Column:
-    """Decoded path part without illegal characters or outer blanks and dots."""
+def sanitize(part: Column, max_length: int = MAX_PART_LENGTH) -> Column:
+    """Decoded path part without illegal characters or outer blanks and dots.
+
+    It is cut to ``max_length``, since file systems limit names; see ``storage_plan`` for names that meet.
+    """
     clean = F.regexp_replace(percent_decode(part), ILLEGAL_CHARACTERS, "_")
-    return F.substring(F.btrim(strip(clean), F.lit(".")), 1, MAX_PART_LENGTH)
+    return F.substring(F.btrim(strip(clean), F.lit(".")), 1, max_length)
 
 
 def storage_filename(url: Column, file_hash: Column) -> Column:
@@ -39,7 +42,7 @@ def storage_folder(url: Column) -> Column:
     path = F.regexp_replace(drop_params(url_path(url)), r"(?:/\.?)+$", "")
     folders = F.split(F.regexp_extract(path, r"(?s)^/(.*)/[^/]*$", 1), "/")
     kept = F.filter(folders, lambda s: (s != "") & (s != "."))
-    return F.array_join(F.filter(F.transform(kept, sanitize), lambda s: s != ""), "/")
+    return F.array_join(F.filter(F.transform(kept, lambda s: sanitize(s)), lambda s: s != ""), "/")
 
 
 def storage_path(

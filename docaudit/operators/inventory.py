@@ -10,7 +10,6 @@ from docaudit.functions.text import strip
 from docaudit.functions.urls import SCOPES, ensure_scheme, url_host
 from docaudit.operators.merge import (
     delete,
-    last_per_key,
     lookup_hash,
     merge,
     missing_keys,
@@ -18,7 +17,7 @@ from docaudit.operators.merge import (
     take,
     update,
 )
-from docaudit.operators.ordering import number_rows
+from docaudit.operators.ordering import last_per_key, number_rows
 
 FILE_KEY = ["pdf_url", "parent_url"]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,19 +42,15 @@ def chunk_ids(df: DataFrame, size: int, *order: Column) -> DataFrame:
     return numbered.withColumn("chunk_id", chunk).drop("_row")
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """One whole row per key, the lowest in ``order``.
+def last_per_key(df: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
+    """One whole row per key, the highest in ``order``, else the last in the order rows are read in.
 
     An aggregate with map-side combine, so a key with a third of all rows is reduced
     before the shuffle; a window would send all of them to one task.
     """
     rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), order).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
-
-
-def last_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """One whole row per key, the highest in ``order``."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), order).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
+    if not rest:
+        return df.distinct()
+    placed = df.withColumn("_place", F.monotonically_increasing_id() if order is None else order)
+    best = placed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_place").alias("_best"))
+    return best.select(*keys, "_best.*").select(*df.columns)

@@ -13,14 +13,22 @@ from docaudit.sources.policy import RulePolicy, TriageProfile
 
 
 def triage_reports(
-    reports: DataFrame, rules: DataFrame, policy: RulePolicy, profile: TriageProfile
+    reports: DataFrame,
+    rules: DataFrame,
+    policy: RulePolicy,
+    profile: TriageProfile,
+    clauses: DataFrame | None = None,
 ) -> DataFrame:
     """Reports with classification, reason and confidence.
 
+    ``clauses`` is a stored clause profile of the rules; a stream of reports needs one, or every
+    micro-batch would aggregate all rules.
+
     Everything triage looks at hangs on the content hash, so documents are classified
     once per hash and files only pick the label up.
     """
-    clauses = clause_profile(rules, policy, profile)
+    if clauses is None:
+        clauses = clause_profile(rules, policy, profile)
     joined = reports.join(clauses, "pdf_hash", "left")
     verdict = triage(
         **{

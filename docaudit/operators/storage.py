@@ -18,15 +18,24 @@ def storage_plan(
 ) -> DataFrame:
     """One row per destination that does not exist yet, with the file to copy.
 
-    ``files`` has pdf_id, pdf_url, site and file_hash; ``stored`` the existing paths.
+    ``files`` has pdf_id, pdf_url, site and file_hash; ``stored`` the existing paths. Where a template gives
+    different contents one destination (equal or cut names), the content with the lowest id has it, and
+    the others get their hash before the ending, so no content is left out.
     """
     dest = storage_path(
         F.col("pdf_url"), F.col("site"), F.col("file_hash"), root=root, date=date, template=template
     )
-    planned = (
+    contents = (
         files.where(F.col("file_hash").isNotNull())
-        .withColumn("dest", dest)
-        .groupBy("dest")
+        .withColumn("path", dest)
+        .groupBy("path", "file_hash")
         .agg(F.min("pdf_id").alias("pdf_id"), F.min_by("pdf_url", "pdf_id").alias("pdf_url"))
     )
+    owners = contents.groupBy("path").agg(F.min("pdf_id").alias("_first"))
+    hashed = F.concat(
+        F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("-"), "file_hash", F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    )
+    planned = contents.join(owners, "path").select(
+        F.when(F.col("pdf_id") == F.col("_first"), F.col("path")).otherwise(hashed).alias("dest"), "pdf_id", "pdf_url"
+    )
     return planned.join(stored.select(F.col("path").alias("dest")), "dest", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docaudit.functions.urls import url_host
 from docaudit.operators.inventory import site_contacts, upsert_files
+from docaudit.operators.rules import clause_profile
 from docaudit.operators.status import triage_reports
 from docaudit.plans.fixtures import Fixtures
 from docaudit.plans.jobs import ScanInputs, run_steps
@@ -70,8 +71,9 @@ def _(fx: Fixtures):
     """Reports as a stream against the stored rules and current policy."""
     folder = new_path(fx.spark, "reports")
     fx.reports.write.parquet(folder)
-    stream = J.stream_folder(fx.spark, folder, fx.reports.schema)
-    triaged = triage_reports(stream, fx.rules, DEFAULT_RULE_POLICY, DEFAULT_TRIAGE_PROFILE)
+    stream = J.stream_folder(fx.spark, folder, fx.reports.schema, files_per_trigger=4)
+    clauses = written(clause_profile(fx.rules, DEFAULT_RULE_POLICY, DEFAULT_TRIAGE_PROFILE), "clauses")
+    triaged = triage_reports(stream, fx.rules, DEFAULT_RULE_POLICY, DEFAULT_TRIAGE_PROFILE, clauses)
     path, state = new_path(fx.spark, "triaged"), new_path(fx.spark, "state")
     J.run_triage(triaged, path, state)
     return fx.spark.read.schema(triaged.schema).parquet(path).select(

@@ -56,6 +56,18 @@ def test_storage_plan_skips_existing(spark):
     assert [(r["dest"], r["pdf_id"]) for r in rows] == [("/d/s/H.pdf", 1)]
 
 
+def test_contents_that_share_a_name(spark):
+    long_ = "http://port.test/" + "n" * 200
+    files = spark.createDataFrame(
+        [(4, long_ + "-b.pdf", "s", "HB"), (3, long_ + "-a.pdf", "s", "HA"), (5, long_ + "-c.pdf", "s", "HA"), (6, "http://port.test/x.pdf", "s", "HX"), (7, "http://q.test/x.pdf", "s", "HY")],
+        "pdf_id bigint, pdf_url string, site string, file_hash string",
+    )
+    stored = spark.createDataFrame([], "path string")
+    plan = storage_plan(files, stored, root="/d", date="2026-01-01", template="{root}/{filename}").collect()
+    got = {r["pdf_id"]: r["dest"] for r in plan}
+    assert got[6] == "/d/x.pdf" and got[7] == "/d/x-HY.pdf" and len(set(got.values())) == 4 and set(got) == {3, 4, 6, 7}
+
+
 def test_display_codes(each):
     assert each(["good_to_go", "fit_for_automated_tagging", "needs_manual_remediation", "pending"], class_badge(F.col("x"))) == [
         "GO", "AUTO", "MANUAL", "-",

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from docaudit.operators import inventory as I
-from docaudit.operators.ordering import chunk_ids, first_per_key, last_per_key, number_rows
+from docaudit.operators.ordering import chunk_ids, last_per_key, number_rows
 from docaudit.sources.schemas import PDF_FILES, PDF_REPORT, SITE, align_schema
 
 FOUND = "pdf_url string, parent_url string, site_id bigint, via_resolver string, offsite boolean"
@@ -126,10 +126,10 @@ def test_row_numbers_over_many_partitions(spark):
     assert sorted(tuple(r) for r in chunks) == [(0, 300), (1, 300), (2, 300), (3, 100)]
 
 
-def test_first_and_last_per_key(spark):
+def test_last_per_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, None)], "k string, o int, v string")
-    assert sorted(first_per_key(df, ["k"], F.col("o")).collect()) == [("a", 1, "y"), ("b", 3, None)]
     assert sorted(last_per_key(df, ["k"], F.col("o")).collect()) == [("a", 2, "x"), ("b", 3, None)]
+    assert sorted(last_per_key(df.coalesce(1), ["k"]).collect()) == [("a", 1, "y"), ("b", 3, None)]
 
 
 def test_last_change_of_a_key_counts(spark):

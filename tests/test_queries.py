@@ -72,5 +72,15 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "parent_url" not in plan
 
 
+def test_rescore_joins_once(spark):
+    from docaudit.operators.rules import rescore
+    from docaudit.plans.fixtures import Fixtures
+    from docaudit.sources.policy import RulePolicy
+
+    fx = Fixtures(spark, SF_DIR)
+    plan = _plan(rescore(fx.reports, fx.rules, RulePolicy()))
+    assert plan.count("Join") == 1 and plan.count("Exchange") <= 3, plan
+
+
 def test_every_query_but_none_has_check_sql():
     assert [n for n, q in QUERIES.items() if q.sql is None] == []
