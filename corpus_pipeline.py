@@ -33,11 +33,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of similar texts stays, and every text without words.
 
-    Five-word shingles and a similarity of 0.8.
+    Five-word shingles and a similarity of 0.8. Rows of one id are one document; rows without an id stay.
     """
     found = similar_documents(docs, settings=JoinSettings(words=5, percent=80))
     firsts = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(firsts, F.col("doc_id") == F.col("first_id"), "left_semi")
+    joined = docs.join(firsts, F.col("doc_id") == F.col("first_id"), "left")
+    return joined.where(F.col("first_id").isNotNull() | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,6 +124,16 @@ def test_pipeline_stages(spark, documents, document_rows):
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_on_odd_and_empty_rows(spark, odd, odd_rows, empty):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        assert stage(spark, empty.withColumn("n_chars", F.lit(0).cast("bigint")), SF).count() == 0, name
+    docs = odd.withColumn("n_chars", F.length("text").cast("bigint"))
+    kept = dict(p.STAGES)["ngram_join"](spark, docs, SF)
+    assert kept.where("doc_id is null").count() == sum(d is None for d, _ in odd_rows)
+
+
 def test_kept_text_digest(spark):
     from docaudit.llm.queries import op3_line_dedup
 
