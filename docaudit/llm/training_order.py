@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +59,21 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray
     return out.astype(np.int64)
 
 
+def _squeezed(rows: np.ndarray) -> list[bytes]:
+    """Rows of 16-bit ids for the way to their shard: low bytes, then high bytes, compressed."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    planes = np.concatenate([rows & 0xFF, rows >> 8], axis=1).astype(np.uint8)
+    return [squeeze(x.tobytes()) for x in planes]
+
+
+def _restored(data: bytes) -> bytes:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(2, -1)
+    return planes.T.tobytes()
+
+
 def _sequences(docs: DataFrame, id_col: str, text_col: str, path: str, s: OrderSettings) -> DataFrame:
     """(task, number, doc_ids, n_tokens, ids): texts of a block one after another, cut into sequences; the last one of a
-    block is padded. Ids are unsigned 16-bit numbers, little-endian."""
+    block is padded. Ids are unsigned 16-bit numbers, compressed by sequence until they are in their shard."""
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
 
@@ -83,7 +96,7 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str, path: str, s: OrderS
                 [
                     pa.array(np.full(n, task, np.int32)), pa.array(np.arange(number, number + n)),
                     pa.ListArray.from_arrays(pa.array(ends), rows["_id"].combine_chunks().take(pa.array(who))),
-                    pa.array(used), pa.array([x.tobytes() for x in full.reshape(n, s.sequence)], pa.binary()),
+                    pa.array(used), pa.array(_squeezed(full.reshape(n, s.sequence)), pa.binary()),
                 ],
                 ["task", "number", "doc_ids", "n_tokens", "ids"],
             )
@@ -109,31 +122,27 @@ def materialise(
     """
     s, spark = settings, docs.sparkSession
     made = new_path(spark, "sequences")
-    _sequences(docs, id_col, text_col, tokenizer or tokenizer_path("word_bpe_49k.json"), s).write.option(
-        "compression", "zstd"
-    ).parquet(made)
+    made_rows = _sequences(docs, id_col, text_col, tokenizer or tokenizer_path("word_bpe_49k.json"), s)
+    made_rows.write.option("compression", "uncompressed").parquet(made)
     sequences = spark.read.parquet(made)
     per_task = sequences.groupBy("task").agg(F.count("*").alias("n")).orderBy("task").collect()  # a row per scan task
     n = sum(r["n"] for r in per_task)
     begins = itertools.accumulate((r["n"] for r in per_task), initial=0)
-    rows = [(r["task"], b) for r, b in zip(per_task, begins)]
-    starts = spark.createDataFrame(rows, "task2 int, begin bigint")
+    sent = spark.sparkContext.broadcast({r["task"]: b for r, b in zip(per_task, begins)})  # a number per scan task
     per_shard = max(1, min(s.shard_slots, -(-n // s.least_shards)))
     stride = s.sequence * 2
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = permuted(batch.column("index").to_numpy(), n, s.key, s.rounds)
+            begin = np.array([sent.value[t] for t in batch.column("task").to_pylist()], np.int64)
+            slot = permuted(batch.column("number").to_numpy() + begin, n, s.key, s.rounds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), *(batch.column(c) for c in ("n_tokens", "doc_ids", "ids"))],
                 ["slot", "shard", "n_tokens", "doc_ids", "ids"],
             )
 
     id_list = sequences.schema["doc_ids"].dataType.simpleString()
-    numbered = sequences.join(starts, F.col("task") == F.col("task2")).select(
-        (F.col("number") + F.col("begin")).alias("index"), "n_tokens", "doc_ids", "ids"
-    )
-    placed = numbered.mapInArrow(place, f"slot bigint, shard int, n_tokens bigint, doc_ids {id_list}, ids binary")
+    placed = sequences.mapInArrow(place, f"slot bigint, shard int, n_tokens bigint, doc_ids {id_list}, ids binary")
     shards = max(1, -(-n // per_shard))
     ordered = placed.repartition(shards, "shard").sortWithinPartitions("slot")
     kinds = f"slot bigint, shard int, byte_offset bigint, n_tokens bigint, ids_crc32 bigint, doc_ids {id_list}, {MANIFEST}"
@@ -165,7 +174,7 @@ def materialise(
                         yield whole(finished(), ["file", "temporary", "records", "bytes"], 1, kind)
                     shard, count, temporary = int(where[i]), 0, temporary_name(folder)
                     out = create(temporary)
-                data = data.as_py()
+                data = _restored(data.as_py())
                 if slot[i] != shard * per_shard + count:
                     raise ValueError(f"slot {slot[i]} is out of order")
                 out.write(data)
