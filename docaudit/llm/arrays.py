@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+_STRETCH = 1 << 18
 _BASE = U64(0x9E3779B97F4A7C0B)  # odd, and 3 modulo 8, so that powers differ in their low bits
 _BASE_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20_240_501).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -34,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
+        size = max(n, _STRETCH + 1024)
         up, down = np.full(size, _BASE), np.full(size, _BASE_INVERSE)
         up[0] = down[0] = 1
         _powers = np.cumprod(up), np.cumprod(down)
@@ -53,11 +54,20 @@ class WordBlock:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of every word, the same in every block."""
-        up, down = _power_tables(len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, U64)
-        np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=total[1:])
-        length = (self.end - self.start).astype(U64)
-        return mix((total[self.end] - total[self.start]) * down[self.start] + length)
+        out = np.empty(len(self.start), U64)
+        at = 0
+        while at < len(out):
+            # A stretch of words at a time, so that the arrays over its bytes stay in cache.
+            base = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, base + _STRETCH, "right")))
+            size = int(self.end[to - 1] - base)
+            up, down = _power_tables(size + 1)
+            total = np.zeros(size + 1, U64)
+            np.cumsum(_BYTE[self.buf[base : base + size]] * up[:size], out=total[1:])
+            start, end = self.start[at:to] - base, self.end[at:to] - base
+            out[at:to] = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+            at = to
+        return out
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()

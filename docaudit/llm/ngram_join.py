@@ -44,7 +44,7 @@ class JoinSettings:
     frequent_least: int = 6
     frequent_most: int = 1_000_000
     broadcast_keys: int = 500_000
-    block_bytes: int = 4 << 20
+    block_bytes: int = 2 << 20
 
     def __post_init__(self):
         if not 50 <= self.percent <= 100 or self.words < 1 or self.orders < 1:
