@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docaudit.llm.line_runs import dedup_lines
 from docaudit.llm.ngram_join import JoinSettings, similar_documents
 from docaudit.llm.packing import pack_documents
-from docaudit.llm.quality_rules import apply_quality_rules
+from docaudit.llm.quality_rules import apply_quality_rules, without_boilerplate
 from docaudit.llm.queries import table
 from docaudit.llm.winnowing import contamination
 from docaudit.shared import new_path
@@ -22,7 +22,9 @@ def _semi(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _semi(docs, apply_quality_rules(docs).where("kept"))
+    """Documents that pass, without the boilerplate lines of their host."""
+    kept = without_boilerplate(docs, apply_quality_rules(docs))
+    return kept.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

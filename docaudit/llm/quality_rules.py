@@ -3,10 +3,10 @@
 Every line is hashed in a normal form; the distinct documents that hold it are counted per
 host. Lines above the limit are boilerplate of that host and count as removed everywhere but
 in the first document that holds them. A document of which almost nothing remains is
-depleted and rejected.
+depleted and rejected; the others lose the lines.
 
 All of it is DataFrame code. The texts are read once; what leaves that scan is a row of
-counts and line hashes per document. Counts are combined before each shuffle, so a host
+counts and line hashes per document; lines are removed by hash where a text is passed on. Counts are combined before each shuffle, so a host
 or line with a third of all rows is spread over tasks.
 """
 
@@ -62,11 +62,15 @@ def _word_facts(text: Column) -> Column:
     )
 
 
+def _normal(line: Column) -> Column:
+    return F.lower(strip(line))
+
+
 def _line_facts(text: Column) -> Column:
     """Repeats of lines, and hash and length of every distinct normal form of a line."""
 
     def facts(held: Column) -> Column:
-        normal = F.transform(held, lambda x: F.lower(strip(x)))
+        normal = F.transform(held, _normal)
         hashed = F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("h"), F.char_length(x).alias("c")))
         return F.struct(
             (F.size(held) - F.size(F.array_distinct(held))).cast("bigint").alias("n_dup_lines"),
@@ -113,7 +117,8 @@ def apply_quality_rules(
     min_left: float = 0.2,
 ) -> DataFrame:
     """One row per input row: ``id_col``, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, left (share of line characters that stay), kept.
+    n_repeat_words, base_failed, left (share of line characters that stay), kept, row_key and
+    gone_lines (hashes of the lines to be removed, null for none; see :func:`without_boilerplate`).
 
     ``max_docs``: a line in more distinct documents of a host is boilerplate there.
     ``min_left``: a document keeps at least this share of its characters or is rejected.
@@ -130,7 +135,9 @@ def apply_quality_rules(
         ~F.col(ID).eqNullSafe(F.col("first"))
     )
     # A row that is there twice has each line twice: once per line first, then the sum.
-    per_doc = gone.groupBy(KEY, ID, "h").agg(F.max("c").alias("c")).groupBy(KEY, ID).agg(F.sum("c").alias("gone"))
+    per_doc = gone.groupBy(KEY, ID, "h").agg(F.max("c").alias("c")).groupBy(KEY, ID).agg(
+        F.sum("c").alias("gone"), F.collect_list("h").alias("gone_lines")
+    )
     total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda s, x: s + x.c)
     scored = join_keyed(facts.withColumn("total", total).drop("lines"), per_doc).withColumn(
         "left", F.when(F.col("total") > 0, 1 - F.coalesce("gone", F.lit(0)) / F.col("total")).otherwise(F.lit(0.0))
@@ -138,4 +145,21 @@ def apply_quality_rules(
     return scored.select(
         F.col(ID).alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "left", (~F.col("base_failed") & (F.col("left") >= min_left)).alias("kept"), F.col(KEY).alias("row_key"),
+        "gone_lines",
     )
+
+
+def without_boilerplate(
+    docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (of :func:`apply_quality_rules`) keeps, ``text_col`` without
+    the host's boilerplate lines.
+
+    The first document that holds such a line keeps it, blank lines and the order of lines stay.
+    All input columns are returned; repeated rows stay repeated.
+    """
+    kept = verdicts.where("kept").select(F.col("row_key").alias(KEY), F.col("gone_lines").alias("_gone"))
+    joined = docs.join(kept.dropDuplicates([KEY]), F.xxhash64(id_col, text_col) == F.col(KEY))
+    stay = F.filter(lines(F.col(text_col)), lambda x: ~F.array_contains("_gone", F.xxhash64(_normal(x))))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
+    return joined.withColumn(text_col, text).select(*docs.columns)

@@ -79,7 +79,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_quality_rules(table(spark, sf_dir, "documents")).drop("row_key", "left")
+    return apply_quality_rules(table(spark, sf_dir, "documents")).drop("row_key", "left", "gone_lines")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -70,6 +70,26 @@ def test_quality_rules(odd, odd_rows):
     assert _counted(found.drop("left", "row_key"), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == Counter(plain.quality(rows, 5))
 
 
+def test_boilerplate_lines_are_removed(spark):
+    import corpus_pipeline as p
+
+    def text(i, menu):
+        return "\n".join([menu, " ".join(f"a{i}x{j}" for j in range(40)), "", " ".join(f"b{i}x{j}" for j in range(40)), menu.upper() + " "])
+
+    # A short menu line: the later line dedup does not look at it.
+    rows = [(i, text(i, "Home | News"), "s") for i in range(25)] + [(25, text(25, "Home | News"), "other")]
+    rows += [(3, text(3, "Home | News"), "s"), (26, "Home | News\ntoo short", "s"), (None, text(27, "Home | News"), "s")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    got = p.quality(spark, docs, SF)
+    assert got.columns == docs.columns
+
+    def clean(d, t, host):
+        return t if host == "other" or d == 0 else "\n".join(x for x in t.split("\n") if plain.line_key(x) != "home | news")
+
+    want = Counter((d, c, s, len(c)) for d, t, s in rows if d != 26 for c in [clean(d, t, s)])
+    assert Counter(tuple(r) for r in got.collect()) == want
+
+
 def test_licenses(spark, odd):
     long_ = " ".join(f"term{i}" for i in range(90))
     templates = [("short", "Released under the MIT License."), ("long", long_), ("tiny", "solo"), ("none", None), (None, "x y"), ("long", "another wording " * 3)]
