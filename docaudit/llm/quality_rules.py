@@ -2,7 +2,7 @@
 
 Every line is hashed in a normal form; the distinct documents that hold it are counted per
 host. Lines above the limit are boilerplate of that host and count as removed everywhere but
-in the first document that holds them. A document of which almost nothing remains is
+in the first document that holds them and passes the word rules. A document of which almost nothing remains is
 depleted and rejected; the others lose the lines.
 
 All of it is DataFrame code. The texts are read once; what leaves that scan is a row of
@@ -98,12 +98,14 @@ def document_facts(
 
 
 def boilerplate(facts: DataFrame, max_docs: int) -> DataFrame:
-    """Lines in more than ``max_docs`` documents of a host, with the first of these documents.
+    """Lines in more than ``max_docs`` documents of a host, with the first of these documents that is not
+    base_failed: a rejected document would keep its lines for nothing.
 
     Exact copies count once, so a copied document does not lose its lines for that.
     """
-    held = facts.select("_host", "_same", ID, F.explode("lines").alias("x"))
-    once = held.groupBy("_host", F.col("x.h").alias("h"), "_same").agg(F.min(ID).alias("first"))
+    able = F.when(~F.col("base_failed"), F.col(ID)).alias("_able")
+    held = facts.select("_host", "_same", able, F.explode("lines").alias("x"))
+    once = held.groupBy("_host", F.col("x.h").alias("h"), "_same").agg(F.min("_able").alias("first"))
     counts = once.groupBy("_host", "h").agg(F.count("*").alias("n_docs"), F.min("first").alias("first"))
     return counts.where(F.col("n_docs") > max_docs)
 
@@ -155,7 +157,7 @@ def without_boilerplate(
     """The rows of ``docs`` that ``verdicts`` (of :func:`apply_quality_rules`) keeps, ``text_col`` without
     the host's boilerplate lines.
 
-    The first document that holds such a line keeps it, blank lines and the order of lines stay.
+    The first document that holds such a line and passes the word rules keeps it, blank lines and the order of lines stay.
     All input columns are returned; repeated rows stay repeated.
     """
     kept = verdicts.where("kept").select(F.col("row_key").alias(KEY), F.col("gone_lines").alias("_gone"))

@@ -90,6 +90,16 @@ def test_boilerplate_lines_are_removed(spark):
     assert Counter(tuple(r) for r in got.collect()) == want
 
 
+def test_first_holder_passes_the_word_rules(spark):
+    page = "\n".join(" ".join(f"l{k}w{j}" for j in range(12)) for k in range(4))  # 48 words
+    failing = {0: page + "\nx", 30: page + "\n" + page}  # too short, and pasted twice
+    for d, t in failing.items():
+        rows = [(d, t, "s")] + [(i, f"{page}\nmore y{i} z{i}", "s") for i in range(40, 65)]
+        found = apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert {r["doc_id"] for r in found if r["base_failed"]} == {d}
+        assert {r["doc_id"] for r in found if r["kept"]} == {40}
+
+
 def test_licenses(spark, odd):
     long_ = " ".join(f"term{i}" for i in range(90))
     templates = [("short", "Released under the MIT License."), ("long", long_), ("tiny", "solo"), ("none", None), (None, "x y"), ("long", "another wording " * 3)]
