@@ -2,44 +2,44 @@
 
 Rules have the form of the public suffix list: ``co.uk``, ``*.ck`` (every label in front of ck),
 ``!www.ck`` (an exception to such a rule). A top-level label without a rule is a suffix itself, as the
-list's own default says. The built-in rules are a short list of second-level registries; read the
-full list with :func:`read_suffix_rules` where it matters.
+list's own default says. The default rules are the registries' section of the public suffix list, which lies
+beside this module; its second section, private names such as hosting services, is not part of them.
+:func:`read_suffix_rules` reads another list.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
+from importlib.resources import files
+from itertools import takewhile
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.functions.text import let
 
-# Labels under which a country's registry gives out names.
-_REGISTRIES = {
-    "uk": ["ac", "co", "gov", "ltd", "me", "net", "nhs", "org", "plc", "police"],
-    "jp": ["ac", "ad", "co", "ed", "go", "gr", "lg", "ne", "or"],
-    "au": ["asn", "com", "edu", "gov", "id", "net", "org"],
-    "nz": ["ac", "co", "geek", "gen", "govt", "iwi", "kiwi", "maori", "net", "org", "school"],
-    "br": ["com", "edu", "gov", "net", "org"],
-    "in": ["ac", "co", "edu", "firm", "gen", "gov", "ind", "net", "nic", "org", "res"],
-    "za": ["ac", "co", "gov", "law", "net", "nom", "org", "school", "web"],
-    "kr": ["ac", "co", "go", "ne", "or", "pe", "re"],
-    "cn": ["ac", "com", "edu", "gov", "net", "org"],
-    "tw": ["com", "edu", "gov", "idv", "net", "org"],
-    "mx": ["com", "edu", "gob", "net", "org"],
-    "ar": ["com", "edu", "gob", "net", "org"],
-    "tr": ["av", "bel", "com", "edu", "gen", "gov", "k12", "net", "org"],
-    "il": ["ac", "co", "gov", "k12", "muni", "net", "org"],
-    "at": ["ac", "co", "gv", "or"],
-    "hk": ["com", "edu", "gov", "idv", "net", "org"],
-    "sg": ["com", "edu", "gov", "net", "org", "per"],
-    "my": ["com", "edu", "gov", "net", "org"],
-    "th": ["ac", "co", "go", "in", "mi", "net", "or"],
-}
-_WILDCARDS = ["ck", "er", "fk", "jm", "kh", "mm", "np", "pg"]
-_EXCEPTIONS = ["www.ck"]
+LIST_FILE = "public_suffix_list.dat"
+_PRIVATE = "// ===BEGIN PRIVATE DOMAINS==="
+
+
+@lru_cache
+def _buckets(names: frozenset[str]) -> str:
+    """One line per bucket of names with equal crc32 modulo their number."""
+    found: list[list[str]] = [[] for _ in names]
+    for name in sorted(names):
+        found[zlib.crc32(name.encode()) % len(names)].append(name)
+    return "\n".join(f"/{'/'.join(x)}/" for x in found)
+
+
+def _listed(names: frozenset[str], tail: Column) -> Column:
+    """Whether ``tail`` is one of ``names``: a hash table in one literal, as a list of thousands of literals makes slow plans."""
+    if not names:
+        return F.lit(False)
+    bucket = F.get(F.split(F.lit(_buckets(names)), "\n"), F.pmod(F.crc32(tail), F.lit(len(names))).cast("int"))
+    return F.contains(bucket, F.concat(F.lit("/"), tail, F.lit("/")))
 
 
 @dataclass(frozen=True)
@@ -53,16 +53,13 @@ class SuffixRules:
     def suffix_start(self, labels: Column) -> Column:
         """Index of the label at which the public suffix of a host begins."""
 
-        def listed(names: frozenset[str], tail: Column) -> Column:
-            return tail.isin(sorted(names)) if names else F.lit(False)
-
         def starts(tails: Column) -> Column:
             hit = F.filter(
                 F.transform(
                     tails,
-                    lambda tail, i: F.when(listed(self.exception, tail), i - 1000)
-                    .when(listed(self.normal, tail), i)
-                    .when(listed(self.wildcard, F.coalesce(F.get(tails, i + 1), F.lit(""))), i),
+                    lambda tail, i: F.when(_listed(self.exception, tail), i - 1000)
+                    .when(_listed(self.normal, tail), i)
+                    .when(_listed(self.wildcard, F.coalesce(F.get(tails, i + 1), F.lit(""))), i),
                 ),
                 lambda i: i.isNotNull(),
             )
@@ -75,29 +72,33 @@ class SuffixRules:
         return let(tails, starts)
 
 
+def _ascii(name: str) -> str:
+    return ".".join(x if x.isascii() else f"xn--{x.encode('punycode').decode()}" for x in name.split("."))
+
+
 def suffix_rules(lines: Iterable[str]) -> SuffixRules:
-    """Rules in the notation of the public suffix list; comments and blank lines are skipped."""
+    """Rules in the notation of the public suffix list; comments and blank lines are skipped.
+
+    A rule with other letters than ASCII counts in its ``xn--`` form as well.
+    """
     kinds: dict[str, set[str]] = {"normal": set(), "wildcard": set(), "exception": set()}
     for line in lines:
         rule = (line.split() or [""])[0].lower()
         if not rule or rule.startswith("//"):
             continue
+        kind, name = "normal", rule
         if rule.startswith("!"):
-            kinds["exception"].add(rule[1:])
+            kind, name = "exception", rule[1:]
         elif rule.startswith("*."):
-            kinds["wildcard"].add(rule[2:])
-        else:
-            kinds["normal"].add(rule)
+            kind, name = "wildcard", rule[2:]
+        kinds[kind] |= {name, _ascii(name)}
     return SuffixRules(**{k: frozenset(v) for k, v in kinds.items()})
 
 
-DEFAULT_SUFFIXES = SuffixRules(
-    frozenset(f"{label}.{country}" for country, labels in _REGISTRIES.items() for label in labels),
-    frozenset(_WILDCARDS),
-    frozenset(_EXCEPTIONS),
-)
+_LINES = files(__package__).joinpath(LIST_FILE).read_text("utf-8").split("\n")
+DEFAULT_SUFFIXES = suffix_rules(takewhile(lambda line: line.strip() != _PRIVATE, _LINES))
 
 
 def read_suffix_rules(spark: SparkSession, path: str) -> SuffixRules:
-    """The rules of a suffix file, some ten thousand lines that become sets of literals."""
+    """The rules of a suffix file with all its sections, some ten thousand lines that become a few literals."""
     return suffix_rules(r["value"] for r in spark.read.text(path).collect())

@@ -63,6 +63,22 @@ def test_suffix_rules(each):
     assert each(list(own), inside) == [True, False, False, False, False]
 
 
+def test_default_suffixes_are_the_whole_list(spark, each):
+    from docaudit.functions import suffixes as S
+
+    hosts = {
+        "foo.com.ua": "foo.com.ua", "w.bar.com.ua": "bar.com.ua", "com.ua": "", "a.x.co.id": "x.co.id", "a.x.edu.vn": "x.edu.vn",
+        "a.x.com.pl": "x.com.pl", "a.x.co.ke": "x.co.ke", "a.y.x.sch.uk": "y.x.sch.uk", "x.sch.uk": "", "a.b.x.city.kobe.jp": "city.kobe.jp",
+        "a.x.公司.cn": "x.公司.cn", "a.x.xn--55qx5d.cn": "x.xn--55qx5d.cn", "me.github.io": "github.io", "a.x.nolist": "x.nolist",
+    }
+    assert each(list(hosts), U.registrable_domain(x())) == list(hosts.values())
+    inside = U.in_scope(F.concat(F.lit("http://"), x(), F.lit("/")), "domain", F.array(F.lit("w.foo.com.ua")))
+    assert each(["foo.com.ua", "bar.com.ua"], inside) == [True, False]
+    everything = S.read_suffix_rules(spark, f"file://{S.files(S.__package__).joinpath(S.LIST_FILE)}")
+    assert S.DEFAULT_SUFFIXES.normal < everything.normal and "github.io" in everything.normal
+    assert each(["a.me.github.io"], U.registrable_domain(x(), everything)) == ["me.github.io"]
+
+
 def test_normalize_keeps_path_case(each):
     assert each(
         ["HTTPS://Ab.Example.edu/Docs/A.pdf?q=1#frag", "http://h/p?", "mailto:A@b"], U.normalize_url(x())
