@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm import oracles
+from docaudit.llm import oracles, oracles_vectors
 from docaudit.llm.boosted_trees import score_quality
 from docaudit.llm.hidden_markov import score_texts
+from docaudit.llm.importance import importance_resample
 from docaudit.llm.license_scan import default_templates, scan_licenses
 from docaudit.llm.line_runs import dedup_lines
 from docaudit.llm.ngram_join import similar_documents
@@ -82,11 +83,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(table(spark, sf_dir, "documents")).drop("row_key", "left", "gone_lines")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_decontaminate, op3_line_dedup, op4_quality_trees, op5_hidden_markov, op6_packing,
         op7_warc, op8_training_order, op9_quality_rules, op10_license_scan,
+        op11_importance_resampling,
     )
 }
-ORACLE_SQL: dict[str, str] = oracles.SQL
+ORACLE_SQL: dict[str, str] = oracles.SQL | oracles_vectors.SQL
