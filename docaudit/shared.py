@@ -73,8 +73,18 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage of iterative jobs, survives lost executors and stays columnar. The tables stay until
-    :func:`clean_up`.
+    :func:`discard` or :func:`clean_up`.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` returned and that no plan reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
