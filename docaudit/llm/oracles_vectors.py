@@ -46,4 +46,57 @@ select doc_id, n_features, weight, score,
 from placed
 """
 
-SQL: dict[str, str] = {"op11_importance_resampling": OP11}
+_START = """
+with v as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * x) as bigint)) z
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (
+  select vec_id, q, list_slice(z, q * len(z) // 8 + 1, (q + 1) * len(z) // 8) y from v, (select unnest(range(8)) q)),
+f as (select vec_id, row_number() over (order by vec_id) - 1 e from v qualify e < 16),
+c0 as materialized (select q, e, y c from p join f using (vec_id))"""
+_ASSIGNED = """
+a{0} as materialized (
+  select vec_id, q, min(d * 64 + e) k
+  from (select vec_id, q, e, cast(list_sum(list_transform(list_zip(y, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as bigint) d
+        from p join c{0} using (q))
+  group by vec_id, q)"""
+_MOVED = """
+c{1} as materialized (
+  select q, e, coalesce(m, c) c
+  from c{0} left join (
+    select q, e, list(x order by i) m
+    from (select q, e, i, cast(floor(cast(sum(y) as double) / count(*)) as bigint) x
+          from (select q, k % 64 e, unnest(y) y, generate_subscripts(y, 1) i from p join a{0} using (vec_id, q))
+          group by q, e, i)
+    group by q, e) using (q, e))"""
+OP13 = (
+    ",".join([_START, *[x for r in range(6) for x in (_ASSIGNED.format(r), _MOVED.format(r, r + 1))], _ASSIGNED.format(6)])
+    + """,
+coded as (
+  select vec_id, string_agg(printf('%02x', k % 64), '' order by q) code, cast(sum(k // 64) as bigint) error from a6 group by vec_id),
+books as (
+  select sha256(string_agg(cast(x as varchar), ',' order by q, e, i)) s
+  from (select q, e, unnest(c) x, generate_subscripts(c, 1) i from c6))
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, s codebooks_sha256
+from v join coded using (vec_id), books
+"""
+)
+
+OP12 = """
+with recursive v as materialized (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) z from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (
+  select a.vec_id x, b.vec_id y from v a join v b on a.vec_id <> b.vec_id and len(a.z) = len(b.z)
+  where list_dot_product(a.z, b.z) / sqrt(list_dot_product(a.z, a.z)) / sqrt(list_dot_product(b.z, b.z)) >= 0.9),
+r(vec_id, m) as (
+  select vec_id, vec_id from embeddings
+  union
+  select y, m from r join l on x = r.vec_id),
+n as (select x vec_id, count(*) n from l group by x)
+select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept
+from embeddings left join n using (vec_id) join (select vec_id, min(m) component_id from r group by vec_id) using (vec_id)
+"""
+
+SQL: dict[str, str] = {"op11_importance_resampling": OP11, "op12_lattice_dedup": OP12, "op13_vector_codes": OP13}

@@ -11,12 +11,14 @@ from docaudit.llm import oracles, oracles_vectors
 from docaudit.llm.boosted_trees import score_quality
 from docaudit.llm.hidden_markov import score_texts
 from docaudit.llm.importance import importance_resample
+from docaudit.llm.lattice_dedup import near_embeddings
 from docaudit.llm.license_scan import default_templates, scan_licenses
 from docaudit.llm.line_runs import dedup_lines
 from docaudit.llm.ngram_join import similar_documents
 from docaudit.llm.packing import pack_documents
 from docaudit.llm.quality_rules import apply_quality_rules
 from docaudit.llm.training_order import training_order
+from docaudit.llm.vector_codes import compress_vectors
 from docaudit.llm.warc import read_warc, write_warc
 from docaudit.llm.winnowing import contamination
 from docaudit.shared import SESSION_CONF, new_path
@@ -88,12 +90,20 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("n_words")
 
 
+def op12_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings")).codes
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_decontaminate, op3_line_dedup, op4_quality_trees, op5_hidden_markov, op6_packing,
         op7_warc, op8_training_order, op9_quality_rules, op10_license_scan,
-        op11_importance_resampling,
+        op11_importance_resampling, op12_lattice_dedup, op13_vector_codes,
     )
 }
 ORACLE_SQL: dict[str, str] = oracles.SQL | oracles_vectors.SQL
