@@ -3,9 +3,9 @@
 If two sets are similar enough, their prefixes share a token, whatever the order of all tokens is. A candidate
 must pass under each of several orders; the filters are intersected before sets are compared.
 
-1. Shingles that are frequent in blocks of documents are counted over the whole table. They come last in
-   every order, so prefixes hold rare shingles. The list has a fixed longest size, so it can be sent to
-   every task; what it holds is only a matter of speed, never of results.
+1. All shingles of all distinct sets are counted over the whole table. Those that repeat come last in every order, the
+   more documents hold them the later, so prefixes hold shingles of few documents. As many as ``frequent_most``,
+   from the most frequent down, can be sent to every task; what the list holds is only a matter of speed, never of results.
 2. Each document gets its set's size and hash, and its prefix under every order. Equal sets are one node.
 3. Nodes that share a prefix token of the first order are a list. Each list's first member is compared with
    all others; what is linked becomes one component. Only lists with several components are looked at again,
@@ -21,12 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.arrays import blocks, mix, word_block
 from docaudit.llm.components import connected_components
-from docaudit.shared import written
+from docaudit.shared import discard, written
 
 
 @dataclass(frozen=True)
@@ -34,15 +35,18 @@ class JoinSettings:
     """Two documents link when 100 * intersection >= percent * union of their ``words``-word shingles.
 
     ``orders``: token orders, the first included. ``frequent_least``: shingles with at least this count come last;
-    ``frequent_most``: longest list of them, most frequent first. ``broadcast_keys``: longest list of keys that is sent
-    to all tasks instead of shuffling what they select from.
+    ``frequent_most``: longest list of them, five bytes each. ``ranges``: parts of the hash space that are counted
+    apart, so a counting task holds that share of all shingles; to be raised with the table. ``broadcast_keys``: longest
+    list of keys that is sent to all tasks instead of shuffling what they select from.
     """
 
     words: int = 3
     percent: int = 90
     orders: int = 3
-    frequent_least: int = 6
-    frequent_most: int = 1_000_000
+    frequent_least: int = 2
+    frequent_most: int = 8_000_000
+    ranges: int = 1024
+    chunk: int = 1 << 21
     broadcast_keys: int = 500_000
     block_bytes: int = 2 << 20
 
@@ -87,26 +91,82 @@ def set_hashes(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
+def _deltas(codes: np.ndarray) -> bytes:
+    """Rising 32-bit numbers as their differences, byte by byte, compressed."""
+    planes = np.diff(codes, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _from_deltas(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def frequent_shingles(docs: DataFrame, text_col: str, s: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent shingles, sorted, with a class that grows with their count."""
+    """32-bit codes of frequent shingles, sorted, with a grade that grows with their count.
+
+    A task sends the shingles of sets that are new to it as sorted runs, cut in ranges of the hash space; a range is
+    counted in one place. A code is taken from the hash beside its range, so unlike shingles may share one; that
+    puts a rare shingle too late in the order, which costs time only.
+    """
+    bits = max(1, (s.ranges - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        seen = np.zeros(0, np.int64)
+
+        def told() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(kept))
+            starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+            at = np.append(np.searchsorted(values, starts), len(values))
+            some = np.flatnonzero(np.diff(at))
+            codes = (values >> np.uint64(32 - bits)).astype(np.uint32)
+            runs = [_deltas(codes[at[i] : at[i + 1]]) for i in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(runs, pa.binary())], ["range", "run"])
+
         for _, texts in blocks(batches, "_text", s.block_bytes):
             values, sizes = shingle_sets(texts, s.words)
-            _, first = np.unique(set_hashes(values, sizes), return_index=True)  # copies count once in a block
-            once = np.zeros(len(sizes), bool)
-            once[first] = True
-            found, n = np.unique(values[np.repeat(once, sizes)], return_counts=True)
-            many = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(n[many])], ["t", "n"])
-
-    counts = docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    least = s.frequent_least
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "t").limit(s.frequent_most).toArrow()
-    token, n = top["t"].to_numpy(), top["n"].to_numpy()
-    order = np.argsort(token.view(np.uint64))
-    grade = 1 + np.minimum(65_000, np.floor(64 * np.log2(np.maximum(1, n / least)))).astype(np.uint16)
-    return token.view(np.uint64)[order], grade[order]
+            h = set_hashes(values, sizes)
+            _, first = np.unique(h, return_index=True)  # copies count once in a task
+            new = np.zeros(len(sizes), bool)
+            new[first] = True
+            new &= ~np.isin(h, seen)
+            seen = np.append(seen[-500_000:], h[new])
+            kept.append(values[np.repeat(new, sizes)])
+            if sum(map(len, kept)) >= s.chunk:
+                yield told()
+                kept.clear()
+        if kept:
+            yield told()
+
+    def count(group: pa.Table) -> pa.Table:
+        codes = np.concatenate([_from_deltas(x.as_py()) for x in group["run"]])
+        found, n = np.unique(codes, return_counts=True)
+        often = n >= s.frequent_least
+        grade = np.minimum(250, 1 + np.floor(8 * np.log2(n[often] / s.frequent_least))).astype(np.int16)
+        # The range's number is put in the low bits, so that equal codes of two ranges stay apart as far as 32 bits go.
+        code = (found[often] ^ (np.uint32(group["range"][0].as_py()) << np.uint32(32 - bits))).view(np.int32)
+        return pa.table({"code": code, "grade": grade})
+
+    runs = docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "range int, run binary")
+    counted = written(runs.groupBy("range").applyInArrow(count, "code int, grade smallint"), "counts")
+    total, least = 0, 0
+    for grade, n in sorted(map(tuple, counted.groupBy("grade").count().collect()), reverse=True):  # at most 250 grades
+        total += n
+        if total > s.frequent_most:
+            least = grade + 1
+            break
+    top = counted.where(F.col("grade") >= least).toArrow()
+    code, grade = top["code"].to_numpy().view(np.uint32), top["grade"].to_numpy()
+    discard(counted)
+    order = np.lexsort((-grade, code))  # of one code the highest grade is found first
+    return code[order], grade[order].astype(np.uint8)
+
+
+def _codes(values: np.ndarray, ranges: int) -> np.ndarray:
+    bits = max(1, (ranges - 1).bit_length())
+    code = (values >> np.uint64(32 - bits)).astype(np.uint32)
+    return code ^ ((values >> np.uint64(64 - bits)).astype(np.uint32) << np.uint32(32 - bits))
 
 
 def _prefix_sizes(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -142,10 +202,11 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, frequent, s: JoinSe
             new &= ~np.isin(h, seen)
             seen = np.append(seen[-500_000:], h[new])
             values, told = values[np.repeat(new, sizes)], np.where(new, sizes, 0)
-            grade = np.zeros(len(values), np.uint16)
+            grade = np.zeros(len(values), np.uint8)
             if len(known):
-                at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                grade = np.where(known[at] == values, grades[at], 0).astype(np.uint16)
+                code = _codes(values, s.ranges)
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                grade = np.where(known[at] == code, grades[at], 0).astype(np.uint8)
             ends = np.cumsum(_prefix_sizes(told, s.percent))
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             lists = [
@@ -180,6 +241,7 @@ class _Verifier:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, signatures: DataFrame, s: JoinSettings):
         self.docs, self.id_col, self.text_col, self.s = docs, id_col, text_col, s
         self.told = signatures.where((F.col("n") > 0) & (F.size("o0") > 0))
+        self.passing: list[DataFrame] = []
 
     def _of(self, rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         """Rows whose key is among the wanted ones. A short list of keys goes to the rows, else both are shuffled."""
@@ -205,6 +267,7 @@ class _Verifier:
         """(h, members): whole sets of the nodes, from one of their texts each."""
         ids = self._of(self.told.select("h", "_id"), "h", nodes).groupBy("h").agg(F.min("_id").alias("id"))
         ids = written(ids.select("id"), "wanted")
+        self.passing.append(ids)
         texts = self._of(self.docs, self.id_col, ids).select(F.col(self.text_col).alias("_text"))
         words, size = self.s.words, self.s.block_bytes
 
@@ -220,7 +283,9 @@ class _Verifier:
         return texts.mapInArrow(run, "h bigint, members binary")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = written(self._filtered(written(pairs, "pairs")), "candidates")
+        """The pairs that link, written; what led there is deleted."""
+        met = written(pairs, "pairs")
+        pairs = written(self._filtered(met), "candidates")
         nodes = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
         sets = written(self._sets(nodes), "sets")
         a = sets.select(F.col("h").alias("a"), F.col("members").alias("x"))
@@ -237,7 +302,10 @@ class _Verifier:
                     linked[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
                 yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-        return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a bigint, b bigint")
+        linked = written(pairs.join(a, "a").join(b, "b").mapInArrow(run, "a bigint, b bigint"), "links")
+        discard(met, pairs, sets, *self.passing)
+        self.passing.clear()
+        return linked
 
 
 def _pair(a: Column, b: Column) -> list[Column]:
@@ -256,23 +324,27 @@ def _node_links(docs: DataFrame, id_col: str, text_col: str, signatures: DataFra
         & _possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), s.percent)
     )
     tried = written(x.select(*_pair(F.col("h"), F.col("hub.h"))).distinct(), "tried")
-    links = written(check.links(tried), "links")
+    links = check.links(tried)
 
     # What is left: pairs of one list whose members are not connected yet.
     labels = connected_components(links)
     named = lists.join(labels, lists.h == labels.node, "left").select(
         "t", "h", "n", "at", F.coalesce("label", "h").alias("label")
     )
-    named = written(named, "lists")
+    named = written(named, "named-lists")
+    discard(lists)
     open_ = named.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
     rest = written(named.join(open_.select("t"), "t"), "open-lists")
+    discard(named)
     one, two = (rest.select("t", *[F.col(c).alias(f"{c}{i}") for c in ("h", "n", "at", "label")]) for i in (1, 2))
     x = one.join(two, "t").where(
         (F.col("h1") < F.col("h2")) & (F.col("label1") != F.col("label2"))
         & _possible(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"), s.percent)
     )
     pairs = x.select(*_pair(F.col("h1"), F.col("h2"))).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(check.links(pairs))
+    more = check.links(pairs)
+    discard(rest, tried)
+    return links.unionByName(more)
 
 
 def similar_documents(
