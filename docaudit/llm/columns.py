@@ -12,7 +12,7 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 NOT_ALNUM_RUN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-KEY, ID, TEXT = "_key", "_id", "_text"
+KEY, ID, TEXT, ROW = "_key", "_id", "_text", "_row"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -67,6 +67,18 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame
     )
 
 
+def carried(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Whole rows as one column ``_row`` beside their key and id, so that no name in them can clash with an operator's own."""
+    row = F.struct(*docs.columns).alias(ROW)
+    return docs.select(row, F.xxhash64(id_col, text_col).alias(KEY), F.col(id_col).alias(ID))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The rows of :func:`carried` again, with columns replaced or added."""
+    old = [new[c].alias(c) if c in new else F.col(ROW)[c].alias(c) for c in columns]
+    return rows.select(*old, *[e.alias(c) for c, e in new.items() if c not in columns])
+
+
 def join_keyed(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """Join on key and id; ``right`` has one row per pair."""
     right = right.withColumnRenamed(KEY, "_key2").withColumnRenamed(ID, "_id2")
@@ -76,6 +88,6 @@ def join_keyed(left: DataFrame, right: DataFrame, how: str = "left") -> DataFram
 
 
 __all__ = [
-    "BLANKS", "BLANK_RUN", "ID", "KEY", "NOT_ALNUM_RUN", "TEXT", "alnum_words", "blank_words", "counting",
-    "gram_hash", "join_keyed", "keyed", "let", "lines", "lower_ascii", "pieces", "strip",
+    "BLANKS", "BLANK_RUN", "ID", "KEY", "NOT_ALNUM_RUN", "ROW", "TEXT", "alnum_words", "blank_words", "carried",
+    "counting", "gram_hash", "join_keyed", "keyed", "let", "lines", "lower_ascii", "pieces", "strip", "unpacked",
 ]

@@ -14,8 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docaudit.llm.columns import ID, KEY, TEXT, counting, join_keyed, keyed, let, lines, lower_ascii, strip
+from docaudit.llm.columns import (
+    ID, KEY, ROW, TEXT, carried, counting, join_keyed, keyed, let, lines, lower_ascii, strip, unpacked,
+)
 from docaudit.shared import written
 
 _LINE = ["h1", "h2"]
@@ -75,6 +78,17 @@ def _line_keys(text: Column, min_chars: int) -> Column:
     return F.array_compact(F.transform(lines(text), hashed))
 
 
+def _id_cuts(docs: DataFrame, id_col: str, batches: int) -> list:
+    """Ids that cut the table in about equal parts. Ids of any type that can be sorted."""
+    shares = [i / batches for i in range(1, batches)]
+    if isinstance(docs.schema[id_col].dataType, T.NumericType):
+        return sorted(set(docs.agg(F.percentile_approx(id_col, shares, 10_000).alias("c")).first()["c"] or []))
+    # The ids of the smallest hashes are as good as drawn at random; there are 1,000 at most.
+    few = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col)).limit(1000)
+    ids = sorted(r[0] for r in few.collect())
+    return sorted({ids[int(x * len(ids))] for x in shares}) if ids else []
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -95,16 +109,13 @@ def dedup_lines(
 
     Null and empty text is one empty line and comes back as an empty text. Rows with a null id
     keep their text and count for nothing. Repeated rows of one id are one document. An empty table gives an
-    empty result. All input columns are returned; columns named n_lines or n_dropped are
-    replaced.
+    empty result. Ids may be of any type that can be sorted. All input columns
+    are returned, whatever their names; columns named n_lines or n_dropped are replaced.
     """
-    spark = docs.sparkSession
-    cuts = docs.agg(
-        F.percentile_approx(id_col, [i / batches for i in range(batches - 1, 0, -1)], 10_000).alias("c")
-    ).first()["c"]
+    cuts = _id_cuts(docs, id_col, batches) if batches > 1 else []
     numbered = keyed(docs, id_col, text_col).where(F.col(ID).isNotNull())
     number = F.lit(0)
-    for c in sorted(set(cuts or []), reverse=True):
+    for c in cuts:
         number = number + (F.col(ID) < F.lit(c)).cast("int")
     held = written(
         numbered.select(KEY, ID, number.alias("batch"), F.explode(_line_keys(F.col(TEXT), min_chars)).alias("x"))
@@ -112,24 +123,21 @@ def dedup_lines(
         "lines",
     )
     runs = LineRuns(min_docs, fan_in)
-    for b in range(len(set(cuts or [])) + 1):
+    for b in range(len(cuts) + 1):
         runs.add(held.where(F.col("batch") == b).select(*_LINE, ID))
     common = written(runs.settled(), "settled")
     drops = (
         held.join(common, _LINE).where(F.col(ID) != F.col("top")).groupBy(KEY, ID)
         .agg(F.collect_set("at").alias("_drops"))
     )
-    whole = docs.withColumn(KEY, F.xxhash64(id_col, text_col)).withColumn(ID, F.col(id_col))
-    joined = join_keyed(whole, drops)
-    text = F.col(text_col)
+    joined = join_keyed(carried(docs, id_col, text_col), drops)
+    text = F.col(ROW)[text_col]
 
     def without(all_lines: Column) -> Column:
         stay = F.array_sort(F.array_except(counting(F.size(all_lines)), F.col("_drops")))
         return F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")
 
     kept = F.when(F.col("_drops").isNull(), F.coalesce(text, F.lit(""))).otherwise(let(lines(text), without))
-    return joined.withColumns({
-        "n_lines": F.size(lines(text)).cast("bigint"),
-        "n_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint"),
-        text_col: kept,
-    }).drop(KEY, ID, "_drops")
+    n_lines = F.size(lines(text)).cast("bigint")
+    n_dropped = F.coalesce(F.size("_drops"), F.lit(0)).cast("bigint")
+    return unpacked(joined, docs.columns, **{text_col: kept, "n_lines": n_lines, "n_dropped": n_dropped})

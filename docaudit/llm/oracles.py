@@ -86,12 +86,14 @@ base as (
   from d left join r using (doc_id)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from base),
 x as (
-  select distinct doc_id, source, t, k from (
-    select doc_id, source, t,
+  select distinct doc_id, source, t, base_failed, k from (
+    select doc_id, source, t, base_failed,
            lower(trim(unnest(l), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) k from f)),
-b as (select source, k, min(doc_id) first from x group by source, k having count(distinct t) > 20),
+b as (
+  select source, k, min(doc_id) filter (not base_failed) first, true common
+  from x group by source, k having count(distinct t) > 20),
 s as (
-  select doc_id, sum(length(k)) total, coalesce(sum(length(k)) filter (first is not null and first <> doc_id), 0) gone
+  select doc_id, sum(length(k)) total, coalesce(sum(length(k)) filter (common and first is distinct from doc_id), 0) gone
   from x left join b using (source, k) group by doc_id)
 select f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and total > 0 and 1 - gone / total >= 0.2 kept

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.llm.columns import (
-    ID, KEY, TEXT, blank_words, counting, gram_hash, join_keyed, keyed, let, lines, strip,
+    ID, KEY, ROW, TEXT, blank_words, carried, counting, gram_hash, join_keyed, keyed, let, lines, strip, unpacked,
 )
 from docaudit.shared import written
 
@@ -160,8 +160,8 @@ def without_boilerplate(
     The first document that holds such a line and passes the word rules keeps it, blank lines and the order of lines stay.
     All input columns are returned; repeated rows stay repeated.
     """
-    kept = verdicts.where("kept").select(F.col("row_key").alias(KEY), F.col("gone_lines").alias("_gone"))
-    joined = docs.join(kept.dropDuplicates([KEY]), F.xxhash64(id_col, text_col) == F.col(KEY))
-    stay = F.filter(lines(F.col(text_col)), lambda x: ~F.array_contains("_gone", F.xxhash64(_normal(x))))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    kept = verdicts.where("kept").select(F.col("row_key").alias(KEY), F.col(id_col).alias(ID), F.col("gone_lines").alias("_gone"))
+    joined = join_keyed(carried(docs, id_col, text_col), kept.dropDuplicates([KEY, ID]), "inner")
+    text = F.col(ROW)[text_col]
+    stay = F.filter(lines(text), lambda x: ~F.array_contains("_gone", F.xxhash64(_normal(x))))
+    return unpacked(joined, docs.columns, **{text_col: F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(stay, "\n"))})

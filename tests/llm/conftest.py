@@ -25,6 +25,9 @@ def odd_rows():
     rows += [(i, f"{line}\n{prose(rng, 60)}\n\n{line}") for i in range(40, 70)]
     rows += [(i, f"{line}\nmore of this boilerplate line which every page has at its end {'x' * 40}") for i in range(70, 100)]
     rows += [(100, "É é " * 40), (101, "a b c " * 40), (102, "\x00nul\x1f sep " + base)]
+    # Near copies whose smallest id fails the word rules, in each of two hosts.
+    page = "\n".join(" ".join(f"l{k}w{j}" for j in range(12)) for k in range(4))
+    rows += [(i, f"{page}\nx{i}") for i in (103, 104)] + [(i, f"{page}\nmore y{i} z{i}") for i in range(105, 123)]
     return rows
 
 

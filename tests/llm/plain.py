@@ -97,7 +97,7 @@ def quality(rows, max_docs=20, least_left=0.2):
         for x in normal:
             texts, ids = held[host, x]
             texts.add(text)
-            if d is not None:
+            if d is not None and not failed:
                 ids.append(d)
         base.append((d, host, normal, (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")),
                                        len(lines) - len(set(lines)), len(repeat), failed)))

@@ -170,3 +170,28 @@ def test_kept_text_digest(spark):
     got = {r["doc_id"]: r["kept_sha256"] for r in op3_line_dedup(spark, SF).collect()}
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got == {r[0]: hashlib.sha256(r[3].encode()).hexdigest() for r in plain.dedup_lines(rows)}
+
+
+CLASHING = ("_id", "_key", "_row", "_text", "_drops", "_gone", "_id2", "_key2", "first_id", "row_key", "n_dropped")
+
+
+def test_columns_named_like_the_operators_own(spark, odd_rows):
+    import corpus_pipeline as p
+
+    rows = [(d, t, f"h{(d or 0) % 2}", *([i] * len(CLASHING))) for i, (d, t) in enumerate(odd_rows)]
+    kind = "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in CLASHING)
+    docs = spark.createDataFrame(rows, kind).withColumn("n_chars", F.lit(0).cast("bigint"))
+    found = dedup_lines(docs)
+    assert found.columns == [*docs.columns, "n_lines"]
+    assert _counted(found, "doc_id", "n_lines", "n_dropped", "text") == Counter(plain.dedup_lines(odd_rows))
+    kept = {r[CLASHING.index("_id") + 3] for r in rows}
+    for name in ("quality_rules", "ngram_join", "decontamination"):
+        stage = dict(p.STAGES)[name](spark, docs, SF)
+        assert stage.columns == docs.columns and {r["_key"] for r in stage.collect()} <= kept, name
+
+
+def test_line_dedup_by_other_kinds_of_ids(spark, odd_rows):
+    rows = [(None if d is None else f"{d:06d}", t) for d, t in odd_rows]
+    for id_col in ("doc_id", "_id"):
+        found = dedup_lines(spark.createDataFrame(rows, f"{id_col} string, text string"), id_col=id_col, batches=5)
+        assert _counted(found, id_col, "n_lines", "n_dropped", "text") == Counter(plain.dedup_lines(rows))
