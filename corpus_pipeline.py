@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docaudit.llm.columns import ID, KEY, carried, join_keyed, unpacked
 from docaudit.llm.line_runs import dedup_lines
 from docaudit.llm.ngram_join import JoinSettings, similar_documents
 from docaudit.llm.packing import pack_documents
@@ -16,11 +17,6 @@ from docaudit.llm.winnowing import contamination
 from docaudit.shared import new_path
 
 
-def _semi(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (id, text) is among the row keys."""
-    return docs.join(keys.select("row_key").distinct(), F.xxhash64("doc_id", "text") == F.col("row_key"), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the boilerplate lines of their host."""
     kept = without_boilerplate(docs, apply_quality_rules(docs))
@@ -39,14 +35,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = similar_documents(docs, settings=JoinSettings(words=5, percent=80))
     firsts = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("first_id")).distinct()
-    joined = docs.join(firsts, F.col("doc_id") == F.col("first_id"), "left")
-    return joined.where(F.col("first_id").isNotNull() | F.col("doc_id").isNull()).select(*docs.columns)
+    rows = carried(docs, "doc_id", "text")
+    joined = rows.join(firsts, F.col(ID) == F.col("first_id"), "left")
+    return unpacked(joined.where(F.col("first_id").isNotNull() | F.col(ID).isNull()), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _semi(docs, found.where(~F.col("contaminated")))
+    clean = found.where(~F.col("contaminated")).select(F.col("row_key").alias(KEY), F.col("doc_id").alias(ID)).distinct()
+    return unpacked(join_keyed(carried(docs, "doc_id", "text"), clean, "left_semi"), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
