@@ -1,8 +1,8 @@
 """Public suffix rules as data.
 
 Rules have the form of the public suffix list: ``co.uk``, ``*.ck`` (every label in front of ck),
-``!www.ck`` (an exception to such a rule). A top-level label without a rule is a suffix itself, as the
-list's own default says. The default rules are the registries' section of the public suffix list, which lies
+``!www.ck`` (an exception to such a rule). A top-level label without a rule is no suffix, unless ``unlisted`` says so, as
+the list's own default does. The default rules are the registries' section of the public suffix list, which lies
 beside this module; its second section, private names such as hosting services, is not part of them.
 :func:`read_suffix_rules` reads another list.
 """
@@ -44,14 +44,16 @@ def _listed(names: frozenset[str], tail: Column) -> Column:
 
 @dataclass(frozen=True)
 class SuffixRules:
-    """``wildcard`` holds what follows ``*.``, ``exception`` what follows ``!``."""
+    """``wildcard`` holds what follows ``*.``, ``exception`` what follows ``!``. With ``unlisted`` a top-level label without
+    any rule is a suffix; otherwise hosts under it have none, and so no registrable domain."""
 
     normal: frozenset[str] = frozenset()
     wildcard: frozenset[str] = frozenset()
     exception: frozenset[str] = frozenset()
+    unlisted: bool = False
 
     def suffix_start(self, labels: Column) -> Column:
-        """Index of the label at which the public suffix of a host begins."""
+        """Index of the label at which the public suffix of a host begins; null if no rule names one."""
 
         def starts(tails: Column) -> Column:
             hit = F.filter(
@@ -65,7 +67,7 @@ class SuffixRules:
             )
             # An exception beats all others, and its suffix begins one label later.
             best = F.array_min(hit)
-            return F.when(best < 0, best + 1001).otherwise(F.coalesce(best, F.size(labels) - 1))
+            return F.when(best < 0, best + 1001).otherwise(F.coalesce(best, F.size(labels) - 1) if self.unlisted else best)
 
         n = F.size(labels)
         tails = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, n - i), "."))

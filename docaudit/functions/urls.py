@@ -230,17 +230,26 @@ def absolute_http(base: Column, href: Column) -> Column:
     return let(url_join(base, href), lambda u: F.when(F.lower(u).rlike(r"^https?://"), u))
 
 
+def host_domains(hosts: Column, suffixes: SuffixRules = DEFAULT_SUFFIXES) -> Column:
+    """Distinct registrable domains of an array of hosts: once per site instead of once per link."""
+    found = F.transform(hosts, lambda h: registrable_domain(F.lower(h), suffixes))
+    return F.array_distinct(F.filter(found, lambda d: d != ""))
+
+
 def in_scope(
     url: Column,
     scope: Column | str,
     hosts: Column,
     path_prefix: Column | None = None,
     suffixes: SuffixRules = DEFAULT_SUFFIXES,
+    domains: Column | None = None,
+    domain: Column | None = None,
 ) -> Column:
     """Crawl scope test against an array of seed hosts. An unknown scope acts as ``host``.
 
     A scope given as text picks its test while the plan is built; a column picks it per
-    row, and only the test of that row's scope runs.
+    row, and only the test of that row's scope runs. ``domains`` are the registrable domains of the seed hosts
+    (:func:`host_domains`) and ``domain`` that of the URL, where they are known already; looking them up is the dearest part.
     """
     lowered = F.transform(hosts, F.lower)
     no = F.lit(False)
@@ -255,9 +264,11 @@ def in_scope(
         )
 
     def domain_test() -> Column:
+        own = registrable_domain(url, suffixes) if domain is None else domain
+        if domains is not None:
+            return let(own, lambda d: (d != "") & F.array_contains(domains, d))
         return let(
-            registrable_domain(url, suffixes),
-            lambda d: (d != "") & F.exists(lowered, lambda s: registrable_domain(s, suffixes) == d),
+            own, lambda d: (d != "") & F.exists(lowered, lambda s: registrable_domain(s, suffixes) == d)
         )
 
     def path_test() -> Column:

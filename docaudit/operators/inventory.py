@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docaudit.functions.archive import DEFAULT_ARCHIVE_RULES, ArchiveRules, is_archived
 from docaudit.functions.text import strip
 from docaudit.functions.urls import SCOPES, ensure_scheme, url_host
+from docaudit.operators.health import with_zeros
 from docaudit.operators.merge import (
     delete,
     lookup_hash,
@@ -94,23 +95,30 @@ def dedup_discovery(found: DataFrame) -> DataFrame:
     return found.dropDuplicates(FILE_KEY)
 
 
-def upsert_files(files: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+def highest_id(files: DataFrame) -> int:
+    return files.agg(F.coalesce(F.max("pdf_id"), F.lit(0)).alias("id")).first()["id"]
+
+
+def upsert_files(
+    files: DataFrame, found: DataFrame, now: Column, order: Column | None = None, highest: int | None = None
+) -> DataFrame:
     """Merge discovered links into the inventory.
 
     A known pair gets a new time stamp, resolver and offsite flag and is no longer
     removed; it keeps its hash, flags and the site that found it first. New rows are
     numbered after the highest id, in key order, so a rerun gives the same ids. (A hash
-    of the key would collide on an inventory of billions of rows.)
+    of the key would collide on an inventory of billions of rows.) ``highest`` is needed where ``files`` is only a part of the
+    inventory. Of several links of one pair the last in ``order`` counts, else the greatest.
     """
     no = F.lit(False)
-    found = last_per_key(found, FILE_KEY)
+    found = last_per_key(found, FILE_KEY, order)
     kept = update(
         files,
         found,
         FILE_KEY,
         {**take("via_resolver", "offsite"), "scanned_at": now, "removed": no},
     )
-    highest = files.agg(F.coalesce(F.max("pdf_id"), F.lit(0)).alias("id")).first()["id"]
+    highest = highest_id(files) if highest is None else highest
     new = number_rows(missing_keys(files, found, FILE_KEY), *[F.col(k) for k in FILE_KEY])
     values = {
         "pdf_id": F.col("row_no") + highest, "scanned_at": now, "pdf_404": no, "parent_404": no,
@@ -122,9 +130,11 @@ def upsert_files(files: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     return kept.unionByName(inserted)
 
 
-def upsert_reports(reports: DataFrame, fresh: DataFrame, overwrite: bool = True) -> DataFrame:
+def upsert_reports(
+    reports: DataFrame, fresh: DataFrame, overwrite: bool = True, order: Column | None = None
+) -> DataFrame:
     fields = [c for c in reports.columns if c != "pdf_hash"]
-    return merge(reports, fresh, ["pdf_hash"], on_match=take(*fields) if overwrite else None)
+    return merge(reports, fresh, ["pdf_hash"], on_match=take(*fields) if overwrite else None, order=order)
 
 
 def replace_rules(rules: DataFrame, fresh: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
@@ -138,16 +148,16 @@ def replace_rules(rules: DataFrame, fresh: DataFrame, hashes: DataFrame | None =
     ).select(*rules.columns)
 
 
-def upsert_sites(sites: DataFrame, changes: DataFrame) -> DataFrame:
+def upsert_sites(sites: DataFrame, changes: DataFrame, order: Column | None = None) -> DataFrame:
     """Replace configuration, enabled and notes by name; the owner stays."""
-    return merge(sites, changes, ["name"], on_match=take("config_json", "enabled", "notes"))
+    return merge(sites, changes, ["name"], on_match=take("config_json", "enabled", "notes"), order=order)
 
 
-def upsert_owners(owners: DataFrame, changes: DataFrame) -> DataFrame:
-    return merge(owners, changes, ["owner_key"], on_match=take("label", "notes"))
+def upsert_owners(owners: DataFrame, changes: DataFrame, order: Column | None = None) -> DataFrame:
+    return merge(owners, changes, ["owner_key"], on_match=take("label", "notes"), order=order)
 
 
-def upsert_people(people: DataFrame, changes: DataFrame) -> DataFrame:
+def upsert_people(people: DataFrame, changes: DataFrame, order: Column | None = None) -> DataFrame:
     """Replace name and email; the manager flag of a known person is never touched."""
     return merge(
         people,
@@ -155,6 +165,7 @@ def upsert_people(people: DataFrame, changes: DataFrame) -> DataFrame:
         ["employee_id"],
         on_match=take("full_name", "email"),
         on_insert={} if "is_manager" in changes.columns else {"is_manager": F.lit(False)},
+        order=order,
     )
 
 
@@ -174,20 +185,20 @@ def remove_memberships(memberships: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 # -- flags ---------------------------------------------------------------------
-def set_verified(files: DataFrame, outcomes: DataFrame) -> DataFrame:
-    return update(files, outcomes, ["pdf_id"], take("file_hash", "local_path"))
+def set_verified(files: DataFrame, outcomes: DataFrame, order: Column | None = None) -> DataFrame:
+    return update(files, outcomes, ["pdf_id"], take("file_hash", "local_path"), order)
 
 
-def set_404(files: DataFrame, statuses: DataFrame) -> DataFrame:
-    return update(files, statuses, ["pdf_id"], take("pdf_404", "parent_404"))
+def set_404(files: DataFrame, statuses: DataFrame, order: Column | None = None) -> DataFrame:
+    return update(files, statuses, ["pdf_id"], take("pdf_404", "parent_404"), order)
 
 
-def set_archived(files: DataFrame, marks: DataFrame) -> DataFrame:
-    return update(files, marks, ["pdf_id"], take("archived"))
+def set_archived(files: DataFrame, marks: DataFrame, order: Column | None = None) -> DataFrame:
+    return update(files, marks, ["pdf_id"], take("archived"), order)
 
 
-def set_removed(files: DataFrame, marks: DataFrame) -> DataFrame:
-    return update(files, marks, ["pdf_id"], take("removed"))
+def set_removed(files: DataFrame, marks: DataFrame, order: Column | None = None) -> DataFrame:
+    return update(files, marks, ["pdf_id"], take("removed"), order)
 
 
 def apply_archive(files: DataFrame, rules: ArchiveRules = DEFAULT_ARCHIVE_RULES) -> DataFrame:
@@ -196,24 +207,30 @@ def apply_archive(files: DataFrame, rules: ArchiveRules = DEFAULT_ARCHIVE_RULES)
     return files.withColumn("archived", F.col("archived") | hit)
 
 
-def archive_counts(files: DataFrame, rules: ArchiveRules = DEFAULT_ARCHIVE_RULES) -> DataFrame:
-    """Active files per site that a rule marks, newly or again. A site without active files has a zero."""
+def archive_counts(
+    files: DataFrame, rules: ArchiveRules = DEFAULT_ARCHIVE_RULES, sites: DataFrame | None = None
+) -> DataFrame:
+    """Active files per site that a rule marks, newly or again. A site without active files has a zero, and with
+    ``sites`` also one without any file."""
     hit = is_archived(F.col("pdf_url"), rules)
-    return files.groupBy("site_id").agg(F.count_if(hit & ~F.col("removed")).alias("flagged"))
+    counts = files.groupBy("site_id").agg(F.count_if(hit & ~F.col("removed")).alias("flagged"))
+    return counts if sites is None else with_zeros(counts, sites)
 
 
-def set_manager(people: DataFrame, marks: DataFrame) -> DataFrame:
-    return update(people, marks, ["employee_id"], take("is_manager"))
+def set_manager(people: DataFrame, marks: DataFrame, order: Column | None = None) -> DataFrame:
+    return update(people, marks, ["employee_id"], take("is_manager"), order)
 
 
 def set_site_owner(
-    sites: DataFrame, owners: DataFrame, assignments: DataFrame
+    sites: DataFrame, owners: DataFrame, assignments: DataFrame, order: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Assign owners to sites by name and key; a null key clears.
 
-    Returns the sites and the rejected assignments with their error text.
+    Returns the sites and the rejected assignments with their error text. Of several assignments of one site
+    the last in ``order`` that is not rejected counts, else the one of the highest owner id.
     """
-    keyed = assignments.join(
+    placed = assignments.select("name", "owner_key", (F.lit(0) if order is None else order).alias("_order"))
+    keyed = placed.join(
         owners.select(F.col("owner_key").alias("key"), F.col("owner_id").alias("_owner")),
         F.col("owner_key") == F.col("key"),
         "left",
@@ -224,10 +241,10 @@ def set_site_owner(
     ).when(
         F.col("_site").isNull(), F.concat(F.lit("No such site '"), F.col("name"), F.lit("'"))
     )
-    checked = keyed.select("name", "owner_key", F.col("_owner").alias("owner_id"), error.alias("error"))
+    checked = keyed.select("name", "owner_key", F.col("_owner").alias("owner_id"), error.alias("error"), "_order")
     good = checked.where(F.col("error").isNull())
     bad = checked.where(F.col("error").isNotNull()).select("name", "owner_key", "error")
-    return update(sites, good, ["name"], take("owner_id")), bad
+    return update(sites, good, ["name"], take("owner_id"), F.col("_order")), bad
 
 
 # -- sites ---------------------------------------------------------------------

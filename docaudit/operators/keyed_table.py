@@ -52,6 +52,7 @@ class KeyedTable:
         """A table that another session created, with the numbers it was created with."""
         table = cls(spark, f"keyed_{uuid.uuid4().hex}", path, tuple(keys), slices, buckets)
         table._register(schema)
+        spark.catalog.recoverPartitions(table.name)
         return table
 
     def _register(self, schema: T.StructType) -> None:
@@ -113,6 +114,7 @@ class KeyedTable:
         self._store(result.select(*self.read([]).columns))
         # Dynamic overwrite leaves slices alone that have no row any more.
         for gone in set(slices) - left:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({SLICE} = {gone})")
             folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{SLICE}={gone}")
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
         self.spark.catalog.refreshTable(self.name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 from docaudit.functions.share_pages import resolver_name
 from docaudit.functions.suffixes import DEFAULT_SUFFIXES, SuffixRules
 from docaudit.functions.text import drop_nulls, let, strip
-from docaudit.functions.urls import absolute_http, in_scope, is_pdf_url, normalize_url
-from docaudit.shared import new_path, written
+from docaudit.functions.urls import (
+    absolute_http, host_domains, in_scope, is_pdf_url, normalize_url, registrable_domain, url_host,
+)
+from docaudit.operators.health import with_zeros
+from docaudit.shared import discard, new_path, written
 
 # Markup whose text must not be read as links.
 _NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -101,15 +105,22 @@ def normalize_url_or_null(url: Column) -> Column:
     return let(url, lambda u: F.when(u.isNotNull(), normalize_url(u)))
 
 
+def with_domains(settings: DataFrame, suffixes: SuffixRules = DEFAULT_SUFFIXES) -> DataFrame:
+    """Crawl settings with the registrable domains of their hosts, for sites that need them."""
+    needed = F.when(F.col("scope") == "domain", host_domains(F.col("hosts"), suffixes))
+    return settings.withColumn("domains", F.coalesce(needed, F.array().cast("array<string>")))
+
+
 def classify_links(links: DataFrame, suffixes: SuffixRules = DEFAULT_SUFFIXES) -> DataFrame:
     """What a crawl does with each link: ``pdf``, ``share``, ``follow`` or null (dropped).
 
     Rows carry url and the crawl settings scope, hosts, path_prefix, include_external_pdfs
-    and resolvers. The PDF test comes first: an out-of-scope PDF is dropped without
+    and resolvers, and of :func:`with_domains` the domains of the hosts; without these they are looked up for every row. The PDF test comes first: an out-of-scope PDF is dropped without
     asking the resolvers.
     """
     url = F.col("url")
-    inside = in_scope(url, F.col("scope"), F.col("hosts"), F.col("path_prefix"), suffixes)
+    domains = F.col("domains") if "domains" in links.columns else None
+    inside = in_scope(url, F.col("scope"), F.col("hosts"), F.col("path_prefix"), suffixes, domains)
     resolver = resolver_name(url, enabled=F.col("resolvers"))
     tested = links.select(
         "*", is_pdf_url(url).alias("_pdf"), inside.alias("_in"), resolver.alias("_resolver")
@@ -122,7 +133,7 @@ def classify_links(links: DataFrame, suffixes: SuffixRules = DEFAULT_SUFFIXES) -
         .when(here, "follow")
     )
     return tested.select(
-        *links.columns,
+        *[c for c in links.columns if c != "domains"],
         action.alias("action"),
         (F.when(pdf | share, ~here)).alias("offsite"),
         F.when(~pdf, F.col("_resolver")).alias("via_resolver"),
@@ -156,53 +167,74 @@ def crawl_frontier(
     ``seeds`` has (site_id, url), ``edges`` all links (src, dst), ``sites`` the crawl settings site_id, scope, hosts
     and path_prefix, each of them with any of the four scopes. ``max_depth`` 0 means no limit.
 
-    Only the links that leave the frontier are tested against their site's scope, so no table of edges per
-    site is made. Levels are written to the shared folder as partitions of one table, so the
-    plan does not grow with the depth and a lost executor costs one level at most.
+    Edges are written once, bucketed by ``src``, with host and registrable domain of ``dst``; a domain is looked up once for
+    each distinct host. Levels are partitions of one table bucketed by (site_id, url), so what a level shuffles is its
+    frontier and the links that leave it, never the edges or the pages reached before. Only those links are tested
+    against their site's scope. Each level is written to the shared folder, so the plan does not grow with the depth and a
+    lost executor costs one level at most.
     """
     spark = seeds.sparkSession
-    links = written(edges.select("src", "dst").distinct(), "edges")
-    rules = written(sites.select("site_id", "scope", "hosts", "path_prefix"), "scopes")
-    path = new_path(spark, "reach")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rules = written(with_domains(sites.select("site_id", "scope", "hosts", "path_prefix"), suffixes), "scopes")
+    links = _keyed_edges(edges, buckets, suffixes)
+    kind = seeds.select("site_id", "url", F.lit(0).alias("depth")).schema
+    path, levels = new_path(spark, "reach"), f"levels_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {levels} (site_id {kind['site_id'].dataType.simpleString()}, url STRING, depth INT) USING parquet "
+        f"OPTIONS (path '{path}') PARTITIONED BY (depth) CLUSTERED BY (site_id, url) INTO {buckets} BUCKETS"
+    )
 
     def add_level(rows: DataFrame, depth: int) -> int:
         """Write one level as its own partition and return its size."""
         seen = Observation()
-        rows.select("site_id", "url").observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(
-            f"{path}/depth={depth}"
-        )
+        level = rows.select("site_id", "url", F.lit(depth).alias("depth")).observe(seen, F.count(F.lit(1)).alias("n"))
+        level.write.insertInto(levels)
+        spark.catalog.refreshTable(levels)
         return seen.get["n"]
 
-    schema = seeds.select("site_id", "url", F.lit(0).alias("depth")).schema
-
-    def reached() -> DataFrame:
-        """All levels so far: one scan however many levels there are."""
-        return spark.read.schema(schema).parquet(path)
+    def shuffled(rows: DataFrame) -> DataFrame:
+        """As the levels are cut, so that each bucket of a level is one file."""
+        return rows.select("site_id", "url").repartition(buckets, "site_id", "url").distinct()
 
-    found = add_level(seeds.select("site_id", "url").distinct(), 0)
+    found = add_level(shuffled(seeds), 0)
     depth = 0
     while found and (max_depth == 0 or depth < max_depth):
-        known = reached()
+        known = spark.table(levels)
         frontier = known.where(F.col("depth") == depth).select("site_id", F.col("url").alias("src"))
-        leaving = frontier.join(links, "src").select("site_id", F.col("dst").alias("url")).distinct()
-        new = leaving.join(known.select("site_id", "url"), ["site_id", "url"], "left_anti")
-        inside = in_scope(F.col("url"), F.col("scope"), F.col("hosts"), F.col("path_prefix"), suffixes)
-        step = new.join(rules, "site_id").where(inside)
+        leaving = frontier.join(links, "src").select("site_id", F.col("dst").alias("url"), "domain")
+        inside = in_scope(
+            F.col("url"), F.col("scope"), F.col("hosts"), F.col("path_prefix"), suffixes, F.col("domains"), F.col("domain")
+        )
+        step = shuffled(leaving.join(rules, "site_id").where(inside))
         depth += 1
-        found = add_level(step, depth)
-    return reached()
+        found = add_level(step.join(known.select("site_id", "url"), ["site_id", "url"], "left_anti"), depth)
+    spark.sql(f"DROP TABLE {levels}")  # the table's name only: its files lie in the shared folder
+    return spark.read.schema(kind).parquet(path)
+
 
+def _keyed_edges(edges: DataFrame, buckets: int, suffixes: SuffixRules) -> DataFrame:
+    """(src, dst, domain of dst) bucketed by ``src``."""
+    spark = edges.sparkSession
+    pairs = written(edges.select("src", "dst").distinct().withColumn("host", url_host(F.col("dst"))), "edges")
+    hosts = pairs.select("host").distinct().select("host", registrable_domain(F.col("host"), suffixes).alias("domain"))
+    cut = pairs.join(written(hosts, "hosts"), "host").select("src", "dst", "domain")
+    name = f"edges_{uuid.uuid4().hex}"
+    keyed = cut.repartition(buckets, "src").write.bucketBy(buckets, "src").sortBy("src")
+    keyed.option("path", new_path(spark, "edges")).saveAsTable(name)
+    discard(pairs)
+    return spark.table(name)
 
-def crawl_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+
+def crawl_counts(before: DataFrame, after: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """Active files per site after a crawl and how many are new (never negative).
 
-    Every site with a file has a row, also where all its files are removed.
+    Every site with a file has a row, also where all its files are removed; with ``sites`` each of these has one.
     """
 
     def active(files: DataFrame, name: str) -> DataFrame:
         return files.groupBy("site_id").agg(F.count_if(~F.col("removed")).alias(name))
 
-    return (
+    counts = (
         active(after, "total")
         .join(active(before, "_before"), "site_id", "left")
         .select(
@@ -211,3 +243,4 @@ def crawl_counts(before: DataFrame, after: DataFrame) -> DataFrame:
             F.greatest(F.lit(0), F.col("total") - F.coalesce("_before", F.lit(0))).alias("new"),
         )
     )
+    return counts if sites is None else with_zeros(counts, sites)

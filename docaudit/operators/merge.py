@@ -47,13 +47,17 @@ def lookup_hash(
 
 
 def update(
-    target: DataFrame, changes: DataFrame, keys: Sequence[str], assign: Mapping[str, Column]
+    target: DataFrame,
+    changes: DataFrame,
+    keys: Sequence[str],
+    assign: Mapping[str, Column],
+    order: Column | None = None,
 ) -> DataFrame:
     """Set columns of the matched rows. Expressions name ``t`` (old) and ``u`` (change).
 
-    Of several changes of one key the last counts.
+    Of several changes of one key the last in ``order`` counts, without one the greatest (see :func:`last_per_key`).
     """
-    marked = last_per_key(changes, keys).withColumn("_hit", F.lit(True))
+    marked = last_per_key(changes, keys, order).withColumn("_hit", F.lit(True))
     joined = target.alias("t").join(marked.alias("u"), _on("t", "u", keys), "left")
     hit = F.col("u._hit").isNotNull()
     return joined.select(
@@ -79,14 +83,15 @@ def merge(
     *,
     on_match: Mapping[str, Column] | None = None,
     on_insert: Mapping[str, Column] | None = None,
+    order: Column | None = None,
 ) -> DataFrame:
-    """Insert new keys, update known ones. Of several changes of one key the last counts.
+    """Insert new keys, update known ones. Of several changes of one key the last in ``order`` counts, without one the greatest.
 
     ``on_match`` gives the updated columns (none: insert only). ``on_insert`` gives the
     columns the changes lack; others are taken from the changes, else null.
     """
     on_insert = on_insert or {}
-    changes = last_per_key(changes, keys)
+    changes = last_per_key(changes, keys, order)
     kept = update(target, changes, keys, on_match) if on_match else target
     new = missing_keys(target, changes, keys)
     inserted = new.select(

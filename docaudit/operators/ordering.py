@@ -43,14 +43,16 @@ def chunk_ids(df: DataFrame, size: int, *order: Column) -> DataFrame:
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
-    """One whole row per key, the highest in ``order``, else the last in the order rows are read in.
+    """One whole row per key: the highest in ``order``, ties by the greatest row; without an order the greatest row.
 
-    An aggregate with map-side combine, so a key with a third of all rows is reduced
-    before the shuffle; a window would send all of them to one task.
+    Spark defines no order of reading: large files come first, and after a shuffle anything may. So where it matters
+    which of several changes wins, the caller names a column that tells. Rows compare by their values, column by
+    column, nulls first, so the result depends on the rows alone. An aggregate with map-side combine reduces a key with
+    a third of all rows before the shuffle; a window would send all of them to one task.
     """
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    placed = df.withColumn("_place", F.monotonically_increasing_id() if order is None else order)
-    best = placed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_place").alias("_best"))
-    return best.select(*keys, "_best.*").select(*df.columns)
+    row = F.struct(*rest)
+    best = F.max(row) if order is None else F.max(F.struct(order.alias("_order"), row.alias("_row")))["_row"]
+    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*").select(*df.columns)

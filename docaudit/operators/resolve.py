@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.functions.share_pages import resolve_share, resolver_name
+from docaudit.shared import written
 
 NO_URLS = "no pdf urls"
 
@@ -27,7 +28,8 @@ def resolve_links(
     """Resolve (site_id, parent_url, share_url, via_resolver, offsite) rows.
 
     Returns discovered files and failures. Share pages are resolved where they are read,
-    so the page text never reaches a shuffle; only the short result is joined to the links.
+    so the page text never reaches a shuffle; only the short result is joined to the links. The joined rows are written,
+    as both results start from them.
     """
     url = F.col("url")
     resolved = snapshots.where(resolver_name(url).isNotNull()).select(
@@ -36,7 +38,8 @@ def resolve_links(
     fetched = links.join(resolved, "share_url", "left")
     # A link without a snapshot resolves like a page that could not be fetched.
     missing = resolve_share(F.col("share_url"), F.lit(None).cast("string"))
-    joined = fetched.withColumn("r", F.coalesce("r", missing))
+    rows = fetched.select("site_id", "parent_url", "share_url", "via_resolver", "offsite", F.coalesce("r", missing).alias("r"))
+    joined = written(rows, "resolved")
     ok = F.col("r.error").isNull() & F.col("r.pdf_url").isNotNull()
     files = (
         joined.where(ok)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.shared import written
-from docaudit.sources.policy import RulePolicy
+from docaudit.sources.policy import RulePolicy, RulePolicyTable, as_policy, as_profile
+
+Policy = RulePolicy | RulePolicyTable | DataFrame
 
 _RULE = (
     "struct<clause:string,testNumber:string,failedChecks:string,ruleStatus:string,"
@@ -67,10 +69,10 @@ def batch_jobs(
     """One row per named job of the batch reports, with the base name of the reported path.
 
     Two jobs of one name keep the one of the later report, then the later one in it. ``order`` tells
-    reports apart by time; without it they count in the order they are read in.
+    reports apart by time; without it their text decides, by a hash, so that the result hangs on the rows alone.
     """
     placed = batches.select(
-        (F.monotonically_increasing_id() if order is None else order).alias("_report"), F.col(json_column).alias("_json")
+        (F.xxhash64(json_column) if order is None else order).alias("_report"), F.col(json_column).alias("_json")
     )
     jobs = placed.select("_report", F.posexplode(report_jobs(F.col("_json"))).alias("at", "job"))
     named = jobs.select(
@@ -101,36 +103,34 @@ def match_jobs(files: DataFrame, jobs: DataFrame, path_column: str = "path") ->
     )
 
 
-def counted_rules(rules: DataFrame, policy: RulePolicy) -> DataFrame:
+def counted_rules(rules: DataFrame, policy: Policy) -> DataFrame:
     """Rules that survive the ignore policy."""
-    return rules.where(~policy.ignored(F.col("clause"), F.col("test_number")))
+    return as_policy(policy).judged(rules).where(~F.col("_ignored")).select(*rules.columns)
 
 
-def with_policy(rules: DataFrame, policy: RulePolicy) -> DataFrame:
+def with_policy(rules: DataFrame, policy: Policy) -> DataFrame:
     """Rules with what the policy does to them."""
-    return rules.withColumn("policy", policy.action(F.col("clause"), F.col("test_number")))
+    action = F.when(F.col("_ignored"), "ignored").otherwise(F.coalesce("_flag", F.lit("counts")))
+    return as_policy(policy).judged(rules).select(*rules.columns, action.alias("policy"))
 
 
-def policy_totals(rules: DataFrame, policy: RulePolicy) -> DataFrame:
+def policy_totals(rules: DataFrame, policy: Policy) -> DataFrame:
     """Recorded and counted rules per document."""
-    ignored = policy.ignored(F.col("clause"), F.col("test_number"))
-    return rules.groupBy("pdf_hash").agg(
-        F.count("*").alias("total_rules"), F.count_if(~ignored).alias("counted_violations")
+    return as_policy(policy).judged(rules).groupBy("pdf_hash").agg(
+        F.count("*").alias("total_rules"), F.count_if(~F.col("_ignored")).alias("counted_violations")
     )
 
 
 def summarize(
-    rules: DataFrame, policy: RulePolicy, hashes: DataFrame | None = None
+    rules: DataFrame, policy: Policy, hashes: DataFrame | None = None
 ) -> DataFrame:
     """Violations, failed checks and flags per document under a policy.
 
     One aggregate with map-side combine. Ignored rules contribute nothing but keep
     their document in the result; ``hashes`` adds documents without any rule.
     """
-    clause, test = F.col("clause"), F.col("test_number")
-    counted = ~policy.ignored(clause, test)
-    flag = policy.flag(clause, test)
-    summary = rules.groupBy("pdf_hash").agg(
+    counted, flag = ~F.col("_ignored"), F.col("_flag")
+    summary = as_policy(policy).judged(rules).groupBy("pdf_hash").agg(
         F.count_if(counted).alias("violations"),
         F.coalesce(F.sum(F.when(counted, F.col("failed_checks"))), F.lit(0)).alias("failed_checks"),
         (F.count_if(counted & (flag == "tagged")) == 0).alias("tagged"),
@@ -151,7 +151,7 @@ def summarize(
     )
 
 
-def rescore(reports: DataFrame, rules: DataFrame, policy: RulePolicy) -> DataFrame:
+def rescore(reports: DataFrame, rules: DataFrame, policy: Policy) -> DataFrame:
     """Reports with the rule figures of another policy; nothing is validated again."""
     defaults = {"violations": 0, "failed_checks": 0, "tagged": True, "image_only": False}
     fresh = summarize(rules, policy).withColumnsRenamed({c: f"_{c}" for c in defaults})
@@ -159,17 +159,17 @@ def rescore(reports: DataFrame, rules: DataFrame, policy: RulePolicy) -> DataFra
     return reports.join(fresh, "pdf_hash", "left").withColumns(renewed).select(*reports.columns)
 
 
-def clause_profile(rules: DataFrame, policy: RulePolicy, profile) -> DataFrame:
+def clause_profile(rules: DataFrame, policy: Policy, profile) -> DataFrame:
     """Counted clauses per document as triage needs them.
 
     ``manual_clauses`` is sorted text, ``neutral_clauses`` counts clauses without a
     class. The sets hold distinct clauses of one standard, so they stay short.
     """
     clause = F.col("clause")
-    label = profile.class_for(clause)
+    label = F.col("_class")
+    counted = counted_rules(rules, policy).select("pdf_hash", "clause").where(clause.isNotNull())
     return (
-        counted_rules(rules, policy)
-        .where(clause.isNotNull())
+        as_profile(profile).labelled(counted)
         .groupBy("pdf_hash")
         .agg(
             F.array_sort(F.collect_set(F.when(label == "manual", clause))).alias("manual_clauses"),
@@ -180,7 +180,7 @@ def clause_profile(rules: DataFrame, policy: RulePolicy, profile) -> DataFrame:
     )
 
 
-def distinct_clauses(rules: DataFrame, policy: RulePolicy) -> DataFrame:
+def distinct_clauses(rules: DataFrame, policy: Policy) -> DataFrame:
     """Sorted distinct counted clauses per document."""
     return (
         counted_rules(rules, policy)

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from docaudit.functions.triage import AUTO, GOOD, LABELS, MANUAL, PENDING, triage
 from docaudit.operators.merge import lookup_hash
 from docaudit.operators.ordering import number_rows
-from docaudit.operators.rules import clause_profile
-from docaudit.sources.policy import RulePolicy, TriageProfile
+from docaudit.operators.rules import Policy, clause_profile
+from docaudit.sources.policy import TriageProfile, TriageProfileTable, as_profile
 
 
 def triage_reports(
     reports: DataFrame,
     rules: DataFrame,
-    policy: RulePolicy,
-    profile: TriageProfile,
+    policy: Policy,
+    profile: TriageProfile | TriageProfileTable | DataFrame,
     clauses: DataFrame | None = None,
 ) -> DataFrame:
     """Reports with classification, reason and confidence.
@@ -27,6 +27,7 @@ def triage_reports(
     Everything triage looks at hangs on the content hash, so documents are classified
     once per hash and files only pick the label up.
     """
+    profile = as_profile(profile)
     if clauses is None:
         clauses = clause_profile(rules, policy, profile)
     joined = reports.join(clauses, "pdf_hash", "left")
@@ -38,7 +39,7 @@ def triage_reports(
                 "language_set", "page_count", "manual_clauses", "neutral_clauses",
             )
         },
-        profile=profile,
+        profile=profile.routes,
     )
     return joined.withColumn("_v", verdict).select(
         *reports.columns,

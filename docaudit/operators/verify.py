@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,9 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def gate_downloads(downloads: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """Downloads (pdf_url, content, error) to (pdf_url, file_hash, error). ``max_bytes`` None: any size.
+def gate_downloads(downloads: DataFrame, max_bytes: int | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """Downloads (pdf_url, content, error) to (pdf_url, file_hash, error). ``max_bytes`` None: any size; ``also``: further
+    columns that are kept.
 
     The bytes end here: they are tested and hashed where they are read, and no shuffle
     ever carries them.
@@ -42,10 +44,19 @@ def gate_downloads(downloads: DataFrame, max_bytes: int | None = None) -> DataFr
         reason.isNotNull(), F.concat(F.lit("download "), url, F.lit(": "), reason)
     ).when(~looks_like_pdf(content), F.concat(F.lit("not a PDF (content): "), url))
     return downloads.select(
-        "pdf_url", F.when(error.isNull(), content_hash(content)).alias("file_hash"), error.alias("error")
+        "pdf_url", F.when(error.isNull(), content_hash(content)).alias("file_hash"), error.alias("error"), *also
     )
 
 
+def gate_digests(digests: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """As :func:`gate_downloads` for stored files (path, length, head, file_hash), whose bytes were never a cell."""
+    over = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    error = F.when(
+        over, F.concat(F.lit("download "), "path", F.lit(f": PDF exceeds max_bytes ({max_bytes})"))
+    ).when(~looks_like_pdf(F.col("head")), F.concat(F.lit("not a PDF (content): "), "path"))
+    return digests.select("path", F.when(error.isNull(), F.col("file_hash")).alias("file_hash"), error.alias("error"))
+
+
 def url_representatives(files: DataFrame) -> DataFrame:
     """Lowest file id per URL: the row that is downloaded for all of them."""
     return files.groupBy("pdf_url").agg(
@@ -104,6 +115,8 @@ def verify(
     policy: RulePolicy,
     *,
     max_bytes: int | None = None,
+    download_order: str | None = None,
+    job_order: str | None = None,
 ) -> VerifyResult:
     """Verify the given files.
 
@@ -111,15 +124,18 @@ def verify(
     ``analysis`` holds one row per readable document; its ``encrypted`` flag marks those
     that could not be analysed. Every URL is fetched once, every new hash validated once;
     the first row (lowest id) of a new hash is ``verified``, all other rows with that or a
-    known hash are ``reused``, and a failed URL or hash fails every row that shares it. Of two
-    downloads of one URL, or jobs of one name, the last counts.
+    known hash are ``reused``, and a failed URL or hash fails every row that shares it. Of
+    several downloads of one URL, or jobs of one name, the last by the column ``download_order`` or ``job_order`` counts; without
+    such a column the one with the greatest hash, or rules.
 
     Hash facts are joined to URLs and URL facts to files, so the file table is joined once.
     The hashed URLs and the checked hashes are written to the shared folder: several results
     start from them, and the bytes must be read only once.
     """
     urls = url_representatives(files)
-    gated = last_per_key(gate_downloads(downloads, max_bytes), ["pdf_url"])
+    placed = gate_downloads(downloads, max_bytes, also=[download_order] if download_order else [])
+    gated = last_per_key(placed, ["pdf_url"], F.col(download_order) if download_order else None)
+    gated = gated.select("pdf_url", "file_hash", "error")
     fetched = written(
         urls.join(gated, "pdf_url", "left").withColumn(
             "error",
@@ -147,9 +163,11 @@ def verify(
             F.regexp_replace("job_name", r"\.pdf$", "").alias("file_hash"),
             job_rules(F.col("validation_result")).alias("job_rules"),
             F.lit(True).alias("has_job"),
+            (F.lit(0) if job_order is None else F.col(job_order)).alias("_at"),
         ),
         ["file_hash"],
-    )
+        F.col("_at"),
+    ).drop("_at")
     checked = written(fresh.join(results, "file_hash", "left"), "checked")
     ok = F.col("has_job").isNotNull()
 

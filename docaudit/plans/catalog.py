@@ -8,6 +8,7 @@ from docaudit.plans import (  # noqa: F401
     queries_links,
     queries_people,
     queries_rules,
+    queries_tables,
     queries_verify,
 )
 from docaudit.plans.registry import QUERIES

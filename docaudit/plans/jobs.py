@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docaudit.functions.storage import DEFAULT_TEMPLATE
 from docaudit.operators.export import collect_rows, write_csv, write_json
-from docaudit.operators.health import health_counts, link_health
+from docaudit.operators.health import health_counts, link_health, with_zeros
 from docaudit.operators.inventory import (
     apply_archive,
     archive_counts,
@@ -19,16 +20,18 @@ from docaudit.operators.inventory import (
 )
 from docaudit.operators.links import crawl_counts
 from docaudit.operators.merge import take, update
-from docaudit.operators.status import triage_reports
+from docaudit.operators.rules import Policy
+from docaudit.operators.status import number_failures, triage_reports
+from docaudit.operators.storage import stored_paths
 from docaudit.operators.verify import VerifyResult
 from docaudit.shared import written
 from docaudit.sources.policy import (
     DEFAULT_RULE_POLICY,
     DEFAULT_TRIAGE_PROFILE,
-    RulePolicy,
     TriageProfile,
+    TriageProfileTable,
 )
-from docaudit.sources.schemas import align_schema
+from docaudit.sources.schemas import FAILURE, align_schema
 
 _WRITERS = {"csv": write_csv, "json": write_json}
 
@@ -42,8 +45,19 @@ class ScanInputs:
     found: DataFrame | None = None  # discovered links
     verification: VerifyResult | None = None  # None: no checker results
     statuses: DataFrame | None = None
-    policy: RulePolicy = field(default=DEFAULT_RULE_POLICY)
-    profile: TriageProfile = field(default=DEFAULT_TRIAGE_PROFILE)
+    policy: Policy = field(default=DEFAULT_RULE_POLICY)  # as table: a DataFrame of any size
+    profile: TriageProfile | TriageProfileTable | DataFrame = field(default=DEFAULT_TRIAGE_PROFILE)
+    sites: DataFrame | None = None  # site_id and name of all sites of the run; None: those with files
+    stored_failures: DataFrame | None = None  # failures of earlier runs, for the next id
+
+
+@dataclass(frozen=True)
+class Storage:
+    """Where checked contents are kept."""
+
+    root: str
+    date: str
+    template: str = DEFAULT_TEMPLATE
 
 
 def _melt(counts: DataFrame, step: str) -> DataFrame:
@@ -63,7 +77,7 @@ class ScanResult:
     files: DataFrame
     reports: DataFrame
     rules: DataFrame
-    failures: DataFrame | None  # of this run's verification
+    failures: DataFrame | None  # of this run's verification, numbered and stamped
     counts: DataFrame
 
 
@@ -75,19 +89,29 @@ def run_steps(
     archive: bool = True,
     check_404: bool = False,
     exports: dict[str, str] | None = None,
+    storage: Storage | None = None,
+    now: Column | None = None,
 ) -> ScanResult:
     """Run the steps in order, each on the tables that the steps before it left.
 
     A verify step without checker results is reported as ``skipped``. ``exports`` maps
-    a format to its output path; exported rows show the state after the run.
+    a format to its output path; exported rows show the state after the run. With the run's ``sites`` every step has a
+    row of counts for each of them, zeros where a site has no file. ``storage`` (it needs the sites' names) fills
+    ``local_path`` of the files whose content was checked. Without any step the tables stay and there are no counts.
     """
+    now = F.current_timestamp() if now is None else now
+    sites = inputs.sites
+
+    def every_site(counts: DataFrame) -> DataFrame:
+        return counts if sites is None else with_zeros(counts, sites)
+
     files, reports, rules, failures, results = inputs.files, inputs.reports, inputs.rules, None, []
     if crawl and inputs.found is not None:
-        after = written(upsert_files(files, inputs.found, F.current_timestamp()), "files")
-        results.append(_melt(crawl_counts(files, after), "crawl"))
+        after = written(upsert_files(files, inputs.found, now), "files")
+        results.append(_melt(crawl_counts(files, after, sites), "crawl"))
         files = after
     if verify and inputs.verification is None:
-        skipped = files.select("site_id").distinct().withColumn("skipped", F.lit(1))
+        skipped = (files if sites is None else sites).select("site_id").distinct().withColumn("skipped", F.lit(1))
         results.append(_melt(skipped, "verify"))
     elif verify:
         done = inputs.verification
@@ -95,18 +119,30 @@ def run_steps(
         counts = done.outcomes.groupBy("site_id").agg(
             *[F.count_if(o == name).alias(name) for name in ("verified", "reused", "failed")]
         )
-        results.append(_melt(counts, "verify"))
+        results.append(_melt(every_site(counts), "verify"))
         hashed = done.outcomes.where(F.col("file_hash").isNotNull()).select("pdf_id", "file_hash")
-        files = update(files, hashed, ["pdf_id"], take("file_hash"))
+        if storage is None:
+            files = update(files, hashed, ["pdf_id"], take("file_hash"))
+        else:
+            if sites is None:
+                raise ValueError("storage paths need the names of the sites")
+            named = files.select("pdf_id", "pdf_url", "site_id").join(hashed, "pdf_id")
+            named = named.join(sites.select("site_id", F.col("name").alias("site")), "site_id", "left")
+            paths = stored_paths(named, root=storage.root, date=storage.date, template=storage.template)
+            kept = written(hashed.join(paths, "pdf_id", "left"), "stored-files")
+            files = update(files, kept, ["pdf_id"], take("file_hash", "local_path"))
         rules = written(replace_rules(rules, done.rules, done.reports), "rules")
         reports = written(upsert_reports(reports, align_schema(done.reports, reports.schema)), "reports")
-        failures = done.failures
+        known = inputs.stored_failures
+        if known is None:
+            known = files.sparkSession.createDataFrame([], FAILURE)
+        failures = written(number_failures(done.failures, known, now), "failures")
     if archive:
-        results.append(_melt(archive_counts(files), "archived"))
+        results.append(_melt(archive_counts(files, sites=sites), "archived"))
         files = apply_archive(files)
     if check_404 and inputs.statuses is not None:
         health = written(link_health(files, inputs.statuses).select("pdf_id", "site_id", "pdf_404", "parent_404"), "health")
-        results.append(_melt(health_counts(health), "check_404"))
+        results.append(_melt(health_counts(health, sites), "check_404"))
         files = set_404(files, health)
     files = written(files, "files")
     if exports:
@@ -115,8 +151,8 @@ def run_steps(
         for fmt, path in exports.items():
             _WRITERS[fmt](rows, path)
             counts = files.groupBy("site_id").agg(F.count("*").alias("rows"))
-            results.append(_melt(counts, f"export_{fmt}"))
-    counts = results[0]
-    for r in results[1:]:
+            results.append(_melt(every_site(counts), f"export_{fmt}"))
+    counts = files.sparkSession.createDataFrame([], "site_id bigint, step string, counter string, n bigint")
+    for r in results:
         counts = counts.unionByName(r)
     return ScanResult(files, reports, rules, failures, counts)

@@ -349,7 +349,7 @@ def _crawl_links(fx: Fixtures) -> DataFrame:
         F.lit(None).cast("array<string>").alias("resolvers"),
     )
     links = L.absolute_links(fx.view("v_link"))
-    return links.withColumn("site_id", U.url_host(F.col("parent_url"))).join(sites, "site_id")
+    return links.withColumn("site_id", U.url_host(F.col("parent_url"))).join(L.with_domains(sites), "site_id")
 
 
 def _classified(fx: Fixtures) -> DataFrame:

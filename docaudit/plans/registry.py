@@ -34,3 +34,14 @@ def query(name: str, sql: str | None = None):
         return build
 
     return register
+
+
+def query_like(name: str, other: str):
+    """Register a query that has the same check SQL as another one."""
+
+    def register(build: Callable[[Fixtures], DataFrame]):
+        query(name)(build)
+        QUERIES[name] = Query(name, build, QUERIES[other].sql)
+        return build
+
+    return register

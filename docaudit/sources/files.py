@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -11,7 +11,6 @@ from docaudit.operators.evaluate import labelled
 
 # Every cell has a comma before it; the line gets one for its first cell.
 _CELL = r'(?s),("[^"]*(?:""[^"]*)*"|[^,]*)'
-_ROW = r'((?:[^"\n]++|"[^"]*+"|")*+)(?:\n|$)'
 _BOM = "\ufeff"
 
 
@@ -97,9 +96,38 @@ def roster_rows(lines: DataFrame, line: str = "line", position: str = "position"
     )
 
 
-def whole_rows(text: Column) -> Column:
-    """Rows of a CSV text as an array: a line end within quotes does not end a row."""
-    return F.transform(F.regexp_extract_all(text, F.lit(_ROW), F.lit(1)), lambda r: F.regexp_replace(r, "\r$", ""))
+def _joined_rows(lines: DataFrame) -> DataFrame:
+    """Rows (file, block, row, line) of a CSV from its physical lines: a line end within quotes does not end a row.
+
+    Whether a line begins within quotes hangs on the quotes before it. They are counted for each split first, summed over
+    the splits of a file, and then within a split; so a file of any size is read by as many tasks as it has splits.
+    A row that crosses splits goes to where it began. A last quote that nothing closes is an ordinary character.
+    """
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    counted = lines.withColumn("quotes", quotes)
+    splits = counted.groupBy("file", "block").agg(F.sum("quotes").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        F.col("file").alias("file2"), F.col("block").alias("block2"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"),
+        F.sum("n").over(Window.partitionBy("file")).alias("total"),
+    )
+    inside = Window.partitionBy("file", "block").orderBy("row")
+    before = F.col("ahead") + F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.join(splits, (F.col("file") == F.col("file2")) & (F.col("block") == F.col("block2")))
+    begins = (F.col("before") % 2 == 0) | (F.col("before") == F.col("total"))
+    placed = placed.withColumn("before", before).withColumn("start", F.when(begins, F.col("row")))
+    placed = placed.withColumn("start", F.last("start", ignorenulls=True).over(inside)).select("file", "block", "row", "line", "start")
+    # Lines in front of the first start of a split belong to the last start before it.
+    starts = placed.groupBy(F.col("file").alias("file2"), F.col("block").alias("block2")).agg(F.max("start").alias("last"))
+    here = F.when(F.col("last").isNotNull(), F.struct(F.col("block2").alias("block"), F.col("last").alias("row")))
+    earlier = Window.partitionBy("file2").orderBy("block2").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("carried", F.last(here, ignorenulls=True).over(earlier)).select("file2", "block2", "carried")
+    named = placed.join(starts, (F.col("file") == F.col("file2")) & (F.col("block") == F.col("block2")))
+    own = F.when(F.col("start").isNotNull(), F.struct(F.col("block"), F.col("start").alias("row")))
+    named = named.select("file", F.coalesce(own, "carried").alias("at"), F.struct("block", "row", "line").alias("x"))
+    rows = named.groupBy("file", "at").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    text = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
+    return rows.select("file", "at.block", "at.row", F.regexp_replace(text, "\r$", "").alias("line"))
 
 
 def read_roster_csv(spark: SparkSession, path: str | None, multiline: bool = False) -> DataFrame:
@@ -107,7 +135,7 @@ def read_roster_csv(spark: SparkSession, path: str | None, multiline: bool = Fal
 
     Read as text so that large files split; the position is the file, the offset of
     the split and the row within it. A missing path gives no rows. ``multiline``: quoted cells may
-    hold line ends; each file is then read whole by one task.
+    hold line ends, at the price of a shuffle of the lines.
     """
     empty = spark.createDataFrame(
         [], "position struct<file:string,block:bigint,row:bigint>, cells array<string>"
@@ -115,27 +143,19 @@ def read_roster_csv(spark: SparkSession, path: str | None, multiline: bool = Fal
     if path is None:
         return empty
     try:
-        lines = spark.read.text(path, wholetext=multiline)
+        lines = spark.read.text(path, lineSep="\n")
     except AnalysisException as exc:
         if _missing_path(exc):
             return empty
         raise
-    if multiline:
-        rows = lines.select(
-            F.col("_metadata.file_path").alias("file"), F.posexplode(whole_rows(F.col("value"))).alias("row", "line")
-        )
-        return roster_rows(
-            rows.select(F.struct("file", F.lit(0).cast("bigint").alias("block"), F.col("row").cast("bigint").alias("row")).alias("position"), "line")
-        )
     placed = lines.select(
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("position"),
-        F.regexp_replace("value", "\r$", "").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("value").alias("line"),
     )
-    return roster_rows(placed)
+    rows = _joined_rows(placed) if multiline else placed.withColumn("line", F.regexp_replace("line", "\r$", ""))
+    return roster_rows(rows.select(F.struct("file", "block", "row").alias("position"), "line"))
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:

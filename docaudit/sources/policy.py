@@ -1,9 +1,13 @@
 """Rule and triage policy.
 
-A policy is data: a table that users edit. It is read once, and its rows become hashed sets of
-literals in column expressions, so that no operator has to join with it and a changed policy needs
-no new validation. The expressions grow with the number of flags, classes and clause levels, not with the
-rows. A policy too large for the driver stays a table and is joined: :func:`join_actions`, :func:`join_classes`.
+A policy is data: a table that users edit. Operators take it in one of two forms and treat both alike:
+
+* :class:`RulePolicy` and :class:`TriageProfile` are small. Their rows become hashed sets of literals in column
+  expressions, so no operator has to join with them.
+* :class:`RulePolicyTable` and :class:`TriageProfileTable` stay DataFrames of any size and are joined; no row of a policy
+  and no clause of a profile passes through the driver. A bare DataFrame given as policy or profile becomes one of these.
+
+A changed policy needs no new validation either way.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from docaudit.shared import written
+
 _SEP = "\u0001"
 
 
@@ -54,6 +60,11 @@ class RulePolicy:
             F.coalesce(self.flag(clause, test), F.lit("counts"))
         )
 
+    def judged(self, rules: DataFrame) -> DataFrame:
+        """``rules`` with ``_ignored`` and ``_flag`` (null: none)."""
+        pair = F.col("clause"), F.col("test_number")
+        return rules.withColumns({"_ignored": self.ignored(*pair), "_flag": self.flag(*pair)})
+
     def rows(self) -> list[tuple[str, str, str]]:
         """(clause, test_number, action) rows, as stored."""
         listed = [(c, t, "ignore") for c, t in self.ignore]
@@ -101,16 +112,49 @@ def rule_policy(rows: Iterable[tuple[object, object, object]]) -> RulePolicy:
     return RulePolicy(frozenset(ignore), flags)
 
 
-def read_rule_policy(spark: SparkSession, path: str, fmt: str = "parquet") -> RulePolicy:
+@dataclass(frozen=True)
+class RulePolicyTable:
+    """A policy of any size as a written table with one row per pair: clause, test_number, _ignored, _flag."""
+
+    pairs: DataFrame
+
+    @classmethod
+    def of(cls, policy: DataFrame) -> RulePolicyTable:
+        """From (clause, test_number, action) rows; of several flags of one pair the greatest name counts.
+
+        Pairs with a null match no rule and are left out. Written, so that Spark knows the size: it broadcasts a
+        small policy, and beyond that splits a pair that very many rules share.
+        """
+        ignore = F.col("action") == "ignore"
+        rows = policy.select(F.col("clause").cast("string"), F.col("test_number").cast("string"), "action").dropna()
+        pairs = rows.groupBy("clause", "test_number").agg(
+            F.bool_or(ignore).alias("_ignored"), F.max(F.when(~ignore, F.col("action"))).alias("_flag")
+        )
+        return cls(written(pairs, "policy"))
+
+    def judged(self, rules: DataFrame) -> DataFrame:
+        joined = rules.join(self.pairs, ["clause", "test_number"], "left")
+        return joined.select(*rules.columns, F.coalesce("_ignored", F.lit(False)).alias("_ignored"), "_flag")
+
+
+def as_policy(policy: RulePolicy | RulePolicyTable | DataFrame) -> RulePolicy | RulePolicyTable:
+    return RulePolicyTable.of(policy) if isinstance(policy, DataFrame) else policy
+
+
+def read_rule_policy(
+    spark: SparkSession, path: str, fmt: str = "parquet", most: int = 10_000
+) -> RulePolicy | RulePolicyTable:
     """Policy stored as (clause, test_number, action) rows. No table, no exceptions:
-    the empty policy counts every rule."""
+    the empty policy counts every rule. More than ``most`` rows stay a table."""
     try:
         df = spark.read.format(fmt).load(path)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc):
             return RulePolicy()
         raise
-    return rule_policy(df.select("clause", "test_number", "action").collect())
+    rows = df.select("clause", "test_number", "action")
+    few = rows.limit(most + 1).collect()
+    return rule_policy(few) if len(few) <= most else RulePolicyTable.of(rows)
 
 
 @dataclass(frozen=True)
@@ -136,6 +180,14 @@ class TriageProfile:
     require_title: bool = False
     require_language: bool = False
 
+    @property
+    def routes(self) -> TriageProfile:
+        return self
+
+    def labelled(self, rules: DataFrame) -> DataFrame:
+        """``rules`` with ``_class`` of their clause (null: neutral)."""
+        return rules.withColumn("_class", self.class_for(F.col("clause")))
+
     def class_for(self, clause: Column) -> Column:
         """Class of the longest dotted prefix of the clause, or null (neutral)."""
         by_depth: dict[int, dict[str, str]] = {}
@@ -186,14 +238,51 @@ def triage_profile(rows: Iterable[tuple[object, object, object]]) -> TriageProfi
     )
 
 
-def read_triage_profile(spark: SparkSession, path: str, fmt: str = "parquet") -> TriageProfile:
+@dataclass(frozen=True)
+class TriageProfileTable:
+    """A profile whose clause classes (key, value) are a table of any size; routes and scores are a handful."""
+
+    routes: TriageProfile
+    classes: DataFrame
+
+    @classmethod
+    def of(cls, profile: DataFrame) -> TriageProfileTable:
+        """From (kind, key, value) rows. Of several classes of one clause the greatest counts."""
+        known = {kind for kind, _, _ in DEFAULT_TRIAGE_PROFILE.rows()} - {"clause_class"}
+        names = {key for kind, key, _ in DEFAULT_TRIAGE_PROFILE.rows() if kind in known}
+        few = profile.where(F.col("kind").isin(*known) & F.col("key").isin(*names)).groupBy("kind", "key").agg(F.max("value"))
+        classes = profile.where((F.col("kind") == "clause_class") & F.col("key").isNotNull() & F.col("value").isNotNull())
+        classes = written(classes.groupBy("key").agg(F.max("value").alias("value")), "classes")
+        routes = triage_profile(few.collect())  # at most one row for each name that has a meaning
+        if classes.isEmpty():
+            default = [(k, v) for k, v in DEFAULT_TRIAGE_PROFILE.clause_class.items()]
+            classes = profile.sparkSession.createDataFrame(default, "key string, value string")
+        return cls(routes, classes)
+
+    def labelled(self, rules: DataFrame) -> DataFrame:
+        """As :meth:`TriageProfile.labelled`: distinct clauses find the longest of their dotted prefixes, rules their clause."""
+        found = join_classes(rules.select("clause").distinct(), self.classes).select("clause", F.col("class").alias("_class"))
+        named = written(found.where(F.col("_class").isNotNull()), "clause-classes")
+        return rules.join(named, "clause", "left").select(*rules.columns, "_class")
+
+
+def as_profile(profile: TriageProfile | TriageProfileTable | DataFrame) -> TriageProfile | TriageProfileTable:
+    return TriageProfileTable.of(profile) if isinstance(profile, DataFrame) else profile
+
+
+def read_triage_profile(
+    spark: SparkSession, path: str, fmt: str = "parquet", most: int = 10_000
+) -> TriageProfile | TriageProfileTable:
+    """Profile stored as (kind, key, value) rows; no table gives the default. More than ``most`` rows stay a table."""
     try:
         df = spark.read.format(fmt).load(path)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc):
             return DEFAULT_TRIAGE_PROFILE
         raise
-    return triage_profile(df.select("kind", "key", "value").collect())
+    rows = df.select("kind", "key", "value")
+    few = rows.limit(most + 1).collect()
+    return triage_profile(few) if len(few) <= most else TriageProfileTable.of(rows)
 
 
 def join_actions(rules: DataFrame, policy: DataFrame) -> DataFrame:

@@ -39,7 +39,9 @@ REPORT_RULE = _struct(
     "pdf_hash string, clause string, test_number string, status string, failed_checks bigint, "
     "specification string, description string"
 )
-FAILURE = _struct("site_id bigint, pdf_id bigint, error_message string")
+FAILURE = _struct(
+    "failure_id bigint, site_id bigint, pdf_id bigint, error_message string, created_at timestamp"
+)
 SITE_OWNER = _struct("owner_id bigint, owner_key string, label string, notes string")
 PERSON = _struct(
     "person_id bigint, employee_id string, full_name string, email string, is_manager boolean"
