@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.arrays import blocks, mix
+from docaudit.llm.arrays import blocks, mix, ranges
 from docaudit.llm.shard_files import MANIFEST, commit, create, location, temporary_name
 from docaudit.llm.tokens import WordTokenizer, tokenizer_path
 from docaudit.shared import new_path, written
@@ -29,7 +29,8 @@ from docaudit.shared import new_path, written
 
 @dataclass(frozen=True)
 class OrderSettings:
-    """``shard_slots``: most slots in a shard; a small table still gets about ``least_shards`` shards."""
+    """``shard_slots``: most slots in a shard; a small table still gets about ``least_shards`` shards. ``id_bytes``: 2, or 4
+    for tokenizers with more than 65,536 ids. ``group``: sequences that are compressed together until they have a slot."""
 
     sequence: int = 1024
     key: int = 20_240_917
@@ -39,6 +40,16 @@ class OrderSettings:
     end_id: int = 1
     pad_id: int = 0
     block_bytes: int = 4 << 20
+    id_bytes: int = 2
+    group: int = 16
+
+    def __post_init__(self):
+        if self.id_bytes not in (2, 4):
+            raise ValueError("ids have 2 or 4 bytes")
+
+    @property
+    def id_type(self) -> str:
+        return f"<u{self.id_bytes}"
 
 
 def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -59,21 +70,15 @@ def permuted(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray
     return out.astype(np.int64)
 
 
-def _squeezed(rows: np.ndarray) -> list[bytes]:
-    """Rows of 16-bit ids for the way to their shard: low bytes, then high bytes, compressed."""
+def _squeezed(rows: np.ndarray, group: int = 1) -> list[bytes]:
+    """Rows of ids, ``group`` at a time, compressed."""
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    planes = np.concatenate([rows & 0xFF, rows >> 8], axis=1).astype(np.uint8)
-    return [squeeze(x.tobytes()) for x in planes]
-
-
-def _restored(data: bytes) -> bytes:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(2, -1)
-    return planes.T.tobytes()
+    return [squeeze(rows[i : i + group].tobytes()) for i in range(0, len(rows), group)]
 
 
 def _sequences(docs: DataFrame, id_col: str, text_col: str, path: str, s: OrderSettings) -> DataFrame:
     """(task, number, doc_ids, n_tokens, ids): texts of a block one after another, cut into sequences; the last one of a
-    block is padded. Ids are unsigned 16-bit numbers, compressed by sequence until they are in their shard."""
+    block is padded. A row is a group of consecutive sequences, with the number of the first, and their ids compressed."""
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
 
@@ -81,10 +86,10 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str, path: str, s: OrderS
         encoder, task, number = WordTokenizer(path), TaskContext.get().partitionId(), 0
         for rows, texts in blocks(batches, "_text", s.block_bytes):
             ids, offsets = encoder.encode(texts, s.end_id)
-            if len(ids) and ids.max() > 0xFFFF:
-                raise ValueError("ids do not fit in 16 bits")
+            if len(ids) and ids.max() >= 1 << 8 * s.id_bytes:
+                raise ValueError(f"ids do not fit in {s.id_bytes} bytes")
             n = -(-len(ids) // s.sequence)
-            full = np.full(n * s.sequence, s.pad_id, "<u2")
+            full = np.full(n * s.sequence, s.pad_id, s.id_type)
             full[: len(ids)] = ids
             begin = np.arange(n) * s.sequence
             used = np.minimum(s.sequence, len(ids) - begin)
@@ -92,17 +97,20 @@ def _sequences(docs: DataFrame, id_col: str, text_col: str, path: str, s: OrderS
             last = np.searchsorted(offsets, begin + used, "left") - 1
             who = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)] or [np.zeros(0, int)])
             ends = np.concatenate([[0], np.cumsum(last - first + 1)]).astype(np.int32)
+            by_sequence = pa.ListArray.from_arrays(pa.array(ends), rows["_id"].combine_chunks().take(pa.array(who)))
+            begins = np.arange(0, n, s.group)
+            groups = pa.array(np.append(begins, n).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n, task, np.int32)), pa.array(np.arange(number, number + n)),
-                    pa.ListArray.from_arrays(pa.array(ends), rows["_id"].combine_chunks().take(pa.array(who))),
-                    pa.array(used), pa.array(_squeezed(full.reshape(n, s.sequence)), pa.binary()),
+                    pa.array(np.full(len(begins), task, np.int32)), pa.array(number + begins),
+                    pa.ListArray.from_arrays(groups, by_sequence), pa.ListArray.from_arrays(groups, pa.array(used)),
+                    pa.array(_squeezed(full.reshape(n, s.sequence), s.group), pa.binary()),
                 ],
                 ["task", "number", "doc_ids", "n_tokens", "ids"],
             )
             number += n
 
-    return source.mapInArrow(run, f"task int, number bigint, doc_ids array<{id_type}>, n_tokens bigint, ids binary")
+    return source.mapInArrow(run, f"task int, number bigint, doc_ids array<array<{id_type}>>, n_tokens array<bigint>, ids binary")
 
 
 def materialise(
@@ -118,33 +126,44 @@ def materialise(
     Slots: slot, shard, byte_offset, n_tokens, ids_crc32 (of the stored bytes), doc_ids (in reading order).
 
     Null and empty texts are the end id alone. Null ids and rows that repeat are written like any other.
-    An empty table writes nothing. Other columns are not read.
+    An empty table writes nothing. Other columns are not read. The sequences are numbered by scan task and place in it
+    before they are permuted, so the same files give the same order, and other files or scan settings another one.
     """
     s, spark = settings, docs.sparkSession
     made = new_path(spark, "sequences")
     made_rows = _sequences(docs, id_col, text_col, tokenizer or tokenizer_path("word_bpe_49k.json"), s)
     made_rows.write.option("compression", "uncompressed").parquet(made)
     sequences = spark.read.parquet(made)
-    per_task = sequences.groupBy("task").agg(F.count("*").alias("n")).orderBy("task").collect()  # a row per scan task
+    per_task = sequences.groupBy("task").agg(F.sum(F.size("n_tokens")).alias("n")).orderBy("task").collect()  # a row per scan task
     n = sum(r["n"] for r in per_task)
     begins = itertools.accumulate((r["n"] for r in per_task), initial=0)
     sent = spark.sparkContext.broadcast({r["task"]: b for r, b in zip(per_task, begins)})  # a number per scan task
     per_shard = max(1, min(s.shard_slots, -(-n // s.least_shards)))
-    stride = s.sequence * 2
+    stride = s.sequence * s.id_bytes
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begin = np.array([sent.value[t] for t in batch.column("task").to_pylist()], np.int64)
-            slot = permuted(batch.column("number").to_numpy() + begin, n, s.key, s.rounds)
+            used = batch.column("n_tokens")
+            count = used.value_lengths().to_numpy()
+            number = ranges(begin + batch.column("number").to_numpy(), count)
+            slot = permuted(number, n, s.key, s.rounds)
+            rows: list[bytes] = []
+            for group in batch.column("ids"):
+                ids = np.frombuffer(zstandard.decompress(group.as_py()), s.id_type)
+                rows += _squeezed(ids.reshape(-1, s.sequence))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), *(batch.column(c) for c in ("n_tokens", "doc_ids", "ids"))],
+                [
+                    pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), used.flatten(),
+                    batch.column("doc_ids").flatten(), pa.array(rows, pa.binary()),
+                ],
                 ["slot", "shard", "n_tokens", "doc_ids", "ids"],
             )
 
-    id_list = sequences.schema["doc_ids"].dataType.simpleString()
+    id_list = sequences.schema["doc_ids"].dataType.elementType.simpleString()
     placed = sequences.mapInArrow(place, f"slot bigint, shard int, n_tokens bigint, doc_ids {id_list}, ids binary")
     shards = max(1, -(-n // per_shard))
-    ordered = placed.repartition(shards, "shard").sortWithinPartitions("slot")
+    ordered = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")  # one shard a task
     kinds = f"slot bigint, shard int, byte_offset bigint, n_tokens bigint, ids_crc32 bigint, doc_ids {id_list}, {MANIFEST}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +193,7 @@ def materialise(
                         yield whole(finished(), ["file", "temporary", "records", "bytes"], 1, kind)
                     shard, count, temporary = int(where[i]), 0, temporary_name(folder)
                     out = create(temporary)
-                data = _restored(data.as_py())
+                data = zstandard.decompress(data.as_py())
                 if slot[i] != shard * per_shard + count:
                     raise ValueError(f"slot {slot[i]} is out of order")
                 out.write(data)
@@ -195,9 +214,11 @@ def materialise(
     return slots, manifest
 
 
-def read_slots(folder: str, first: int, count: int, per_shard: int, sequence: int = 1024) -> np.ndarray:
+def read_slots(
+    folder: str, first: int, count: int, per_shard: int, sequence: int = 1024, id_bytes: int = 2
+) -> np.ndarray:
     """Sequences ``first`` .. ``first + count - 1`` of the training order, read from their place."""
-    stride, rows = sequence * 2, []
+    stride, rows, kind = sequence * id_bytes, [], f"<u{id_bytes}"
     while count > 0:
         shard, at = divmod(first, per_shard)
         system, path = location(f"{folder}/shard-{shard:06d}.bin")
@@ -205,11 +226,11 @@ def read_slots(folder: str, first: int, count: int, per_shard: int, sequence: in
         with system.open_input_file(path) as f:
             f.seek(at * stride)
             data = f.read(take * stride)
-        rows.append(np.frombuffer(data, "<u2").reshape(-1, sequence))
+        rows.append(np.frombuffer(data, kind).reshape(-1, sequence))
         if len(data) < take * stride:
             break
         first, count = first + take, count - take
-    return np.concatenate(rows) if rows else np.zeros((0, sequence), "<u2")
+    return np.concatenate(rows) if rows else np.zeros((0, sequence), kind)
 
 
 def training_order(spark: SparkSession, docs: DataFrame) -> DataFrame:
