@@ -1,12 +1,13 @@
 """Benchmark decontamination by winnowing.
 
 Of every run of consecutive k-gram hashes the smallest is kept, with its position. Two texts that
-share a span of ``window`` words keep the same hash for it, so a join of the fingerprints
-finds every shared window; the hit gives the offset between both texts, and along it the
-words are compared exactly.
+share a span of ``window`` words keep the same hash for it, so the fingerprints of the benchmark
+mark in each document the spots near which a shared span can be. A hit is extended over all windows
+around its spot, and each of these is compared exactly with the distinct windows of the benchmark. So a passage
+costs its length, however often documents or items repeat it; places in documents are never paired with places in items.
 
 All of it is DataFrame code. A benchmark is broadcast only below ``broadcast_rows``
-fingerprints; a larger one is joined by hash.
+fingerprints or windows; a larger one is joined by hash.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from docaudit.shared import written
 
 # A fingerprint holds a position in its low bits, so that the smallest of a window is one
 # comparison of longs. Hits are compared word by word, so the shorter hash costs no accuracy.
-_POSITION_BITS = 24
+_POSITION_BITS = 31  # more than an array can have entries
 _POSITION = (1 << _POSITION_BITS) - 1
 
 
@@ -53,20 +54,24 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> D
     return items.where(size > 0).withColumn("span", F.least(size, F.lit(window)))
 
 
-def _split(prints: DataFrame, column: str, prefix: str) -> DataFrame:
-    rows = prints.withColumn("f", F.explode(column)).drop(column)
-    return rows.select(
-        *[c for c in rows.columns if c != "f"],
-        F.shiftright("f", _POSITION_BITS).alias("h"),
-        F.col("f").bitwiseAND(F.lit(_POSITION)).cast("int").alias(prefix),
-    )
+def _spots(prints: DataFrame, column: str, wanted: DataFrame, span: int) -> DataFrame:
+    """(key, id, spot): where a document has one of the wanted hashes; a spot is (span, position)."""
+    rows = prints.select(KEY, ID, F.explode(column).alias("f"))
+    at = F.col("f").bitwiseAND(F.lit(_POSITION)).cast("int")
+    rows = rows.select(KEY, ID, F.shiftright("f", _POSITION_BITS).alias("h"), F.struct(F.lit(span).alias("span"), at.alias("at")).alias("spot"))
+    return rows.join(wanted, "h", "left_semi").select(KEY, ID, "spot")
+
+
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """Broadcast up to ``most`` rows."""
+    return F.broadcast(rows) if len(rows.select(F.lit(1)).take(most + 1)) <= most else rows
 
 
-def _hits(doc_prints: DataFrame, item_prints: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Offsets between documents and items, one row each."""
-    small = len(item_prints.limit(broadcast_rows + 1).select(F.lit(1)).take(broadcast_rows + 1)) <= broadcast_rows
-    joined = doc_prints.join(F.broadcast(item_prints) if small else item_prints, "h")
-    return joined.select(KEY, ID, "item_key", "size", (F.col("at") - F.col("item_at")).alias("delta")).distinct()
+def _windows(items: DataFrame) -> DataFrame:
+    """(item, window): the text of every window of every item, its words joined by blanks."""
+    at = counting(F.size("item_words") - F.col("span") + 1)
+    texts = F.array_distinct(F.transform(at, lambda j: F.array_join(F.slice("item_words", j + 1, F.col("span")), " ")))
+    return items.select("item", "span", F.explode(texts).alias("window"))
 
 
 def contamination(
@@ -89,7 +94,7 @@ def contamination(
 
     Null or empty texts have no words and no hits; an item without words hits nothing. Rows
     that repeat count as one document, and each gets a row. An empty benchmark or table
-    gives no hits or no rows. Other columns are not read. Texts up to 16 million words.
+    gives no hits or no rows. Other columns are not read. Texts of any length.
     """
     base = keyed(docs, id_col, text_col)
     items = written(_items(benchmark, item_col, item_text_col, window), "items")
@@ -106,52 +111,38 @@ def contamination(
     facts = written(
         base.select(KEY, ID, let(alnum_words(F.col(TEXT)), doc_facts).alias("x")).select(KEY, ID, "x.*"), "prints"
     )
-    size = F.size("item_words").alias("size")
     whole = items.where(F.col("span") == window)
-    item_prints = _split(
-        whole.select("item_key", size, fingerprints(F.col("item_words"), window, k).alias("f0")), "f0", "item_at"
-    )
-    hits = _hits(_split(facts.select(KEY, ID, "prints"), "prints", "at"), item_prints, broadcast_rows)
+    wanted = whole.select(F.explode(fingerprints(F.col("item_words"), window, k)).alias("f"))
+    wanted = written(wanted.select(F.shiftright("f", _POSITION_BITS).alias("h")).distinct(), "fingerprints")
+    spots = _spots(facts, "prints", _bounded(wanted, broadcast_rows), window)
     for n in shorter:
-        grams = items.where(F.col("span") == n).select(
-            "item_key", size, F.shiftright(gram_hash(F.col("item_words"), F.lit(0), n), _POSITION_BITS).alias("h"),
-            F.lit(0).alias("item_at"),
-        )
-        hits = hits.unionByName(
-            _hits(_split(facts.select(KEY, ID, f"short_{n}"), f"short_{n}", "at"), grams, broadcast_rows)
-        )
-    hits = written(
-        hits.groupBy(KEY, ID).agg(F.collect_set(F.struct("item_key", "size", "delta")).alias("offsets")), "hits"
-    )
-
-    # Only documents with a hit are read again; each offset takes along the words it needs.
-    def aligned(words: Column) -> Column:
+        grams = items.where(F.col("span") == n).select(gram_hash(F.col("item_words"), F.lit(0), n).alias("f"))
+        grams = written(grams.select(F.shiftright("f", _POSITION_BITS).alias("h")).distinct(), "fingerprints")
+        spots = spots.unionByName(_spots(facts, f"short_{n}", _bounded(grams, broadcast_rows), n))
+    spots = written(spots.groupBy(KEY, ID).agg(F.collect_set("spot").alias("spots")), "spots")
+
+    # Only documents with a spot are read again; every window that covers a spot's k-gram is looked up.
+    def around(words: Column) -> Column:
+        def starts(spot: Column) -> Column:
+            first = F.when(spot.span == window, F.greatest(spot.at - (window - k), F.lit(0))).otherwise(spot.at)
+            last = F.least(spot.at, F.size(words) - spot.span)
+            return F.when(first <= last, F.transform(F.sequence(first, last), lambda s: F.struct(spot.span.alias("span"), s.alias("at"))))
+
+        found = F.array_distinct(F.flatten(F.array_compact(F.transform("spots", starts))))
         return F.transform(
-            F.col("offsets"),
-            lambda o: F.struct(
-                o.item_key.alias("item_key"), o.delta.alias("delta"),
-                F.transform(
-                    counting(o.size), lambda j: F.when(o.delta + j >= 0, F.get(words, o.delta + j))
-                ).alias("part"),
-            ),
+            found, lambda x: F.struct(x.at.alias("at"), x.span.alias("span"), F.array_join(F.slice(words, x.at + 1, x.span), " ").alias("window"))
         )
 
-    cut = join_keyed(base, hits, "inner").select(
-        KEY, ID, F.explode(let(alnum_words(F.col(TEXT)), aligned)).alias("o")
-    ).select(KEY, ID, "o.*")
-    cut = cut.join(items, "item_key")
-    starts = F.filter(
-        counting(F.size("item_words") - F.col("span") + 1),
-        lambda j: F.slice("part", j + 1, F.col("span")) == F.slice("item_words", j + 1, F.col("span")),
-    )
-    found = cut.select(KEY, ID, "item", "delta", "span", starts.alias("starts")).where(F.size("starts") > 0)
-    positions = F.flatten(
-        F.transform("starts", lambda j: F.sequence(F.col("delta") + j, F.col("delta") + j + F.col("span") - 1))
-    )
-    per_doc = found.groupBy(KEY, ID).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(positions))))).alias("hit"),
-        F.array_sort(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"),
-    )
+    cut = join_keyed(base, spots, "inner").select(KEY, ID, F.explode(let(alnum_words(F.col(TEXT)), around)).alias("x"))
+    held = written(_windows(items), "windows")
+    distinct = written(held.select("span", "window").distinct(), "distinct-windows")
+    found = cut.select(KEY, ID, "x.*").join(_bounded(distinct, broadcast_rows), ["span", "window"], "left_semi")
+    found = written(found.select(KEY, ID, "at", "span", "window"), "found")
+    positions = F.sequence(F.col("at"), F.col("at") + F.col("span") - 1)
+    hit = found.groupBy(KEY, ID).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(positions)))).alias("hit"))
+    named = found.select(KEY, ID, "span", "window").distinct().join(_bounded(held, broadcast_rows), ["span", "window"])
+    names = named.groupBy(KEY, ID).agg(F.array_sort(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit("")))).alias("items"))
+    per_doc = join_keyed(hit, names, "inner")
     result = join_keyed(facts.select(KEY, ID, "n_words"), per_doc)
     no_text = F.array().cast("array<string>")
     return result.select(

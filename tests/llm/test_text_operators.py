@@ -195,3 +195,29 @@ def test_line_dedup_by_other_kinds_of_ids(spark, odd_rows):
     for id_col in ("doc_id", "_id"):
         found = dedup_lines(spark.createDataFrame(rows, f"{id_col} string, text string"), id_col=id_col, batches=5)
         assert _counted(found, id_col, "n_lines", "n_dropped", "text") == Counter(plain.dedup_lines(rows))
+
+
+def test_repeated_passages_cost_their_length(spark):
+    """A passage that document and item both repeat: rows grow with the document, not with the product of the places."""
+    from docaudit.llm import winnowing
+
+    passage = [f"p{i}" for i in range(12)]
+    docs = [(1, " ".join(passage * 400)), (2, " ".join(passage * 2 + ["x"] * 30 + passage[:9])), (3, " ".join(passage[::-1] * 5))]
+    items = [(7, " ".join(passage * 60)), (8, " ".join(passage[3:] + ["end"])), (9, "x x x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    made = []
+    kept = winnowing.written
+
+    def counted(table, label="table"):
+        out = kept(table, label)
+        made.append((label, out.count()))
+        return out
+
+    winnowing.written = counted
+    try:
+        found = contamination(df, bench).withColumn("sha", F.sha2(F.array_join("items", ","), 256))
+        assert _counted(found, "doc_id", "n_words", "n_hit", "n_items", "sha", "contaminated") == Counter(plain.contamination(docs, items))
+    finally:
+        winnowing.written = kept
+    assert max(n for _, n in made) < 2 * 4800 + 200, made
