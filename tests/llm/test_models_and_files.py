@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docaudit.llm.boosted_trees import TreeSettings, fit, score_quality
 from docaudit.llm.hidden_markov import HmmSettings, Model, forward, log_likelihood, score_texts
-from docaudit.llm.packing import Limits, pack, pack_documents
+from docaudit.llm.packing import Limits, merge_tails, pack, pack_documents
 from docaudit.llm.tokens import WordTokenizer, tokenizer_path
 from docaudit.llm.training_order import OrderSettings, materialise, permuted, read_slots
 from docaudit.llm.warc import read_warc, write_warc
@@ -156,6 +156,42 @@ def test_packing_rows(spark, odd, odd_rows, empty, reference_ids):
             assert np.concatenate([x for _, x in held]).tolist() == list(ids)
 
 
+@pytest.mark.parametrize("partitions,most", [(1, 0.005), (211, 0.01)])
+def test_little_padding_however_rows_are_cut(spark, partitions, most):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions)
+    parts = defaultdict(list)
+    for r in pack_documents(docs, group_tails=100).select("sequence_id", "offset", "length").collect():
+        parts[r[0]].append((r[1], r[2]))
+    for p in parts.values():
+        p.sort()
+        assert [o for o, _ in p] == [0, *itertools.accumulate(n for _, n in p)][:-1] and len(p) <= 64
+    used = [sum(n for _, n in p) for p in parts.values()]
+    assert max(used) <= 2048 and 1 - sum(used) / (2048 * len(used)) < most
+
+
+def test_tails_by_the_dot_product_rule():
+    """Against the rule written out; every tail is in one bin, and no two bins of few tails fit together."""
+    rng = np.random.default_rng(3)
+    limits = Limits(100, 5, 60)
+    demand = np.stack([rng.integers(1, 90, 80), rng.integers(1, 4, 80), rng.integers(0, 50, 80)], 1)
+    bounds = np.array([100, 5, 60])
+    rest, want = sorted(range(80), key=lambda i: -demand[i][0]), []
+    while rest:
+        inside, left = [rest.pop(0)], None
+        while True:
+            left = bounds - sum(demand[i] for i in inside)
+            fits = [i for i in rest if (demand[i] <= left).all()]
+            if not fits:
+                break
+            best = max(fits, key=lambda i: (demand[i] * left / bounds**2).sum())
+            inside.append(best)
+            rest.remove(best)
+        want.append(inside)
+    got = merge_tails(demand, limits)
+    assert sorted(i for b in got for i in b) == list(range(80))
+    assert [sorted(b) for b in got] == [sorted(b) for b in want]
+
+
 def test_prompts_bear_no_loss(spark):
     docs = spark.createDataFrame([(1, "a b c d", 3), (2, "e f", None), (3, None, 9)], "doc_id long, text string, prompt int")
     got = {r["doc_id"]: r["loss_tokens"] for r in pack_documents(docs, prompt_col="prompt").collect()}
