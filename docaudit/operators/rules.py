@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.shared import written
-from docaudit.sources.policy import RulePolicy, RulePolicyTable, as_policy, as_profile
+from docaudit.sources.policy import RulePolicy, RulePolicyTable, as_policy, as_profile, policy_changes
 
 Policy = RulePolicy | RulePolicyTable | DataFrame
 
@@ -159,6 +159,33 @@ def rescore(reports: DataFrame, rules: DataFrame, policy: Policy) -> DataFrame:
     return reports.join(fresh, "pdf_hash", "left").withColumns(renewed).select(*reports.columns)
 
 
+def rescore_changes(reports: DataFrame, rules: DataFrame, old: Policy, new: Policy) -> DataFrame:
+    """As :func:`rescore`, for reports that hold the figures of policy ``old``: only what differs is computed.
+
+    Rules on pairs that both policies judge alike drop out before any shuffle. The others give signed differences of the
+    counts; flags are aggregated again, for the documents of which a flag rule changed.
+    """
+    changed = policy_changes(reports.sparkSession, old, new)
+    hit = rules.join(changed, ["clause", "test_number"])
+    step = F.when(F.col("was_ignored") & ~F.col("is_ignored"), 1).when(~F.col("was_ignored") & F.col("is_ignored"), -1).otherwise(0)
+    deltas = hit.groupBy(F.col("pdf_hash").alias("_hash")).agg(
+        F.sum(step).alias("_violations"), F.coalesce(F.sum(step * F.col("failed_checks")), F.lit(0)).alias("_failed"),
+        F.bool_or("flag_changed").alias("_reflag"),
+    )
+    deltas = written(deltas, "deltas")
+    again = deltas.where("_reflag").select(F.col("_hash").alias("pdf_hash"))
+    flags = summarize(rules.join(again, "pdf_hash", "left_semi"), new)
+    flags = written(flags.select(F.col("pdf_hash").alias("_of"), F.col("tagged").alias("_tagged"), F.col("image_only").alias("_image")), "flags")
+    joined = reports.join(deltas, F.col("pdf_hash") == F.col("_hash"), "left").join(flags, F.col("pdf_hash") == F.col("_of"), "left")
+    renewed = {
+        "violations": F.col("violations") + F.coalesce("_violations", F.lit(0)),
+        "failed_checks": F.col("failed_checks") + F.coalesce("_failed", F.lit(0)),
+        "tagged": F.coalesce("_tagged", "tagged"),
+        "image_only": F.coalesce("_image", "image_only"),
+    }
+    return joined.withColumns(renewed).select(*reports.columns)
+
+
 def clause_profile(rules: DataFrame, policy: Policy, profile) -> DataFrame:
     """Counted clauses per document as triage needs them.
 

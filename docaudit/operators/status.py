@@ -9,6 +9,7 @@ from docaudit.functions.triage import AUTO, GOOD, LABELS, MANUAL, PENDING, triag
 from docaudit.operators.merge import lookup_hash
 from docaudit.operators.ordering import number_rows
 from docaudit.operators.rules import Policy, clause_profile
+from docaudit.shared import written
 from docaudit.sources.policy import TriageProfile, TriageProfileTable, as_profile
 
 
@@ -107,6 +108,35 @@ def site_counts_of_files(files: DataFrame, triaged: DataFrame) -> DataFrame:
     )
 
 
+def changed_hashes(old_triaged: DataFrame, new_triaged: DataFrame) -> DataFrame:
+    """Content hashes whose counted columns differ between two states of the triaged reports, or are in one of them only."""
+    columns = ["pdf_hash", "violations", "tagged", "image_only", "classification"]
+    old, new = old_triaged.select(*columns), new_triaged.select(*columns)
+    return written(old.exceptAll(new).union(new.exceptAll(old)).select("pdf_hash").distinct(), "changed-hashes")
+
+
+def update_site_counts(
+    counts: DataFrame,
+    old_files: DataFrame,
+    new_files: DataFrame,
+    old_triaged: DataFrame,
+    new_triaged: DataFrame,
+) -> DataFrame:
+    """Counts of :func:`site_counts_of_files` after a change, from the counts before and the rows that changed.
+
+    ``old_files`` and ``new_files`` are the changed files before and after (added ones only after, deleted ones only
+    before); where the verdict of a hash changed, all its files are among both. ``old_triaged`` and ``new_triaged`` need to
+    hold the reports of these files only. Counts are sums over files, so the difference of two
+    small counts is all that is added. Sites whose last file went drop out.
+    """
+    numbers = [c for c in counts.columns if c != "site_id"]
+    added = site_counts_of_files(new_files, new_triaged)
+    gone = site_counts_of_files(old_files, old_triaged)
+    negative = gone.select("site_id", *[(-F.col(c)).alias(c) for c in numbers])
+    every = counts.unionByName(added).unionByName(negative)
+    return every.groupBy("site_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in numbers]).where(F.col("discovered") != 0)
+
+
 def failure_list(failures: DataFrame, site_id: int | None = None) -> DataFrame:
     """Failures by id with their time stamp, of one site or of all."""
     rows = failures if site_id is None else failures.where(F.col("site_id") == site_id)

@@ -12,7 +12,7 @@ from docaudit.operators import rules as R
 from docaudit.operators.keyed_table import KeyedTable
 from docaudit.operators.links import with_domains
 from docaudit.operators.merge import delete
-from docaudit.operators.status import triage_reports
+from docaudit.operators.status import changed_hashes, site_counts_of_files, triage_reports, update_site_counts
 from docaudit.operators.verify import looks_like_pdf
 from docaudit.plans.fixtures import Fixtures
 from docaudit.plans.jobs import ScanInputs, Storage, run_steps
@@ -28,17 +28,19 @@ from docaudit.plans.queries_inventory import (
     _now,
 )
 from docaudit.plans.queries_jobs import _HIT
+from docaudit.plans.queries_rules import STRICT
 from docaudit.plans.queries_verify import _OUTCOMES, _VALIDATED, verify_run
 from docaudit.plans.registry import query, query_like
 from docaudit.shared import new_path, written
 from docaudit.sources.digests import read_digests
-from docaudit.sources.files import read_roster_csv
+from docaudit.sources.files import read_checker_json, read_roster_csv, read_url_list
 from docaudit.sources.policy import (
     DEFAULT_RULE_POLICY,
     DEFAULT_TRIAGE_PROFILE,
     RulePolicyTable,
     TriageProfileTable,
     read_rule_policy,
+    read_triage_profile,
 )
 from docaudit.streaming import jobs as J
 from docaudit.streaming.sinks import read_log
@@ -393,3 +395,83 @@ def _(fx: Fixtures):
         F.col("cells")[0].cast("bigint").alias("position_key"), F.col("cells")[1].alias("source"),
         F.size(F.split(text, "\n")).cast("bigint").alias("n_lines"), F.char_length(text).cast("bigint").alias("n_chars"),
     )
+
+
+# -- only what changed ---------------------------------------------------------
+@query_like("rescore_changed", "rescore_reports")
+def _(fx: Fixtures):
+    """Another policy, by the rules that it judges differently."""
+    return R.rescore_changes(fx.reports, fx.rules, DEFAULT_RULE_POLICY, STRICT).select(
+        "pdf_hash", "violations", "failed_checks", "tagged", "image_only", "page_count"
+    )
+
+
+_MOVED = "via_resolver IS NOT NULL AND site_id % 2 = 0"
+_COUNTED = f"""WITH f AS (
+  SELECT site_id, file_hash, via_resolver, archived, CASE WHEN {_MOVED} THEN NOT offsite ELSE offsite END AS offsite
+  FROM v_pdf_files WHERE site_id % 7 <> 3
+  UNION ALL SELECT site_id + 1, file_hash, 'copy', FALSE, TRUE FROM v_pdf_files WHERE parent_404),
+t AS (SELECT pdf_hash, violations, tagged, image_only, classification FROM v_triage WHERE pdf_hash NOT LIKE '%3'
+      UNION ALL SELECT pdf_hash, violations, tagged, image_only, classification FROM v_triage_2 WHERE pdf_hash LIKE '%3')
+SELECT site_id, COUNT(*) AS discovered, COUNT(CASE WHEN offsite THEN 1 END) AS offsite, COUNT(via_resolver) AS via_resolver,
+       COUNT(CASE WHEN archived THEN 1 END) AS archived, COUNT(violations) AS verified,
+       COUNT(CASE WHEN NOT tagged THEN 1 END) AS untagged, COUNT(CASE WHEN image_only THEN 1 END) AS image_only,
+       COUNT(CASE WHEN violations > 0 THEN 1 END) AS with_violations,
+       COUNT(CASE WHEN violations = 0 AND tagged THEN 1 END) AS likely_passing,
+       COUNT(CASE WHEN classification = 'good_to_go' THEN 1 END) AS good_to_go,
+       COUNT(CASE WHEN classification = 'fit_for_automated_tagging' THEN 1 END) AS fit_for_automated_tagging,
+       COUNT(CASE WHEN classification = 'needs_manual_remediation' THEN 1 END) AS needs_manual_remediation
+FROM f LEFT JOIN t ON t.pdf_hash = f.file_hash GROUP BY site_id"""
+
+
+@query("maintained_site_counts", _COUNTED)
+def _(fx: Fixtures):
+    """Site counts after three rounds of changes, each from the counts before and the changed rows."""
+    triaged, none = fx.triaged, fx.files.limit(0)
+    counts = written(site_counts_of_files(fx.files, triaged), "counts")
+    # Flags of some files change, and the files of some sites go.
+    old = fx.files.where(f"{_MOVED} OR site_id % 7 = 3")
+    new = old.where("site_id % 7 <> 3").withColumn("offsite", ~F.col("offsite"))
+    counts = written(update_site_counts(counts, old, new, triaged, triaged), "counts")
+    # New files.
+    added = fx.files.where("parent_404").withColumns(
+        {"site_id": F.col("site_id") + 1, "via_resolver": F.lit("copy"), "archived": F.lit(False), "offsite": F.lit(True)}
+    )
+    counts = written(update_site_counts(counts, none, added, triaged, triaged), "counts")
+    # Verdicts of some documents change; files that share their content are counted anew.
+    later = triage_reports(R.rescore(fx.reports, fx.rules, fx.view("v_policy_2")), fx.rules, fx.view("v_policy_2"), DEFAULT_TRIAGE_PROFILE)
+    after = triaged.where("pdf_hash NOT LIKE '%3'").unionByName(later.where("pdf_hash LIKE '%3'"))
+    hashes = changed_hashes(triaged, after).withColumnRenamed("pdf_hash", "file_hash")
+    moved = fx.files.where("site_id % 7 <> 3").withColumn("offsite", F.when(F.expr(_MOVED), ~F.col("offsite")).otherwise(F.col("offsite")))
+    touched = written(moved.unionByName(added).join(hashes, "file_hash", "left_semi"), "touched")
+    reports = [t.join(hashes.withColumnRenamed("file_hash", "pdf_hash"), "pdf_hash", "left_semi") for t in (triaged, after)]
+    return update_site_counts(counts, touched, touched, *reports)
+
+
+# -- sources that are files ----------------------------------------------------
+@query_like("src_checker_files", "extract_rules")
+def _(fx: Fixtures):
+    """One file of checker JSON per document, read back."""
+    folder = new_path(fx.spark, "checker")
+    fx.checker_reports().repartition("pdf_hash").write.partitionBy("pdf_hash").text(folder)
+    reports = read_checker_json(fx.spark, f"{folder}/*/*.txt").select(
+        F.regexp_extract("path", "pdf_hash=([^/]+)/", 1).alias("pdf_hash"), "report_json"
+    )
+    return R.extract_rules(reports)
+
+
+@query_like("src_url_files", "src_url_list")
+def _(fx: Fixtures):
+    folder = new_path(fx.spark, "urls")
+    fx.table("documents").select("text").write.text(folder)
+    return read_url_list(fx.spark, folder).groupBy("url").agg(F.count("*").alias("n"))
+
+
+@query_like("src_profile_file", "triage_classify")
+def _(fx: Fixtures):
+    """Policy and profile written as files and read back."""
+    policy, profile = new_path(fx.spark, "policy"), new_path(fx.spark, "profile")
+    fx.view("v_policy").write.json(policy)
+    fx.spark.createDataFrame(DEFAULT_TRIAGE_PROFILE.rows(), "kind string, key string, value string").write.json(profile)
+    found = read_rule_policy(fx.spark, policy, "json"), read_triage_profile(fx.spark, profile, "json")
+    return triage_reports(fx.reports, fx.rules, *found).select("pdf_hash", "classification", "classification_reason", "confidence")

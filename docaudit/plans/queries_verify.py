@@ -206,18 +206,26 @@ def _(fx: Fixtures):
     return L.page_kinds(fx.view("v_layout_box"))
 
 
+_PAGES = f"""(SELECT pdf_hash, COUNT(DISTINCT CASE WHEN kind = 'text' THEN page_no END) AS t,
+                     COUNT(DISTINCT CASE WHEN {_FULL} THEN page_no END) AS i
+              FROM v_layout_box GROUP BY pdf_hash) x"""
+
+
 @query(
     "text_type_rollup",
-    f"""SELECT pdf_hash, t AS text_pages, i AS image_pages,
+    f"""SELECT pdf_hash,
                CASE WHEN t > 0 AND i > 0 THEN 'Hybrid' WHEN t > 0 THEN 'Text' WHEN i > 0 THEN 'Image Only' END AS text_type
-        FROM (SELECT pdf_hash, COUNT(DISTINCT CASE WHEN kind = 'text' THEN page_no END) AS t,
-                     COUNT(DISTINCT CASE WHEN {_FULL} THEN page_no END) AS i
-              FROM v_layout_box GROUP BY pdf_hash) x""",
+        FROM {_PAGES}""",
 )
 def _(fx: Fixtures):
     return L.text_type(fx.view("v_layout_box"))
 
 
+@query("page_counts", f"SELECT pdf_hash, t AS text_pages, i AS image_pages FROM {_PAGES}")
+def _(fx: Fixtures):
+    return L.page_counts(fx.view("v_layout_box"))
+
+
 @query(
     "image_text_overlap",
     f"""SELECT pdf_hash, page_no, x0, y0, x1, y1 FROM v_layout_box t

@@ -137,6 +137,26 @@ class RulePolicyTable:
         return joined.select(*rules.columns, F.coalesce("_ignored", F.lit(False)).alias("_ignored"), "_flag")
 
 
+def policy_changes(spark: SparkSession, old, new) -> DataFrame:
+    """Pairs that two policies judge differently: clause, test_number, was_ignored, is_ignored, flag_changed.
+
+    Either policy may have any form. Written: it is small, and whoever rescores meets all rules with it.
+    """
+
+    def pairs(policy, prefix: str) -> DataFrame:
+        policy = as_policy(policy)
+        if isinstance(policy, RulePolicy):
+            policy = RulePolicyTable.of(spark.createDataFrame(policy.rows(), "clause string, test_number string, action string"))
+        return policy.pairs.select("clause", "test_number", F.col("_ignored").alias(f"{prefix}_ignored"), F.col("_flag").alias(f"{prefix}_flag"))
+
+    both = pairs(old, "was").join(pairs(new, "is"), ["clause", "test_number"], "full")
+    ignored = {c: F.coalesce(c, F.lit(False)) for c in ("was_ignored", "is_ignored")}
+    both = both.withColumns(ignored)
+    was, now = (F.when(~F.col(f"{x}_ignored"), F.col(f"{x}_flag")) for x in ("was", "is"))
+    changed = both.withColumn("flag_changed", ~was.eqNullSafe(now)).where("flag_changed or was_ignored != is_ignored")
+    return written(changed.select("clause", "test_number", "was_ignored", "is_ignored", "flag_changed"), "policy-changes")
+
+
 def as_policy(policy: RulePolicy | RulePolicyTable | DataFrame) -> RulePolicy | RulePolicyTable:
     return RulePolicyTable.of(policy) if isinstance(policy, DataFrame) else policy
 

@@ -1,9 +1,13 @@
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from docaudit.functions import share_pages as S
+from docaudit.functions.suffixes import DEFAULT_SUFFIXES
 from docaudit.operators import links as L
 from docaudit.operators.resolve import resolve_links
 
+UNLISTED = replace(DEFAULT_SUFFIXES, unlisted=True)  # .test is no public suffix
 PAGE = """<html><head><script>Box.postStreamData = {"k": {"items": [{"name": "a.docx", "extension": "docx"},
 {"name": "Annual 'Report'.pdf", "extension": "PDF", "size": 9, "canDownload": true}]}};</script></head></html>"""
 LOCKED = '<script>Box.postStreamData = {"x": {"items": [{"name": "L.pdf", "extension": "pdf", "canDownload": false}]}};</script>'
@@ -97,7 +101,7 @@ def test_crawl_depths_and_cycles(spark):
         "site_id bigint, scope string, hosts array<string>, path_prefix string",
     )
     seeds = spark.createDataFrame([(i, "http://h.test/s") for i in (1, 1, 2, 3, 4)], "site_id bigint, url string")
-    full = {(r["site_id"], r["url"][7] + r["url"][-1]): r["depth"] for r in L.crawl_frontier(seeds, edges, sites).collect()}
+    full = {(r["site_id"], r["url"][7] + r["url"][-1]): r["depth"] for r in L.crawl_frontier(seeds, edges, sites, suffixes=UNLISTED).collect()}
     assert full == {
         (1, "hs"): 0, (1, "ha"): 1, (1, "hb"): 1, (1, "hc"): 2, (1, "hd"): 3, (2, "hs"): 0, (2, "oz"): 1, (3, "hs"): 0, (3, "hb"): 1,
         (4, "hs"): 0, (4, "oz"): 1,

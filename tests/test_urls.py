@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 from urllib.parse import unquote, urljoin, urlsplit, urlunsplit
 
 from pyspark.sql import functions as F
@@ -56,7 +57,9 @@ def test_suffix_rules(each):
         "y.xn--p1ai": "y.xn--p1ai", "a..b": "", "[::1]": "",
     }
     assert each(list(hosts), U.registrable_domain(x())) == list(hosts.values())
-    rules = suffix_rules(["// comment", "", "com", "github.test // note", "*.wild", "!free.wild"])
+    listed = suffix_rules(["com", "github.test"])
+    assert each(["b.com", "b.co.uk", "a.b.github.test"], U.registrable_domain(x(), listed)) == ["b.com", "", "b.github.test"]
+    rules = replace(suffix_rules(["// comment", "", "com", "github.test // note", "*.wild", "!free.wild"]), unlisted=True)
     own = {"a.b.github.test": "b.github.test", "b.com": "b.com", "c.d.e.wild": "d.e.wild", "q.free.wild": "free.wild", "b.co.uk": "co.uk"}
     assert each(list(own), U.registrable_domain(x(), rules)) == list(own.values())
     inside = U.in_scope(F.concat(F.lit("http://"), x(), F.lit("/p")), "domain", F.array(F.lit("z.b.github.test")), suffixes=rules)
@@ -69,10 +72,11 @@ def test_default_suffixes_are_the_whole_list(spark, each):
     hosts = {
         "foo.com.ua": "foo.com.ua", "w.bar.com.ua": "bar.com.ua", "com.ua": "", "a.x.co.id": "x.co.id", "a.x.edu.vn": "x.edu.vn",
         "a.x.com.pl": "x.com.pl", "a.x.co.ke": "x.co.ke", "a.y.x.sch.uk": "y.x.sch.uk", "x.sch.uk": "", "a.b.x.city.kobe.jp": "city.kobe.jp",
-        "a.x.公司.cn": "x.公司.cn", "a.x.xn--55qx5d.cn": "x.xn--55qx5d.cn", "me.github.io": "github.io", "a.x.nolist": "x.nolist",
+        "a.x.公司.cn": "x.公司.cn", "a.x.xn--55qx5d.cn": "x.xn--55qx5d.cn", "me.github.io": "github.io", "a.x.nolist": "",
     }
     assert each(list(hosts), U.registrable_domain(x())) == list(hosts.values())
     inside = U.in_scope(F.concat(F.lit("http://"), x(), F.lit("/")), "domain", F.array(F.lit("w.foo.com.ua")))
+    assert each(["a.x.nolist"], U.registrable_domain(x(), replace(S.DEFAULT_SUFFIXES, unlisted=True))) == ["x.nolist"]
     assert each(["foo.com.ua", "bar.com.ua"], inside) == [True, False]
     everything = S.read_suffix_rules(spark, f"file://{S.files(S.__package__).joinpath(S.LIST_FILE)}")
     assert S.DEFAULT_SUFFIXES.normal < everything.normal and "github.io" in everything.normal
