@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docaudit.llm.shard_files import commit, create, shard_of, temporary_name
+from docaudit.llm.shard_files import commit, create, cut_shards, temporary_name
 from docaudit.shared import written
 
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -109,8 +109,8 @@ def write_warc(
     ``file_bytes``: compressed size from which the next record starts a new file. ``shards``: at least so many, and more if
     one would hold over ``shard_bytes`` of payload. ``least_revisit``: smaller payloads are never revisits.
 
-    A null payload is empty; a record without URL has no target. Ids are integers; a null id gets a record without number, in the first
-    shard, and nothing refers to it. Rows that repeat one id and payload get a record each. An empty table gives an empty manifest.
+    A null payload is empty; a record without URL has no target. Ids are integers; a null id gets a record without number, in a shard
+    after all others, and nothing refers to it. A shard that one id alone would overfill is dealt by digest. Rows that repeat one id and payload get a record each. An empty table gives an empty manifest.
     Other columns are not read. Revisits carry no payload, so their headers need only the narrow columns.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
@@ -127,16 +127,9 @@ def write_warc(
     rows = base.select("id", "digest", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("bigint").alias("first"), "size").unionByName(
         revisits.select("id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first", F.lit(0).cast("bigint").alias("size")).distinct()
     )
-    cut = shard_of(narrow, "id", F.col("size"), shards, shard_bytes)
-    bounds = cut.groupBy("shard").agg(F.min("id").alias("lo")).orderBy("shard").collect()
-    starts = [r["lo"] for r in bounds if r["lo"] is not None]
-    shard = F.lit(0)
-    if starts:
-        # Position among the shards' first ids, by a search over a sorted literal.
-        shard = F.greatest(F.lit(0), F.coalesce(_rank(F.col("id"), starts), F.lit(0)))
-    placed = rows.withColumn("shard", shard.cast("int")).repartition(max(1, len(starts)), "shard").sortWithinPartitions(
-        "shard", "id", "digest", "kind"
-    )
+    cut = cut_shards(narrow, "id", F.col("size"), shards, shard_bytes)
+    placed = rows.withColumn("shard", cut.of(F.col("id"), F.col("digest")))
+    placed = placed.repartitionById(max(1, cut.count), F.col("shard")).sortWithinPartitions("shard", "id", "digest", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = {"shard": None, "part": 0, "out": None, "n": 0, "size": 0, "name": "", "temporary": ""}
@@ -187,11 +180,6 @@ def write_warc(
     return commit(written(parts, "warc-parts"), folder)
 
 
-def _rank(value, starts: list[int]):
-    """Index of the last start that is not above the value."""
-    return F.size(F.filter(F.lit(starts).cast("array<bigint>"), lambda s: s <= value)) - 1
-
-
 def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """Records of the files in a manifest: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload).
 
@@ -201,10 +189,10 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     spark = manifest.sparkSession
     columns = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     columns += ", payload binary" if with_payload else ""
-    paths = [r["path"] for r in manifest.select("path").collect()]
-    if not paths:
+    some = manifest.select("path").first()
+    if some is None:
         return spark.createDataFrame([], columns)
-    folder = paths[0].rsplit("/", 1)[0]
+    folder = some["path"].rsplit("/", 1)[0]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
     files = files.join(manifest.select(F.element_at(F.split("path", "/"), -1).alias("name")), F.element_at(F.split("path", "/"), -1) == F.col("name"), "left_semi")
 

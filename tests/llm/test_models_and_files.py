@@ -272,3 +272,34 @@ def test_queries_are_registered(spark):
 
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert QUERIES["op8_training_order"](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("ranges", [2, 7, 1 << 14])
+def test_shards_of_uneven_ids(spark, ranges):
+    """Far outliers, negative ids, one id with a third of the rows, and null ids: no shard is much heavier than asked."""
+    from docaudit.llm.shard_files import cut_shards
+
+    keys = [*range(1, 2001), 10**12, -(2**62), 2**62, *[777] * 1000, *[None] * 500]
+    df = spark.createDataFrame([(k, f"d{i}", 9) for i, k in enumerate(keys)], "id long, digest string, size long").repartition(3)
+    found = cut_shards(df, "id", F.col("size"), 8, 1000, ranges)
+    rows = df.withColumn("shard", found.of(F.col("id"), F.col("digest"))).collect()
+    weight, ends = Counter(), defaultdict(list)
+    for r in rows:
+        weight[r["shard"]] += r["size"] + 1
+        if r["id"] is not None:
+            ends[r["shard"]].append(r["id"])
+    assert set(weight) <= set(range(found.count)) and max(weight.values()) <= 1700
+    single = {s for s, x in ends.items() if set(x) == {777}}
+    assert len(single) >= 9
+    ordered = [ends[s] for s in sorted(ends) if s not in single]
+    assert all(max(a) < min(b) for a, b in itertools.pairwise(ordered))
+    nothing = cut_shards(df.limit(0), "id", F.col("size"), 8, 1000, ranges)
+    assert nothing.count == 0 and df.limit(0).withColumn("s", nothing.of(F.col("id"), F.col("digest"))).count() == 0
+
+
+def test_rank_by_halving(spark):
+    from docaudit.llm.shard_files import rank
+
+    for starts in ([5], [1, 5], [1, 5, 9], list(range(0, 1000, 7))):
+        got = spark.range(-3, 1010).select("id", rank(F.col("id"), starts).alias("r")).collect()
+        assert all(r["r"] == sum(s <= r["id"] for s in starts) - 1 for r in got)

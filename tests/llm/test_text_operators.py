@@ -221,3 +221,26 @@ def test_repeated_passages_cost_their_length(spark):
     finally:
         winnowing.written = kept
     assert max(n for _, n in made) < 2 * 4800 + 200, made
+
+
+def test_license_recall(spark):
+    """Every template at random places of random texts, whole and, for the long ones, its first 85 % of words."""
+    import random
+
+    from docaudit.llm.license_scan import default_templates
+    from docaudit.llm.license_templates import TEMPLATES
+
+    rng, rows, planted = random.Random(11), [], {}
+    for name, text in TEMPLATES.items():
+        words = text.split()
+        for share in (1.0, 0.85) if len(words) >= 60 else (1.0,):
+            for _ in range(40):
+                body = [f"b{rng.randrange(5000)}" for _ in range(rng.randrange(700))]
+                at = rng.randrange(len(body) + 1)
+                planted[len(rows)] = (name, share)
+                rows.append((len(rows), " ".join(body[:at] + words[: round(share * len(words))] + body[at:])))
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), default_templates(spark))
+    held = {r["doc_id"]: r["licenses"] for r in found.collect()}
+    for share, least in ((1.0, 0.99), (0.85, 0.95)):
+        hits = [name in held[d] for d, (name, s) in planted.items() if s == share]
+        assert sum(hits) >= least * len(hits), (share, sum(hits), len(hits))
