@@ -449,15 +449,18 @@ def _(fx: Fixtures):
 
 
 # -- sources that are files ----------------------------------------------------
-@query_like("src_checker_files", "extract_rules")
+@query_like("src_checker_files", "extract_job_rules")
 def _(fx: Fixtures):
-    """One file of checker JSON per document, read back."""
+    """Checker JSON of some fifty documents per file, as a batch run of the checker leaves it, read back."""
     folder = new_path(fx.spark, "checker")
-    fx.checker_reports().repartition("pdf_hash").write.partitionBy("pdf_hash").text(folder)
-    reports = read_checker_json(fx.spark, f"{folder}/*/*.txt").select(
-        F.regexp_extract("path", "pdf_hash=([^/]+)/", 1).alias("pdf_hash"), "report_json"
-    )
-    return R.extract_rules(reports)
+    reports = fx.checker_reports()
+    batch = F.pmod(F.xxhash64("pdf_hash"), F.lit(1 + reports.count() // 50)).alias("batch")
+    job = F.regexp_extract("report_json", r'(?s)^\{"report": \{"jobs": \[(.*)\]\}\}$', 1)
+    jobs = reports.groupBy(batch).agg(F.array_join(F.collect_list(job), ", ").alias("jobs"))
+    text = F.concat(F.lit('{"report": {"jobs": ['), "jobs", F.lit("]}}"))
+    jobs.select("batch", text.alias("value")).write.partitionBy("batch").text(folder)
+    read = read_checker_json(fx.spark, f"{folder}/*/*.txt")
+    return R.extract_job_rules(read).select("job_name", "clause", "test_number", "failed_checks")
 
 
 @query_like("src_url_files", "src_url_list")
