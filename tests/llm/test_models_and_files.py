@@ -270,7 +270,7 @@ def test_training_order(spark, odd, odd_rows, empty, tmp_path, reference_ids):
 def test_queries_are_registered(spark):
     from docaudit.llm.queries import QUERIES
 
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert QUERIES["op8_training_order"](spark, SF).count() > 0
 
 
