@@ -271,7 +271,7 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     path = new_path(fx.spark, "csv")
-    write_csv(collect_rows(fx.files, _contacts(fx), fx.triaged), path)
+    write_csv(collect_rows(fx.files, _contacts(fx), fx.triaged), path, "gzip")
     back = fx.spark.read.csv(path, header=True, escape='"')
     return back.groupBy("site").agg(
         F.count("*").alias("n"),
@@ -287,7 +287,7 @@ def _(fx: Fixtures):
 )
 def _(fx: Fixtures):
     path = new_path(fx.spark, "json")
-    write_json(collect_rows(fx.files, _contacts(fx), fx.triaged), path)
+    write_json(collect_rows(fx.files, _contacts(fx), fx.triaged), path, "gzip")
     schema = (
         "site string, pdf_url string, parent_url string, violations bigint, "
         "classification_reason string, owner string"

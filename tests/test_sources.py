@@ -67,3 +67,17 @@ def test_cells_with_empty_first_cell_and_line_ends(spark, tmp_path, each):
     (tmp_path / "r.csv").write_text('h,i\r\n"two\nlines",c\r\n\n,d,"e ""x\ny"" f"\nlast,row')
     rows = read_roster_csv(spark, str(tmp_path / "r.csv"), multiline=True).orderBy("position").collect()
     assert [r["cells"] for r in rows] == [["h", "i"], ["two\nlines", "c"], ["", "d", 'e "x\ny" f'], ["last", "row"]]
+
+
+def test_sinks_compress_the_repeated_emails(spark, tmp_path):
+    emails = "; ".join(f"p{i}@example.edu" for i in range(60))
+    row = {c: None for c in EXPORT_COLUMNS} | {"site": "hr", "responsible": emails}
+    data = [tuple((row | {"pdf_url": f'https://x/{i}",é.pdf'}).values()) for i in range(2000)]
+    rows = spark.createDataFrame(data, ", ".join(f"{c} string" for c in EXPORT_COLUMNS)).coalesce(1)
+    write_csv(rows, str(tmp_path / "csv"), "gzip")
+    write_json(rows, str(tmp_path / "json"), "gzip")
+    back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"')
+    assert back.exceptAll(rows).count() == rows.exceptAll(back).count() == 0
+    assert spark.read.schema(rows.schema).json(str(tmp_path / "json")).exceptAll(rows).count() == 0
+    plain = 2000 * len(emails)
+    assert all(sum(p.stat().st_size for p in (tmp_path / d).glob("part-*.gz")) * 10 < plain for d in ("csv", "json"))
