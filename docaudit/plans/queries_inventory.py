@@ -130,10 +130,7 @@ def _(fx: Fixtures):
         content.alias("content"),
     )
     fitting, oversized = split_by_size(rows, _CAP)
-    lengths = rows.select("path", "length")
-    return fitting.select("path", "length", F.lit(None).cast("string").alias("error_message")).unionByName(
-        oversized.join(lengths, "path")
-    )
+    return fitting.select("path", "length", F.lit(None).cast("string").alias("error_message")).unionByName(oversized)
 
 
 # -- selections ----------------------------------------------------------------

@@ -42,11 +42,12 @@ def read_pdf_bytes(
 
 
 def split_by_size(files: DataFrame, max_bytes: int | None) -> tuple[DataFrame, DataFrame]:
-    """Split (path, length, content) rows at the cap; None lets all pass."""
+    """Split (path, length, content) rows at the cap; None lets all pass. Oversized rows are (path, length, error_message)."""
     over = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     fitting = files.where(~over).select("path", "length", "content")
     oversized = files.where(over).select(
         "path",
+        "length",
         F.concat(
             F.lit("download "), F.col("path"), F.lit(f": PDF exceeds max_bytes ({max_bytes})")
         ).alias("error_message"),
