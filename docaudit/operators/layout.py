@@ -59,17 +59,13 @@ def page_counts(boxes: DataFrame, max_pages: int | None = None) -> DataFrame:
 def text_type(boxes: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Hybrid, Text, Image Only or null per document, over all pages or the first ``max_pages``.
 
-    One aggregate with map-side combine: whether any page has text, and any a full-page image. Every document of
-    ``boxes`` has a row.
+    Pages are combined first, then documents, so a document of any number of pages is a few counters; its pages with text
+    and with a full-page image come along. Every document of ``boxes`` has a row.
     """
-    some = F.lit(True) if max_pages is None else F.col("page_no") < max_pages
-    full = (F.col("kind") == "figure_image") & within(_ratio(), FULL_PAGE_BAND)
-    seen = boxes.groupBy("pdf_hash").agg(
-        F.bool_or(some & (F.col("kind") == "text")).alias("_text"), F.bool_or(some & full).alias("_image")
+    text, image = F.col("text_pages") > 0, F.col("image_pages") > 0
+    return page_counts(boxes, max_pages).withColumn(
+        "text_type", F.when(text & image, "Hybrid").when(text, "Text").when(image, "Image Only")
     )
-    text, image = F.coalesce("_text", F.lit(False)), F.coalesce("_image", F.lit(False))
-    kind = F.when(text & image, "Hybrid").when(text, "Text").when(image, "Image Only")
-    return seen.select("pdf_hash", kind.alias("text_type"))
 
 
 def _cell(value: Column, low: Column, high: Column) -> Column:

@@ -82,3 +82,10 @@ def test_catalogs(spark):
     df = spark.createDataFrame(rows, "pdf_hash string, catalog map<string,string>, annotation_keys array<array<string>>, xmp_title string, info_title string, page_count bigint")
     got = {r[0]: tuple(r[1:]) for r in L.catalog_flags(df).collect()}
     assert got == {"a": (True, True, True, True, 3), "b": (False, False, True, False, 1), "c": (False, False, False, False, None)}
+
+
+def test_text_type_counts_its_pages(spark):
+    full, small = (0, 0, 100, 100), (0, 0, 20, 20)
+    rows = [("a", 0, "text", small), ("a", 0, "text", full), ("a", 4, "text", small), ("a", 4, "figure_image", full), ("b", 1, "other", small)]
+    got = {r["pdf_hash"]: (r["text_pages"], r["image_pages"], r["text_type"]) for r in L.text_type(_boxes(spark, rows)).collect()}
+    assert got == {"a": (2, 1, "Hybrid"), "b": (0, 0, None)}
