@@ -78,3 +78,15 @@ def test_display_codes(each):
     schema = "a boolean, v string, b boolean, c boolean, d boolean, e boolean"
     rows = [(True, "box", True, True, True, True), (False, None, False, False, False, False)]
     assert each(rows, crawl_flags(*[F.col(n) for n in names]), schema) == ["offsite via:box archived 404 p404 removed", "-"]
+
+
+def test_archive_rules_behind_escapes_and_without_hits(spark, each):
+    urls = [
+        "http://p.test/%61ttic/a%20b.pdf", "http://p.test/x/a%20b.pdf", "http://p.test/x/plan%2520attic.pdf", "http://p.test/%zz/attic/x.pdf", None,
+        "http://p.test/a%2%20/sunset", "http://p.test/ATTIC/%20.pdf",
+    ]
+    want = ["path segment '/attic/'", None, "keyword 'attic'", "path segment '/attic/'", None, "keyword 'sunset'", "path segment '/attic/'"]
+    assert each(urls, archive_reason(F.col("x"), RULES)) == want
+    # URLs without an escape but blanks are searched first, before anything is decoded or split.
+    plan = spark.range(1).select(archive_reason(F.lit("http://p.test/x/a%20b.pdf"), RULES))._jdf.queryExecution().analyzed().toString()
+    assert "get(transform(array(lower(replace(http://p.test/x/a%20b.pdf, %20,  )))" in plan, plan
