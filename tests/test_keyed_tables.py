@@ -248,3 +248,15 @@ def test_buckets_grow_with_the_table(spark, monkeypatch):
         ok, note = compare(QUERIES[name].run(spark, folder), con, QUERIES[name].sql)
         assert ok, note
     assert made == [5, 5, 5]
+
+
+def test_queries_bound_what_a_coalesced_task_reads(spark):
+    from docaudit.plans.catalog import QUERIES
+
+    name, before = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set(name, "64m")
+    try:
+        QUERIES["url_representative"].run(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(name) == "16m"
+    finally:
+        spark.conf.set(name, before)
