@@ -10,7 +10,7 @@ from docaudit.operators.export import (
     append_failures,
     class_sections,
     collect_rows,
-    in_export_order,
+    export_in_order,
     section_rows,
     write_csv,
     write_json,
@@ -236,7 +236,7 @@ _RAW = [c for c in EXPORT_COLUMNS if not c.startswith("classification")]
 
 @query("export_rows", f"SELECT {', '.join(_RAW)} FROM v_export")
 def _(fx: Fixtures):
-    return in_export_order(I.export_rows(fx.files, _contacts(fx), fx.reports).select(*_RAW))
+    return export_in_order(fx.files, _contacts(fx), fx.reports).select(*_RAW)
 
 
 @query("collect_rows", f"SELECT {_EXPORT} FROM v_export")
