@@ -13,7 +13,7 @@ from docaudit.operators.inventory import FILE_KEY, upsert_files
 from docaudit.operators.links import absolute_links, classify_links
 from docaudit.operators.ordering import last_per_key
 from docaudit.operators.resolve import resolve_links
-from docaudit.operators.rules import Policy, extract_rules, rescore, summarize
+from docaudit.operators.rules import Policy, list_rules, read_rules, rescore, summarize
 from docaudit.operators.status import triage_reports
 from docaudit.shared import discard, written
 from docaudit.sources.policy import RulePolicyTable, TriageProfile, TriageProfileTable
@@ -132,12 +132,12 @@ def run_verification(
     """
 
     def split(batch: DataFrame) -> dict[str, DataFrame]:
-        # Read twice from a table rather than kept in the executors' memory.
         columns = ["pdf_hash", "report_json", *([order] if order else [])]
         last = last_per_key(batch.select(*columns), ["pdf_hash"], F.col(order) if order else None)
-        reports = written(last.select("pdf_hash", "report_json"), "reports")
-        rules = extract_rules(reports)
-        return {"rules": rules, "summaries": summarize(rules, policy, reports)}
+        # Both logs start from the rules: a table of the reports would be parsed for each of them.
+        read = written(read_rules(last), "read")
+        rules = list_rules(read)
+        return {"rules": rules, "summaries": summarize(rules, policy, read)}
 
     start(reports, tables_writer(split, root, run), checkpoint).awaitTermination()
 

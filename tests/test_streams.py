@@ -6,6 +6,7 @@ from docaudit.plans.registry import QUERIES
 from docaudit.plans import catalog  # noqa: F401
 from docaudit.sources.policy import DEFAULT_RULE_POLICY
 from docaudit.streaming import jobs as J
+from docaudit.streaming import sinks
 from docaudit.streaming.sinks import read_log, write_batch
 
 RULE = "pdf_hash string, clause string, test_number string, failed_checks bigint"
@@ -46,6 +47,32 @@ def test_verification_resumes_and_keeps_the_latest(spark, tmp_path):
     assert run() == {"h": 3, "k": 0}
 
 
+def test_verification_parses_a_report_once(spark, tmp_path, monkeypatch):
+    from docaudit import shared
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    write, store = sinks.write_batch, shared.written
+    monkeypatch.setattr(sinks, "write_batch", lambda rows, *a: write(seen(rows), *a))
+    monkeypatch.setattr(J, "written", lambda df, label: store(seen(df), label))
+    folder, root, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    empty = '{"report": {"jobs": []}}'
+    rows = [("h", _report("7.5", 1)), ("h", _report("7.5", 1)), ("k", empty), ("n", None), ("x", "{")]
+    spark.createDataFrame(rows, "pdf_hash string, report_json string").coalesce(1).write.parquet(folder)
+    stream = J.stream_folder(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
+    J.run_verification(stream, DEFAULT_RULE_POLICY, root, state)
+    assert [r["failed_checks"] for r in read_log(spark, f"{root}/rules", RULE).collect()] == [1]
+    assert sorted((r["pdf_hash"], r["violations"]) for r in read_log(spark, f"{root}/summaries", SUMMARY).collect()) == [
+        ("h", 1), ("k", 0), ("n", 0), ("x", 0)
+    ]
+    # The parse of the whole report stands in one of the plans, once.
+    assert sum(p.count("from_json(StructField(report,") for p in plans) == 1, plans
+
+
 def test_replayed_batch_replaces_itself(spark, tmp_path):
     rows = spark.createDataFrame([("h", 1, 1, True, False)], SUMMARY)
     for _ in range(2):
