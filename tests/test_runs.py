@@ -1,11 +1,21 @@
 """Runs read the inventory once and work out flags in one pass."""
 
+import os
+
+import pytest
 from docaudit.functions.archive import archive_reason, is_archived
 from docaudit.operators import inventory as I
 from docaudit.operators.health import link_health, with_health
+from docaudit.plans import queries_jobs as Q
+from docaudit.plans.catalog import QUERIES
 from docaudit.plans.fixtures import Fixtures
+from docaudit.plans.jobs import ScanInputs, run_steps
+from docaudit.shared import new_path
+from docaudit.sources.schemas import EXPORT_COLUMNS
 from pyspark.sql import functions as F
 
+SF_DIR = "/root/testdata/sf0.001"
+
 FILE = (
     "pdf_id bigint, pdf_url string, parent_url string, site_id bigint, file_hash string, via_resolver string, offsite boolean, "
     "scanned_at timestamp, pdf_404 boolean, parent_404 boolean, archived boolean, removed boolean"
@@ -58,3 +68,36 @@ def test_archived_without_a_look_at_the_path(each):
     ]
     want = each(urls, archive_reason(F.col("x")).isNotNull())
     assert each(urls, is_archived(F.col("x"))) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
+def test_a_run_writes_its_export_compressed_and_whole(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(Q, "new_path", lambda s, label: made.append(new_path(s, label)) or made[-1])
+    counts = QUERIES["run_steps_verify"].run(spark, SF_DIR)
+    exported = sum(r["n"] for r in counts.where("step = 'export_csv'").collect())
+    (path,) = made
+    parts = [p for p in os.listdir(path) if p.startswith("part-")]
+    assert parts and all(p.endswith(".csv.gz") for p in parts)
+    rows = spark.read.csv(path, header=True, escape='"')
+    fx = Fixtures(spark, SF_DIR)
+    assert rows.columns == EXPORT_COLUMNS and rows.count() == exported == fx.files.count()
+    columns = ["pdf_url", "parent_url", "site", "responsible"]
+    contacts = I.site_contacts(fx.sites, fx.owners, fx.people, fx.memberships)
+    want = fx.files.join(contacts, "site_id").select(*columns)
+    assert rows.select(*columns).exceptAll(want).count() == want.exceptAll(rows.select(*columns)).count() == 0
+
+
+def test_exports_of_a_run_stay_plain_unless_asked(spark, tmp_path):
+    files = _files(spark).limit(2).withColumn("local_path", F.lit(None).cast("string"))
+    contacts = spark.createDataFrame([(1, "hr", "grp", "p@example.edu")], "site_id bigint, site string, owner string, responsible string")
+    fx = Fixtures(spark, SF_DIR)
+    inputs = ScanInputs(files, contacts, fx.report_plan.limit(0), fx.rules.limit(0))
+    paths = {c: {f: str(tmp_path / f"{c}-{f}") for f in ("csv", "json")} for c in ("none", "gzip")}
+    run_steps(inputs, crawl=False, verify=False, archive=False, exports=paths["none"])
+    run_steps(inputs, crawl=False, verify=False, archive=False, exports=paths["gzip"], export_compression="gzip")
+    for fmt in ("csv", "json"):
+        plain, packed = (spark.read.text(paths[c][fmt]).collect() for c in ("none", "gzip"))
+        assert sorted(plain) == sorted(packed) and len(set(plain)) >= 2
+        assert any(p.endswith(f".{fmt}") for p in os.listdir(paths["none"][fmt]))
+        assert not any(p.endswith(f".{fmt}") for p in os.listdir(paths["gzip"][fmt]))
