@@ -6,6 +6,8 @@ import pytest
 from docaudit.functions.archive import archive_reason, is_archived
 from docaudit.operators import inventory as I
 from docaudit.operators.health import link_health, with_health
+from docaudit.operators.verify import VerifyResult
+from docaudit.plans import jobs
 from docaudit.plans import queries_jobs as Q
 from docaudit.plans.catalog import QUERIES
 from docaudit.plans.fixtures import Fixtures
@@ -101,3 +103,47 @@ def test_exports_of_a_run_stay_plain_unless_asked(spark, tmp_path):
         assert sorted(plain) == sorted(packed) and len(set(plain)) >= 2
         assert any(p.endswith(f".{fmt}") for p in os.listdir(paths["none"][fmt]))
         assert not any(p.endswith(f".{fmt}") for p in os.listdir(paths["gzip"][fmt]))
+
+
+def test_the_verify_step_checks_what_the_steps_before_left(spark):
+    def file(i, url, file_hash, dead=False, removed=False):
+        return (i, url, "p", 1, file_hash, None, False, None, dead, False, False, removed)
+
+    files = spark.createDataFrame(
+        [file(1, "old", None), file(2, "known", "h"), file(3, "lost", "x"), file(4, "dead", None, dead=True),
+         file(5, "gone", None, removed=True), file(6, "back", None, removed=True)], FILE,
+    )
+    found = spark.createDataFrame([("new", "p", 1, None, False), ("back", "p", 1, None, False)], (
+        "pdf_url string, parent_url string, site_id bigint, via_resolver string, offsite boolean"
+    ))
+    fx = Fixtures(spark, SF_DIR)
+    reports, rules = fx.report_plan, fx.rules.limit(0)
+    empty = reports.limit(0)
+    stored = spark.createDataFrame([("h",)], "pdf_hash string").join(empty, "pdf_hash", "left").select(*reports.columns)
+    asked = []
+
+    def check(queue, known):
+        asked.extend([{r["pdf_url"] for r in queue.collect()}, {r["pdf_hash"] for r in known.collect()}])
+        ok = F.col("pdf_url") != "old"
+        outcomes = queue.select(
+            "pdf_id", "site_id", F.when(ok, F.concat(F.lit("h-"), "pdf_url")).alias("file_hash"),
+            F.when(ok, "verified").otherwise("failed").alias("outcome"), F.when(~ok, "broken").alias("error"),
+        )
+        bad = outcomes.where("error IS NOT NULL").select("site_id", "pdf_id", F.col("error").alias("error_message"))
+        return VerifyResult(outcomes, empty, rules, bad)
+
+    done = run_steps(ScanInputs(files, files, stored, rules, found=found, verification=check), archive=False)
+    assert asked == [{"old", "lost", "back", "new"}, {"h"}]
+    hashes = {r["pdf_url"]: r["file_hash"] for r in done.files.collect()}
+    assert hashes == {"old": None, "known": "h", "lost": "h-lost", "dead": None, "gone": None, "back": "h-back", "new": "h-new"}
+    counts = {r["counter"]: r["n"] for r in done.counts.where("step = 'verify'").collect()}
+    assert counts == {"verified": 3, "reused": 0, "failed": 1} and done.outcomes.count() == 4
+    assert [r["error_message"] for r in done.failures.collect()] == ["broken"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
+def test_the_files_query_shows_the_hashes_that_the_verify_step_left(spark, monkeypatch):
+    want = sorted(map(str, QUERIES["run_steps_files"].run(spark, SF_DIR).collect()))
+    monkeypatch.setattr(jobs, "update", lambda files, *_: files)
+    got = sorted(map(str, QUERIES["run_steps_files"].run(spark, SF_DIR).collect()))
+    assert any("file_hash='" in row for row in want) and got != want
