@@ -12,6 +12,7 @@ from docaudit.plans import queries_jobs as Q
 from docaudit.plans.catalog import QUERIES
 from docaudit.plans.fixtures import Fixtures
 from docaudit.plans.jobs import ScanInputs, run_steps
+from docaudit.plans.queries_verify import verify_run
 from docaudit.shared import new_path
 from docaudit.sources.schemas import EXPORT_COLUMNS
 from pyspark.sql import functions as F
@@ -147,3 +148,24 @@ def test_the_files_query_shows_the_hashes_that_the_verify_step_left(spark, monke
     monkeypatch.setattr(jobs, "update", lambda files, *_: files)
     got = sorted(map(str, QUERIES["run_steps_files"].run(spark, SF_DIR).collect()))
     assert any("file_hash='" in row for row in want) and got != want
+
+
+def test_export_meets_the_site_ids_without_a_shuffle_of_the_inventory(spark):
+    fx = Fixtures(spark, SF_DIR)
+    contacts = I.site_contacts(fx.sites, fx.owners, fx.people, fx.memberships)
+    files, triaged, name = fx.stored("v_pdf_files"), fx.triaged, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4k")
+    try:
+        plan = I.export_rows(files, contacts, triaged)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    semi = [x for x in plan.splitlines() if "LeftSemi" in x]
+    assert semi and all("BroadcastHashJoin" in x for x in semi)
+
+
+def test_verification_groups_the_texts_once(spark):
+    fx = Fixtures(spark, SF_DIR)
+    verify_run(fx)
+    views = ("v_doc_known", "v_doc_rule", "v_doc_analysis")
+    assert not any("documents" in f for v in views for f in fx.view(v).inputFiles())
